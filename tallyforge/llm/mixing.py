@@ -3,7 +3,7 @@
 A source with target t and size S owes each of its documents r = t / S copies. floor(r) whole copies are
 certain; the rest, with inclusion odds f / (1 - f) for f = r - floor(r), is a fixed-size sample: documents
 are ranked by their random odds divided by the inclusion odds and taken in that order until the source's
-remaining words are met (the last one only if that comes nearer). Random numbers come from a digest of the
+remaining words are met (the last one in part, so a source meets its target to the word). Random numbers come from a digest of the
 id, so reruns agree. Built-in functions only.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, after all others. Rows
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
 
 
 def mix(docs: DataFrame, key: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row a document: key, size, source_size, target, copies and taken (copies times size)."""
+    """A row a document: key, size, source_size, target, copies (whole ones) and taken (words, the last in part)."""
     rows = docs.select(F.col(key).alias("_key"), "source", n_words(F.col("text")).alias("size"), *keep)
     base = table(rows, "mix-sizes")
     return select_copies(base, seed, weights, keep).withColumnRenamed("_key", key)
@@ -76,14 +76,17 @@ def select_copies(base: DataFrame, seed: str, weights: tuple[int, ...], keep: tu
     edge = table(edge.select("_s", "_null", F.col("_e._step").alias("_edge"), F.col("_e._upto").alias("_edge_words"), F.col("_e._left").alias("_left")), "mix-edges")
     placed = ranked.join(sized(edge), ["_s", "_null"], "left")
     within = F.coalesce(F.sum("size").over(W.partitionBy("_s", "_null", "_step").orderBy("_q", "_key", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    extra = F.when(F.col("_q").isNull() | F.col("_edge").isNull(), 0).when(F.col("_step") < F.col("_edge"), 1).when(F.col("_step") > F.col("_edge"), 0)
-    extra = extra.when(F.col("_edge_words") + within + F.col("size") / 2 <= F.col("_left"), 1).otherwise(0)
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, F.col("_whole") + extra).otherwise(0).cast("long"))
-    return placed.select("_key", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rest = F.round("_left").cast("long") - F.col("_edge_words") - within
+    extra = F.when(F.col("_q").isNull() | F.col("_edge").isNull() | (F.col("_step") > F.col("_edge")), 0).when(F.col("_step") < F.col("_edge"), F.col("size"))
+    placed = placed.withColumn("_extra", extra.otherwise(F.greatest(F.lit(0), F.least(F.col("size"), rest))))
+    copies = F.when(F.col("size") > 0, F.col("_whole") + (F.col("_extra") == F.col("size")).cast("int")).otherwise(0).cast("long")
+    return placed.select("_key", *keep, "size", "source_size", "target", copies.alias("copies"), (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken"))
 
 
 def take_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs``, all columns, repeated as often as the mix takes them."""
+    """The rows of ``docs``, all columns, repeated as often as the mix takes them whole; a document taken in
+    part counts as whole from half its words on."""
     row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
     picked = mix(docs.select("doc_id", "source", "text", row), seed=seed, weights=weights, keep=("_row",))
-    return picked.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    return picked.where("2 * taken >= size AND size > 0").select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, mixing, quality, secrets
+from tallyforge.llm import chat, debruijn, mixing, quality, secrets, suffix_dedup
 from tallyforge.runtime import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(documents(spark, sf_dir))
     base = quality.failed("base-1")
@@ -36,4 +40,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_source_mix, op7_chat_format, op8_secret_scan)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.dedup(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_source_mix, op7_chat_format, op8_secret_scan, op9_substring_dedup)}
