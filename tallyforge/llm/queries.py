@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, debruijn, mixing, quality, secrets, suffix_dedup
+from tallyforge.llm import chat, debruijn, embeddings, jaccard, mixing, packing, quality, secrets, suffix_dedup, warc
 from tallyforge.runtime import documents
 
 
@@ -19,10 +19,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~quality.failed("quality-2")).alias("kept"), "fail_bits")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(documents(spark, sf_dir, "embeddings"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(documents(spark, sf_dir, "pages"))
+    return warc.resolve(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -44,4 +57,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.dedup(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_source_mix, op7_chat_format, op8_secret_scan, op9_substring_dedup)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_jaccard_join, op4_source_mix, op5_embedding_dedup, op6_warc, op7_chat_format, op8_secret_scan, op9_substring_dedup, op10_packing)}
