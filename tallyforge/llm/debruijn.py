@@ -31,7 +31,11 @@ def _edges(unit: R.Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for sym, d, at, c in R.per_run(batch, unit):
+            for (sd, sw, sn), sym, d, at, c in R.per_run(batch, unit):
+                if len(sd):
+                    yield _rows(R._scramble(np.zeros(len(sd), np.uint64), sd, sw), sd, sw, sn * 4 + R.KNOWN)
+                if not len(d):
+                    continue
                 rep = c["nw"].astype(np.int64)
                 i = np.repeat(np.arange(len(at)), rep)
                 step = np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(rep)[:-1])), rep) if len(i) else np.zeros(0, np.int64)
@@ -51,18 +55,16 @@ def _edges(unit: R.Unit):
             np.logical_or.at(several, group, differ | known)
             hit = several[group]
             mark = head[several]
-            yield pa.record_batch({
-                "e": _join(R._signed(np.where(hit, R._scramble(e, d, w), e)), R._signed(e[mark])),
-                "d": _join(d, np.full(len(mark), R.NO_ID)),
-                "w": _join(w, np.zeros(len(mark), np.int64)),
-                "kind": _join(np.where(hit, R.KNOWN, R.OPEN), np.full(len(mark), R.MARK)).astype(np.int8),
-            })
+            hd, hw, hn = R._merged(d[hit], w[hit], np.ones(int(hit.sum()), np.int64))
+            yield _rows(R._scramble(np.ones(len(hd), np.uint64), hd, hw), hd, hw, hn * 4 + R.KNOWN)
+            yield _rows(e[~hit], d[~hit], w[~hit], np.full(int((~hit).sum()), 4 + R.OPEN))
+            yield _rows(e[mark], np.full(len(mark), R.NO_ID), np.zeros(len(mark), np.int64), np.full(len(mark), R.MARK))
 
     return run
 
 
-def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.concatenate((a, b))
+def _rows(e, d, w, p) -> pa.RecordBatch:
+    return pa.record_batch({"e": R._signed(e), "d": d, "w": w, "p": p.astype(np.int64)})
 
 
 def _finish(data, off, start, end, bounds, gone):
@@ -89,13 +91,12 @@ def _finish(data, off, start, end, bounds, gone):
 
 def repeated_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
     """(d, w, nw): windows w to w + nw - 1 of document d also start elsewhere."""
-    runs = R.compared_runs(base, R.recurring_runs(base, unit), unit)
-    paths = runs.where((F.col("kind") == R.KNOWN) | F.col("multi")).select("d", "w", "nw")
-    branches = runs.where(F.col("first") & F.col("branch"))
-    edges = R.expand(base, branches, _edges(unit), "e long, d long, w long, kind byte")
+    runs = R.compared_runs(base, R.recurring_runs(base, unit), unit, keep_first=False)
+    edges = R.expand(base, runs, _edges(unit), "e long, d long, w long, p long")
     by, spot = W.partitionBy("e"), F.struct("d", "w")
-    met = edges.withColumn("_two", F.min(spot).over(by) != F.max(spot).over(by)).where(f"kind = {R.KNOWN} OR (kind = {R.OPEN} AND _two)")
-    return paths.unionByName(met.select("d", "w", F.lit(1).alias("nw")))
+    kind = F.col("p").bitwiseAND(F.lit(3))
+    met = edges.withColumn("_two", F.min(spot).over(by) != F.max(spot).over(by))
+    return met.where((kind == R.KNOWN) | ((kind == R.OPEN) & F.col("_two"))).select("d", "w", F.shiftright("p", 2).alias("nw"))
 
 
 def dedup(docs: DataFrame, k: int = WORDS, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -97,11 +97,23 @@ def recurring_runs(base: DataFrame, unit: Unit) -> DataFrame:
     return met.groupBy("d").agg(F.collect_list(F.shiftright("p", 2)).alias("starts"))
 
 
-def compared_runs(base: DataFrame, starts: DataFrame, unit: Unit) -> DataFrame:
-    """(pk, d, w, nw, kind, first, multi, branch, n): recurring runs beside the others with their anchor.
-
-    first: no equal run stands earlier; multi: an equal run stands elsewhere; branch: runs with the same
-    anchor differ; n: how many of them there are.
+def _merged(d: np.ndarray, w: np.ndarray, nw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one document that follow each other without a gap become one."""
+    order = np.lexsort((w, d))
+    d, w, nw = d[order], w[order], nw[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (w[1:] > w[:-1] + nw[:-1])
+    k = np.flatnonzero(new)
+    end = np.maximum.reduceat(w + nw, k) if len(k) else w
+    return d[k], w[k], end - w[k]
+
+
+def compared_runs(base: DataFrame, starts: DataFrame, unit: Unit, keep_first: bool) -> DataFrame:
+    """(pk, d, w, nw, span, branch, multi, n): recurring runs beside the others with their anchor.
+
+    span: all windows of the run are repeats (of an earlier start, or with ``keep_first`` off, of any other);
+    branch: first of its equals, and runs with the same anchor differ; multi: an equal run stands elsewhere;
+    n: how many runs the anchor has.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,44 +145,59 @@ def compared_runs(base: DataFrame, starts: DataFrame, unit: Unit) -> DataFrame:
             once[1:] = head[1:] | (d[1:] != d[:-1]) | (w[1:] != w[:-1])
             a, s, d, w, nw, head = (x[once] for x in (a, s, d, w, nw, head))
             h = np.flatnonzero(head)
-            multi = np.repeat(np.diff(np.append(h, len(a))) > 1, np.diff(np.append(h, len(a))))
+            multi = np.diff(np.append(h, len(a))) > 1
+            # Later equals in this batch are settled; what follows each other goes on as one row.
+            kd, kw, kn = _merged(d[~head], w[~head], nw[~head])
+            flags = np.concatenate((multi * 4 + OPEN, np.full(len(kd), 4 + KNOWN)))
+            d, w, nw = np.concatenate((d[h], kd)), np.concatenate((w[h], kw)), np.concatenate((nw[h], kn))
             yield pa.record_batch({
-                "pk": _signed(np.where(head, a, _scramble(a, d, w))), "seg": _signed(s), "d": d, "w": w,
-                "nw": nw.astype(np.int32), "kind": np.where(head, OPEN, KNOWN).astype(np.int8), "local": multi,
+                "pk": np.concatenate((_signed(a[h]), _signed(_scramble(np.zeros(len(kd), np.uint64), kd, kw)))),
+                "seg": np.concatenate((_signed(s[h]), np.zeros(len(kd), np.int64))),
+                "d": d, "p": (w << 32) + (nw << 4) + flags,
             })
 
     joined = base.join(starts, "d").select("d", "t", "starts")
-    rows = joined.mapInArrow(find, "pk long, seg long, d long, w long, nw int, kind byte, local boolean")
+    rows = joined.mapInArrow(find, "pk long, seg long, d long, p long")
     by_anchor, by_run = W.partitionBy("pk"), W.partitionBy("pk", "seg")
+    rows = rows.withColumn("w", F.shiftright("p", 32)).withColumn("kind", F.col("p").bitwiseAND(F.lit(3)))
     spot = F.struct("d", "w")
-    return (
+    known = F.col("kind") == KNOWN
+    rows = (
         rows.withColumn("_lo", F.min(spot).over(by_run)).withColumn("_hi", F.max(spot).over(by_run))
-        .withColumn("multi", F.max("local").over(by_run) | (F.col("_lo") != F.col("_hi")))
-        .withColumn("branch", F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor))
+        .withColumn("multi", F.max(F.col("p").bitwiseAND(F.lit(4))).over(by_run).cast("boolean") | (F.col("_lo") != F.col("_hi")))
+        .withColumn("_differ", F.min("seg").over(by_anchor) != F.max("seg").over(by_anchor))
         .withColumn("n", F.count("*").over(by_anchor))
-        .withColumn("first", (F.col("kind") == OPEN) & (spot == F.col("_lo")))
-        .select("pk", "d", "w", "nw", "kind", "first", "multi", "branch", "n")
+        .withColumn("_first", ~known & (spot == F.col("_lo")))
     )
+    rows = rows.withColumn("span", ~F.col("_first") if keep_first else F.col("multi")).withColumn("branch", F.col("_first") & F.col("_differ"))
+    return rows.where("span OR branch").select("pk", "d", "w", F.shiftright(F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)), 4).alias("nw"), "span", "branch", "multi", "n")
 
 
 def expand(base: DataFrame, runs: DataFrame, find: Callable, schema: str) -> DataFrame:
-    """``find`` over documents joined with their runs: columns d, t and runs (array of w, nw, pk, n, multi)."""
-    per = runs.groupBy("d").agg(F.collect_list(F.struct("w", "nw", "pk", "n", "multi")).alias("runs"))
+    """``find`` over documents joined with their runs, the one consumer of ``compared_runs``."""
+    per = runs.groupBy("d").agg(F.collect_list(F.struct("w", "nw", "pk", "n", "span", "branch", "multi")).alias("runs"))
     return base.join(per, "d").select("d", "t", "runs").mapInArrow(find, schema)
 
 
 def per_run(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple]:
-    """For each piece of a batch of ``expand``: symbols, document ids, where runs start, and the runs' columns."""
+    """For each piece of a batch of ``expand``: whole spans (d, w, nw), and for the branches symbols, document
+    ids, where runs start, and the runs' columns."""
     ids = batch.column("d").to_numpy(zero_copy_only=False)
     data, off = K.column(batch.column("t"))
     lists = batch.column("runs")
     loff, flat = lists.offsets.to_numpy(), lists.values
-    field = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("w", "nw", "pk", "n", "multi")}
+    field = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("w", "nw", "pk", "n", "span", "branch", "multi")}
     for i, j in K.chunks(off):
-        sym, bounds = unit.symbols(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        doc = np.repeat(np.arange(j - i), np.diff(loff[i : j + 1]))
         cols = {f: x[loff[i] : loff[j]] for f, x in field.items()}
-        yield sym, ids[doc + i], bounds[doc] + cols["w"], cols
+        doc = np.repeat(np.arange(j - i), np.diff(loff[i : j + 1]))
+        whole, branch = cols["span"].astype(bool), cols["branch"].astype(bool)
+        spans = _merged(ids[doc[whole] + i], cols["w"][whole], cols["nw"][whole])
+        if branch.any():
+            sym, bounds = unit.symbols(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        else:
+            sym, bounds = np.zeros(0, np.uint8), np.zeros(j - i + 1, np.int64)
+        cols, doc = {f: x[branch] for f, x in cols.items()}, doc[branch]
+        yield spans, sym, ids[doc + i], bounds[doc] + cols["w"], cols
 
 
 def covered(base: DataFrame, spans: DataFrame, unit: Unit, finish: Callable, schema: str) -> DataFrame:

@@ -24,8 +24,8 @@ from tallyforge.llm.lyndon import repeated_windows
 
 LENGTH = 100
 GRAM = 32
-#: Runs of one anchor up to which they are ordered as one text; more are dealt out by their windows' contents.
-LANE_RUNS = 16
+#: Runs of one anchor up to which they are ordered as one text; the windows of more are dealt out by content.
+LANE_RUNS = 32
 #: Bytes of text ordered at a time.
 LANE_BATCH = 1 << 20
 
@@ -62,8 +62,16 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     if not batch:
         return
     batch = batch[0]
-    key, d, w, nw = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pk", "d", "w", "nw"))
     data, off = K.column(batch.column("seg"))
+    key, d, w, nw = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pk", "d", "w", "nw"))
+    bare = np.diff(off) == 0
+    if bare.any():
+        yield from _settled(key[bare], d[bare], w[bare], nw[bare])
+        k = np.flatnonzero(~bare)
+        if not len(k):
+            return
+        key, d, w, nw = key[k], d[k], w[k], nw[k]
+        off = np.concatenate(([0], np.cumsum(np.diff(off)[k])))
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     n_runs = np.diff(np.append(head, len(key)))
     lane = np.repeat(np.arange(len(head)), n_runs)
@@ -93,34 +101,62 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     later = np.zeros(len(g), bool)
     later[1:] = g[1:] == g[:-1]
     if later.any():
-        yield pa.record_batch({"d": rd[later], "w": rw[later], "nw": np.ones(int(later.sum()), np.int32)})
+        yield pa.record_batch({"d": rd[later], "w": rw[later], "nw": np.ones(int(later.sum()), np.int64)})
+
+
+def _settled(key, d, w, nw) -> Iterator[pa.RecordBatch]:
+    """Rows without text: whole spans (nw > 0) pass; single windows of equal content (nw = 0) keep the first."""
+    keep = nw > 0
+    single = np.flatnonzero(~keep)
+    order = single[np.lexsort((w[single], d[single], key[single]))]
+    later = order[1:][key[order[1:]] == key[order[:-1]]]
+    rows = np.concatenate((np.flatnonzero(keep), later))
+    yield pa.record_batch({"d": d[rows], "w": w[rows], "nw": np.maximum(nw[rows], 1)})
 
 
 def _stretches(unit: R.Unit):
-    """Each run's bytes by anchor; the runs of a crowded anchor window by window, by their contents."""
+    """Each run's bytes by anchor; the windows of a crowded anchor one by one, by a hash of their content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sym, d, at, c in R.per_run(batch, unit):
+            singles: list[tuple] = []
+            for (sd, sw, sn), sym, d, at, c in R.per_run(batch, unit):
+                if len(sd):
+                    yield _rows(R._signed(R._scramble(np.zeros(len(sd), np.uint64), sd, sw)), sd, sw, sn, np.zeros(len(sd) + 1, np.int64), b"")
+                if not len(d):
+                    continue
                 crowd = c["n"] > LANE_RUNS
-                nw = np.where(crowd, 1, c["nw"]).astype(np.int64)
-                rep = np.where(crowd, c["nw"], 1).astype(np.int64)
-                i = np.repeat(np.arange(len(at)), rep)
-                step = np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(rep)[:-1])), rep) if len(i) else np.zeros(0, np.int64)
+                i = np.flatnonzero(~crowd)
+                end = at[i] + c["nw"][i] + unit.length - 1
+                off = np.concatenate(([0], np.cumsum(end - at[i])))
+                source = np.arange(off[-1]) + np.repeat(at[i] - off[:-1], end - at[i])
+                yield _rows(c["pk"][i], d[i], c["w"][i], c["nw"][i], off, sym[source].tobytes())
+                i = np.flatnonzero(crowd)
+                rep = c["nw"][i].astype(np.int64)
+                step = np.arange(rep.sum()) - np.repeat(np.concatenate(([0], np.cumsum(rep)[:-1])), rep) if len(i) else np.zeros(0, np.int64)
+                i = np.repeat(i, rep)
                 start = at[i] + step
-                end = start + nw[i] + unit.length - 1
-                key = c["pk"][i].copy()
-                if crowd.any():
-                    single = crowd[i]
-                    key[single] = R._signed(K.Prefix(sym).of(start[single], end[single]))
-                off = np.concatenate(([0], np.cumsum(end - start)))
-                source = np.arange(off[-1]) + np.repeat(start - off[:-1], end - start)
-                seg = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(sym[source].tobytes())])
-                yield pa.record_batch({"pk": key, "d": d[i], "w": c["w"][i] + step, "nw": nw[i].astype(np.int32), "seg": seg})
+                if len(i):
+                    singles.append((K.Prefix(sym).of(start, start + unit.length), d[i], c["w"][i] + step))
+            if singles:
+                e, d, w = (np.concatenate(x) for x in zip(*singles, strict=True))
+                order = np.lexsort((w, d, e))
+                e, d, w = e[order], d[order], w[order]
+                first = np.ones(len(e), bool)
+                first[1:] = e[1:] != e[:-1]
+                kd, kw, kn = R._merged(d[~first], w[~first], np.ones(int((~first).sum()), np.int64))
+                key = np.concatenate((R._signed(e[first]), R._signed(R._scramble(np.zeros(len(kd), np.uint64), kd, kw))))
+                n = np.concatenate((np.zeros(int(first.sum()), np.int64), kn))
+                yield _rows(key, np.concatenate((d[first], kd)), np.concatenate((w[first], kw)), n, np.zeros(len(key) + 1, np.int64), b"")
 
     return run
 
 
+def _rows(key, d, w, nw, off, seg: bytes) -> pa.RecordBatch:
+    binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(seg)])
+    return pa.record_batch({"pk": key, "d": d, "w": w, "nw": np.asarray(nw).astype(np.int64), "seg": binary})
+
+
 def _finish(data, off, sym, ends, bounds, gone):
     n = np.diff(off)
     total = np.concatenate(([0], np.cumsum(gone)))
@@ -140,12 +176,9 @@ def _finish(data, off, sym, ends, bounds, gone):
 
 def later_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
     """(d, w, nw): windows w to w + nw - 1 of document d start earlier elsewhere."""
-    runs = R.compared_runs(base, R.recurring_runs(base, unit), unit)
-    copies = runs.where(~F.col("first")).select("d", "w", "nw")
-    branches = runs.where(F.col("first") & F.col("branch"))
-    rows = R.expand(base, branches, _stretches(unit), "pk long, d long, w long, nw int, seg binary")
-    lanes = rows.repartition("pk").sortWithinPartitions("pk").mapInArrow(_order(unit.length), "d long, w long, nw int")
-    return copies.unionByName(lanes)
+    runs = R.compared_runs(base, R.recurring_runs(base, unit), unit, keep_first=True)
+    rows = R.expand(base, runs, _stretches(unit), "pk long, d long, w long, nw long, seg binary")
+    return rows.repartition("pk").sortWithinPartitions("pk").mapInArrow(_order(unit.length), "d long, w long, nw long")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
