@@ -6,8 +6,8 @@ A document's set is its distinct word n-grams. Three relations between sets spar
 * Index lists hold only the rarest grams of each set (a linking pair must share one of them). Lists are kept
   in order of set size and position, and the blocks of entries whose size or position rules a link out are
   skipped as a whole.
-* Sets that link to a list's leader, or to their neighbour in the list, take over that set's answers: they
-  are in its component. Only pairs across components are still compared, so a group of near copies costs as
+* Sets that link to a list's leader, or to a neighbour in a random order of the list, take over that set's
+  answers: they are in its component. Only pairs across components are still compared, so a group of near copies costs as
   many comparisons as it has members.
 
 Which grams are rare is known from counts in a table of fixed size over all documents. Candidates are
@@ -121,7 +121,7 @@ def _may_link(na, pa_, nb, pb, percent: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Complete lists of equal ``token`` from sorted batches."""
+    """Complete lists of equal ``token`` (the first field) from sorted batches."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [batch.column(f).to_numpy(zero_copy_only=False) for f in fields]
@@ -137,19 +137,52 @@ def _runs(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterato
         yield held
 
 
+#: Lists up to this long are searched for entries that no other entry can link to.
+SHORT_LIST = 32
+#: Entries before it, in a random order of the list, with which each entry is compared first.
+NEIGHBOURS = 6
+
+
+def _hopeless(head: np.ndarray, n: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Entries of short lists whose size and position rule out every other entry of the list."""
+    out = np.zeros(len(size), bool)
+    for m in np.unique(n[(n > 1) & (n <= SHORT_LIST)]).tolist():
+        at = head[n == m][:, None] + np.arange(m)[None, :]
+        s, p = size[at], pos[at]
+        can = _may_link(s[:, :, None], p[:, :, None], s[:, None, :], p[:, None, :], percent)
+        can[:, np.arange(m), np.arange(m)] = False
+        out[at] = ~can.any(2)
+    return out
+
+
 def _leaders(percent: int):
+    """Lists of two or more, each entry with those it is compared with first: its leader among sets of about
+    its size, and the entries before it in a random order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, block, ids, size, pos in _runs(batches, ("token", "block", "id", "size", "pos")):
+        for token, ids, sp in _runs(batches, ("token", "id", "sp")):
             head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             n = np.diff(np.append(head, len(token)))
-            several = np.repeat(n > 1, n)
+            k = np.flatnonzero(np.repeat(n > 1, n))
+            if not len(k):
+                continue
+            token, ids, size, pos = token[k], ids[k], sp[k] >> 32, sp[k] & 0xFFFFFFFF
+            n = n[n > 1]
+            k = np.flatnonzero(~_hopeless(np.cumsum(n) - n, n, size, pos, percent))
+            token, ids, size, pos = token[k], ids[k], size[k], pos[k]
+            if not len(k):
+                continue
+            block = np.floor(np.log(size) / -np.log(percent / 100)).astype(np.int64)
+            order = np.lexsort((K.mix(ids.astype(np.uint64)), block, token))
+            token, ids, size, pos, block = (x[order] for x in (token, ids, size, pos, block))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-            before = np.maximum(np.arange(len(token)) - 1, lead)
-            to = [np.where((x != np.arange(len(token))) & _may_link(size, pos, size[x], pos[x], percent), ids[x], NO_ID) for x in (lead, before)]
-            k = np.flatnonzero(several)
-            yield pa.record_batch({"token": token[k], "id": ids[k], "size": size[k], "pos": pos[k], "lead": to[0][k], "before": to[1][k]})
+            own = np.arange(len(token))
+            lead = np.maximum.accumulate(np.where(new, own, 0))
+            to = np.stack([lead, *(np.maximum(own - i, lead) for i in range(1, NEIGHBOURS + 1))], 1)
+            ok = (to != own[:, None]) & _may_link(size[:, None], pos[:, None], size[to], pos[to], percent)
+            ends = np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)
+            yield pa.record_batch({"token": token, "id": ids, "size": size, "pos": pos, "to": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[to][ok]))})
 
     return run
 
@@ -193,6 +226,18 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch({"a": both[0], "b": both[1]})
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """The upper five bytes of sorted hashes: one set is compared with another, not with all grams there are."""
+    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, :5] = five
+    return out.reshape(-1).view("<u8")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -200,7 +245,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
@@ -218,22 +263,22 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     counts = spark.sparkContext.broadcast(gram_counts(base, n))
     found = table(prefixes(base, n, percent, counts), "gram-prefixes")
-    reps = table(found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.first("grams").alias("grams")), "gram-reps")
-    block = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(percent / 100))).cast("int")
-    entries = reps.select(F.col("rep").alias("id"), "size", block.alias("block"), F.posexplode("grams").alias("pos", "token"))
-    entries = entries.select("token", "block", F.xxhash64("id").alias("o"), "id", "size", F.col("pos").cast("long").alias("pos"))
-    lists = entries.repartition("token").sortWithinPartitions("token", "block", "o").mapInArrow(_leaders(percent), "token long, id long, size long, pos long, lead long, before long")
+    held = found.where("size > 0").groupBy("s1", "s2", "size")
+    reps = held.agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
+    entries = reps.select(F.col("rep").alias("id"), "size", F.posexplode("grams").alias("pos", "token"))
+    entries = entries.select("token", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("sp"))
+    lists = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_leaders(percent), "token long, id long, size long, pos long, to array<long>")
     lists = table(lists, "gram-lists")
     needed = lists.select(F.col("id").alias("d")).distinct()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.column(batch.column("t"))
-            yield pa.record_batch({"id": batch.column("d"), "grams": pa.array([s.tobytes() for s in sets_of(data, off, n)], pa.binary())})
+            yield pa.record_batch({"id": batch.column("d"), "grams": pa.array([_packed(s) for s in sets_of(data, off, n)], pa.binary())})
 
     once = base.join(needed, "d", "left_semi").dropDuplicates(["d"])
     sets = table(once.select("d", "t").mapInArrow(gather, "id long, grams binary"), "gram-sets")
-    near = lists.select("id", F.explode(F.array("lead", "before")).alias("to")).where(F.col("to") != F.lit(NO_ID))
+    near = lists.select("id", F.explode("to").alias("to"))
     near = near.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).where("a <> b").distinct()
     first = table(connected_components(verified(near, sets, percent)), "gram-components")
     at = lists.join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "size", "id", "pos", F.coalesce("component", "id").alias("part"))
@@ -243,7 +288,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
     late = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
     second = connected_components(late)
-    member = found.select("id", "size", "s1", "s2").join(reps.select("s1", "s2", "size", "rep"), ["s1", "s2", "size"], "left")
+    member = found.select("id", "size", "s1", "s2").join(held.agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
     out = member.join(first.toDF("rep", "c1"), "rep", "left").withColumn("c1", F.coalesce("c1", "rep"))
     out = out.join(second.toDF("c1", "c2"), "c1", "left").select("id", "size", F.coalesce("c2", "c1").alias("c"))
