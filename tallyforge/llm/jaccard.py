@@ -140,7 +140,7 @@ def _runs(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterato
 #: Lists up to this long are searched for entries that no other entry can link to.
 SHORT_LIST = 32
 #: Entries before it, in a random order of the list, with which each entry is compared first.
-NEIGHBOURS = 6
+NEIGHBOURS = 20
 
 
 def _hopeless(head: np.ndarray, n: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def _leaders(percent: int):
             if not len(k):
                 continue
             block = np.floor(np.log(size) / -np.log(percent / 100)).astype(np.int64)
-            order = np.lexsort((K.mix(ids.astype(np.uint64)), block, token))
+            order = np.lexsort((K.mix(ids.astype(np.uint64) ^ token.view(np.uint64)), block, token))
             token, ids, size, pos, block = (x[order] for x in (token, ids, size, pos, block))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
