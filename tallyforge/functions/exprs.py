@@ -63,6 +63,24 @@ def reporting_day(ts: Column, tz: str) -> Column:
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), tz))
 
 
+def parse_instant(text: Column) -> Column:
+    """``YYYY-MM-DD HH:mm:ss +HHMM`` to an instant; null for a blank or any other form."""
+    ok = text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} [+-]\d{4}$")
+    return F.when(ok, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss xx")))
+
+
+def day_bounds(day: Column, tz: str) -> tuple[Column, Column]:
+    """First instant of a calendar day in ``tz``, and of the next."""
+    at = lambda d: F.to_utc_timestamp(d.cast("timestamp_ntz").cast("timestamp"), tz)
+    return at(day), at(F.date_add(day, 1))
+
+
+def native_day(day: Column, tz: str, reporting_tz: str) -> Column:
+    """The reporting day of the middle of a calendar day in ``tz``."""
+    a, b = day_bounds(day, tz)
+    return reporting_day(F.timestamp_micros(F.floor((F.unix_micros(a) + F.unix_micros(b)) / 2)), reporting_tz)
+
+
 def poisson_interval(n: Column, z: float) -> tuple[Column, Column]:
     s = F.sqrt(n + 0.375)
     low, high = F.greatest(F.greatest(F.lit(0.0), s - z / 2) ** 2, F.lit(0.01)), (s + z / 2) ** 2
