@@ -6,8 +6,9 @@ A document's set is its distinct word n-grams. Three relations between sets spar
 * Index lists hold only the rarest grams of each set (a linking pair must share one of them). Lists are kept
   in order of set size and position, and the blocks of entries whose size or position rules a link out are
   skipped as a whole.
-* Sets that link to a list's leader, or to a neighbour in a random order of the list, take over that set's
-  answers: they are in its component. Only pairs across components are still compared, so a group of near copies costs as
+* Sets that link to a list's leader, or to a neighbour in an order all lists share, take over that set's
+  answers: they are in its component. Sets still outside a list's largest component are then compared with a few
+  sets of other components, and at last every pair across components is, so a group of near copies costs about as
   many comparisons as it has members.
 
 Which grams are rare is known from counts in a table of fixed size over all documents. Candidates are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
 from tallyforge.operators.components import connected_components
-from tallyforge.runtime import table
+from tallyforge.runtime import sized, table
 
 COUNTERS = 1 << 19
 SLOTS = 64
@@ -139,8 +140,10 @@ def _runs(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterato
 
 #: Lists up to this long are searched for entries that no other entry can link to.
 SHORT_LIST = 32
-#: Entries before it, in a random order of the list, with which each entry is compared first.
-NEIGHBOURS = 20
+#: Entries before it, in the order of the ids' hashes, with which each entry is compared first.
+NEIGHBOURS = 8
+#: Entries of other components with which an entry outside its list's largest component is compared next, and how often.
+TRIES, ROUNDS = 8, 3
 
 
 def _hopeless(head: np.ndarray, n: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
@@ -157,7 +160,7 @@ def _hopeless(head: np.ndarray, n: np.ndarray, size: np.ndarray, pos: np.ndarray
 
 def _leaders(percent: int):
     """Lists of two or more, each entry with those it is compared with first: its leader among sets of about
-    its size, and the entries before it in a random order."""
+    its size, and the entries before it in an order that all lists share, so that they name the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, ids, sp in _runs(batches, ("token", "id", "sp")):
@@ -173,7 +176,7 @@ def _leaders(percent: int):
             if not len(k):
                 continue
             block = np.floor(np.log(size) / -np.log(percent / 100)).astype(np.int64)
-            order = np.lexsort((K.mix(ids.astype(np.uint64) ^ token.view(np.uint64)), block, token))
+            order = np.lexsort((K.mix(ids.view(np.uint64)), block, token))
             token, ids, size, pos, block = (x[order] for x in (token, ids, size, pos, block))
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
@@ -187,8 +190,9 @@ def _leaders(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of a list whose sets are in different components and may link."""
+def _across(percent: int, tries: int | None = None, seed: int = 0):
+    """Pairs of a list whose sets are in different components and may link, with these components; with
+    ``tries`` only so many, chosen by hash, of each entry outside the largest component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, ("token", "size", "id", "pos", "part")):
@@ -196,7 +200,7 @@ def _across(percent: int):
             head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             n = np.diff(np.append(head, len(token)))
             mixed = np.maximum.reduceat(part, head) != np.minimum.reduceat(part, head)
-            a, b = [], []
+            a, b, x, y = [], [], [], []
             for h, m in zip(head[mixed].tolist(), n[mixed].tolist(), strict=True):
                 size, ids, pos, comp = (c[h : h + m] for c in cols[1:])
                 names, own, count = np.unique(comp, return_inverse=True, return_counts=True)
@@ -208,22 +212,27 @@ def _across(percent: int):
                     j = np.arange(lo[i], hi[i])
                     j = j[(own[j] != own[i]) & (large[j] | (j > i))]
                     j = j[_may_link(size[i], pos[i], size[j], pos[j], percent)]
+                    if tries is not None and len(j) > tries:
+                        j = j[np.argpartition(K.mix(ids[j].view(np.uint64) ^ K.mix(ids[i : i + 1].view(np.uint64) + np.uint64(seed))), tries)[:tries]]
                     if len(j):
                         a.append(np.full(len(j), ids[i]))
                         b.append(ids[j])
+                        x.append(np.full(len(j), comp[i]))
+                        y.append(comp[j])
                 if sum(map(len, a)) > 100_000:
-                    yield _pairs(a, b)
-                    a, b = [], []
+                    yield _pairs(a, b, x, y)
+                    a, b, x, y = [], [], [], []
             if a:
-                yield _pairs(a, b)
+                yield _pairs(a, b, x, y)
 
     return run
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-    return pa.record_batch({"a": both[0], "b": both[1]})
+def _pairs(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    a, b, x, y = (np.concatenate(c) for c in columns)
+    turn = a > b
+    rows = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), np.where(turn, y, x), np.where(turn, x, y))), axis=1)
+    return pa.record_batch(dict(zip(("a", "b", "part_a", "part_b"), rows, strict=True)))
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -239,7 +248,8 @@ def _unpacked(raw) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The rows of ``pairs`` whose sets a and b link."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,11 +260,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     x = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "b").join(y, "a").select(*names, "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -280,18 +290,26 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     sets = table(once.select("d", "t").mapInArrow(gather, "id long, grams binary"), "gram-sets")
     near = lists.select("id", F.explode("to").alias("to"))
     near = near.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).where("a <> b").distinct()
-    first = table(connected_components(verified(near, sets, percent)), "gram-components")
-    at = lists.join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "size", "id", "pos", F.coalesce("component", "id").alias("part"))
-    cross = at.repartition("token").sortWithinPartitions("token", "size", "id").mapInArrow(_across(percent), "a long, b long").distinct()
-    # Links across components join the components' names.
-    late = verified(cross, sets, percent)
-    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    late = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
-    second = connected_components(late)
+    steps = [table(connected_components(verified(near, sets, percent)), "gram-components")]
+
+    def renamed(df: DataFrame, name: str) -> DataFrame:
+        for step in steps:
+            df = df.join(step.toDF(name, "_to"), name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
+        return df
+
+    for seed, tries in enumerate((*[TRIES] * ROUNDS, None)):
+        at = renamed(lists.select("token", "size", "id", "pos", F.col("id").alias("part")), "part").select("token", "size", "id", "pos", "part")
+        at = at.repartition("token").sortWithinPartitions("token", "size", "id")
+        across = table(at.mapInArrow(_across(percent, tries, seed), "a long, b long, part_a long, part_b long").distinct(), "gram-pairs")
+        if across.isEmpty():
+            break
+        named = across.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        links = verified(across, sets.join(sized(named), "id", "left_semi"), percent)
+        # Links across components join the components' names.
+        steps.append(table(connected_components(links, "part_a", "part_b"), "gram-components"))
     member = found.select("id", "size", "s1", "s2").join(held.agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
-    out = member.join(first.toDF("rep", "c1"), "rep", "left").withColumn("c1", F.coalesce("c1", "rep"))
-    out = out.join(second.toDF("c1", "c2"), "c1", "left").select("id", "size", F.coalesce("c2", "c1").alias("c"))
+    out = renamed(member, "rep").withColumnRenamed("rep", "c")
     real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
     return out.select(real("id").alias(key), F.col("size").alias("n_shingles"), real("c").alias("component_id"))
 
