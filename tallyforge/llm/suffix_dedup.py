@@ -56,6 +56,15 @@ def _split(rows: pa.Table) -> tuple[pa.Table | None, pa.Table]:
     return (rows.slice(0, cut).combine_chunks() if cut else None), rows.slice(cut)
 
 
+def _once(key: np.ndarray, d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Whether a row is the first of its (key, d, w): a repeated row brings each of its starts again."""
+    order = np.lexsort((w, d, key))
+    key, d, w = key[order], d[order], w[order]
+    out = np.ones(len(key), bool)
+    out[order[1:]] = (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+    return out
+
+
 def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     rows = rows.combine_chunks()
     batch = rows.to_batches()
@@ -67,11 +76,12 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     bare = np.diff(off) == 0
     if bare.any():
         yield from _settled(key[bare], d[bare], w[bare], nw[bare])
-        k = np.flatnonzero(~bare)
-        if not len(k):
-            return
-        key, d, w, nw = key[k], d[k], w[k], nw[k]
-        off = np.concatenate(([0], np.cumsum(np.diff(off)[k])))
+    k = np.flatnonzero(~bare)
+    k = k[_once(key[k], d[k], w[k])]
+    if not len(k):
+        return
+    size, off = np.diff(off)[k], off[:-1][k]
+    key, d, w, nw = key[k], d[k], w[k], nw[k]
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     n_runs = np.diff(np.append(head, len(key)))
     lane = np.repeat(np.arange(len(head)), n_runs)
@@ -80,7 +90,7 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         return
     # A separator symbol after each run keeps windows apart.
     pick = np.flatnonzero(several)
-    lens = np.diff(off)[pick]
+    lens = size[pick]
     begin = np.concatenate(([0], np.cumsum(lens + 1)))
     sym = np.ones(begin[-1], np.uint16)
     inside = np.arange(lens.sum()) + np.repeat(np.arange(len(pick)), lens)
@@ -108,6 +118,7 @@ def _settled(key, d, w, nw) -> Iterator[pa.RecordBatch]:
     """Rows without text: whole spans (nw > 0) pass; single windows of equal content (nw = 0) keep the first."""
     keep = nw > 0
     single = np.flatnonzero(~keep)
+    single = single[_once(key[single], d[single], w[single])]
     order = single[np.lexsort((w[single], d[single], key[single]))]
     later = order[1:][key[order[1:]] == key[order[:-1]]]
     rows = np.concatenate((np.flatnonzero(keep), later))
@@ -140,6 +151,8 @@ def _stretches(unit: R.Unit):
                     singles.append((K.Prefix(sym).of(start, start + unit.length), d[i], c["w"][i] + step))
             if singles:
                 e, d, w = (np.concatenate(x) for x in zip(*singles, strict=True))
+                once = _once(e, d, w)
+                e, d, w = e[once], d[once], w[once]
                 order = np.lexsort((w, d, e))
                 e, d, w = e[order], d[order], w[order]
                 first = np.ones(len(e), bool)

@@ -71,6 +71,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert jaccard.keep_one(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string")).count() == 2
 
 
+@pytest.mark.parametrize("lane_runs", [32, 1])
+def test_repeated_rows_that_share_a_passage(spark, monkeypatch, lane_runs):
+    monkeypatch.setattr(suffix_dedup, "LANE_RUNS", lane_runs)
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    texts = [(i, say(f"a{i}x", 40) + " " + say("shared", 40) + " " + say(f"b{i}x", 40)) for i in range(1, 5)]
+    want = brute.substring_dedup(texts)
+    assert want[1][1] == 0 and want[2][1] > 0
+    for parts in (1, 6):
+        df = spark.createDataFrame(texts + [texts[0]] * 3 + [texts[2]], "doc_id long, text string").repartition(parts)
+        got = suffix_dedup.dedup(df).collect()
+        assert len(got) == 8 and {tuple(r) for r in got} == {(k, *v) for k, v in want.items()}
+
+
 def test_debruijn(docs, rows, empty):
     got = as_dict(debruijn.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.window_dedup([r[:2] for r in rows])
