@@ -5,7 +5,7 @@ Edges are windows of k words. Edges that follow each other under one minimizer a
 they differ, Spark counts the single edges of the anchor's runs. Source coordinates (document, start) of the
 repeated edges mark the words to remove; every occurrence goes, the first included.
 
-Null texts have no words. An id's repeated rows count once and their result is repeated. Texts with fewer
+Null texts have no words. Repeated rows (same id and text) count once and their result is repeated. Texts with fewer
 words than the window lose nothing. An empty table gives no rows.
 """
 
@@ -102,6 +102,6 @@ def repeated_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
 def dedup(docs: DataFrame, k: int = WORDS, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     unit = R.Unit(k, gram, words=True)
-    base = R.read(docs, key, text)
+    base, names = R.read(docs, key, text)
     done = R.covered(base, repeated_windows(base, unit), unit, _finish, "d long, n_words long, n_removed long, kept_sha256 string")
-    return done.withColumnRenamed("d", key)
+    return R.named(done, names, "d").withColumnRenamed("d", key)

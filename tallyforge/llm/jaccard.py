@@ -15,7 +15,7 @@ Which grams are rare is known from counts in a table of fixed size over all docu
 verified on whole sets.
 
 Null and empty texts have empty sets and link with nothing; fewer words than n make one gram. Repeated rows
-share their id and set. An empty table gives no rows.
+share their id and set; rows of one id, or of none, with different texts are different documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
+from tallyforge.llm.repeats import named, read, text_hash
 from tallyforge.operators.components import connected_components
 from tallyforge.runtime import sized, table
 
 COUNTERS = 1 << 19
 SLOTS = 64
-NO_ID = -(1 << 63)
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -268,9 +268,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: key, n_shingles (set size), component_id (least key reachable by links)."""
-    spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    """A row a document: key, n_shingles (set size), component_id (least key reachable by links, null before others)."""
+    base, names = read(docs, key, text)
+    out = _groups(base, n, percent)
+    return named(out, names, "id", "component_id").select(F.col("id").alias(key), "n_shingles", "component_id")
+
+
+def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id) of documents (d, t)."""
+    spark = base.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(base, n))
     found = table(prefixes(base, n, percent, counts), "gram-prefixes")
     held = found.where("size > 0").groupBy("s1", "s2", "size")
@@ -309,15 +315,19 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
         steps.append(table(connected_components(links, "part_a", "part_b"), "gram-components"))
     member = found.select("id", "size", "s1", "s2").join(held.agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
-    out = renamed(member, "rep").withColumnRenamed("rep", "c")
-    real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return out.select(real("id").alias(key), F.col("size").alias("n_shingles"), real("c").alias("component_id"))
+    return renamed(member, "rep").select("id", F.col("size").alias("n_shingles"), F.col("rep").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group: the one with the least id.
 
-    Of rows with the same id one stays."""
-    groups = components(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    Of rows with the same id and text one stays."""
+    base, names = read(docs)
+    kept = _groups(base, n, percent).where(F.col("id") == F.col("component_id")).select("id").distinct()
+    if names is None:
+        groups = named(kept, None, "id").withColumnRenamed("id", "_keep")
+        return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    groups = names.join(kept, F.col("d") == F.col("id"), "left_semi").select(F.col("key").alias("_keep"), F.col("hash").alias("_kept_hash"))
+    rows = docs.withColumn("_hash", text_hash())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_kept_hash"))
+    return rows.join(groups, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")

@@ -7,7 +7,8 @@
 3. Windows of branches are settled by the operator's own method.
 Starts and counts are exact: an anchor is only ever a reason to look.
 
-Documents are told apart by id. Repeated rows (same id and text) are one document whose result is repeated.
+Documents are told apart by id and a hash of the text: null ids with different texts are different documents, as
+are the texts of one id. Repeated rows (same id and text) are one document whose result is repeated.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
+from tallyforge.runtime import table
 
 NO_ID = -(1 << 63)
 #: Rows: a run to compare, a run known to recur, a marker of its anchor.
@@ -51,9 +53,34 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t): ids and texts with nulls filled, the form every step joins on."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """(d, t), the form every step joins on, and the names of d.
+
+    Where each id has one text, d is the id (``NO_ID`` for null) and there are no names. Else d is a number in the
+    order of ids (null first) and text hashes, and the names are a table (d, key, hash)."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_hash(text).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    texts = rows.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    if texts.where((F.col("low") != F.col("high")) | (F.col("key") == NO_ID)).isEmpty():
+        return rows.select(F.coalesce("key", F.lit(NO_ID)).alias("d"), "t"), None
+    order = rows.select("key", "hash").distinct().repartitionByRange(F.col("key").asc_nulls_first(), F.col("hash")).sortWithinPartitions(F.col("key").asc_nulls_first(), "hash")
+    names = table(order.select(F.monotonically_increasing_id().alias("d"), "key", "hash"), "document-numbers")
+    of = names.toDF("d", "_key", "_hash")
+    return table(rows.join(of, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash"))).select("d", "t"), "documents"), names
+
+
+def named(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``rows`` with the ids of documents in place of their d in ``columns``."""
+    for c in columns:
+        if names is None:
+            rows = rows.withColumn(c, F.when(F.col(c) != NO_ID, F.col(c)))
+        else:
+            of = names.select(F.col("d").alias("_d"), F.col("key").alias("_key"))
+            rows = rows.join(of, F.col(c) == F.col("_d"), "left").withColumn(c, F.col("_key")).drop("_d", "_key")
+    return rows
 
 
 def _twins(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,4 +255,4 @@ def covered(base: DataFrame, spans: DataFrame, unit: Unit, finish: Callable, sch
                 gone = np.cumsum(edge[:-1]) > 0
                 yield pa.record_batch({"d": ids[i:j]} | finish(part, poff, sym, ends, bounds, gone))
 
-    return rows.mapInArrow(find, schema).withColumn("d", F.when(F.col("d") != NO_ID, F.col("d")))
+    return rows.mapInArrow(find, schema)

@@ -4,7 +4,7 @@ Candidate stretches come from ``repeats``; within an anchor, the stretches that
 other and their suffixes ordered by Lyndon-prefix groups (``lyndon``), so that equal windows are neighbours.
 The earliest start in document and position order keeps its bytes.
 
-Null texts are empty. An id's repeated rows count once and their result is repeated. Texts shorter than the
+Null texts are empty. Repeated rows (same id and text) count once and their result is repeated. Texts shorter than the
 window lose nothing. An empty table gives no rows.
 """
 
@@ -197,6 +197,6 @@ def later_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     unit = R.Unit(length, gram, words=False)
-    base = R.read(docs, key, text)
+    base, names = R.read(docs, key, text)
     done = R.covered(base, later_windows(base, unit), unit, _finish, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.withColumnRenamed("d", key)
+    return R.named(done, names, "d").withColumnRenamed("d", key)

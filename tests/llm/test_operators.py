@@ -84,6 +84,27 @@ def test_repeated_rows_that_share_a_passage(spark, monkeypatch, lane_runs):
         assert len(got) == 8 and {tuple(r) for r in got} == {(k, *v) for k, v in want.items()}
 
 
+def test_long_texts_without_ids_or_of_one_id_are_different_documents(spark):
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    shared = say("shared", 60)
+    texts = [say("a", 200) + " " + shared, shared + " " + say("b", 90), say("c", 300), say("d", 50) + " " + shared]
+    ids = [None, None, 7, 7]
+    schema = "doc_id long, text string, source string"
+    rows = list(zip(ids, texts, "abcd", strict=True))
+    df = spark.createDataFrame([*rows, rows[0], rows[3], (9, None, "e"), (None, None, "f")], schema).repartition(3)
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.dedup(df).collect()}
+    assert set(got) == {*zip(ids, map(len, texts), strict=True), (9, 0), (None, 0)}
+    assert got[7, len(texts[2])] == 0 and sum(x == 0 for x in (got[None, len(texts[0])], got[None, len(texts[1])])) == 1
+    assert got[7, len(texts[3])] == len("9 " + shared)  # a199 and d49 stand before it
+    words = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in debruijn.dedup(df).collect()}
+    assert words == {(None, 260): 60, (None, 150): 60, (7, 300): 0, (7, 110): 60, (9, 0): 0, (None, 0): 0}
+    assert jaccard.components(df).count() == 8
+    assert sorted(r["source"] for r in jaccard.keep_one(df).collect()) == list("abcdef")
+    near = spark.createDataFrame([*rows, (None, texts[0] + " x", "g"), (8, texts[2] + " y", "h")], schema)
+    kept = jaccard.keep_one(near)
+    assert kept.columns == near.columns and kept.count() == 4
+
+
 def test_debruijn(docs, rows, empty):
     got = as_dict(debruijn.dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute.window_dedup([r[:2] for r in rows])
