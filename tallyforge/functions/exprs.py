@@ -115,6 +115,8 @@ def normal_name(name: Column) -> Column:
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two hex strings of up to 15 digits; null if lengths differ or either is not hex."""
-    ok = (F.length(a) == F.length(b)) & a.rlike("^[0-9a-fA-F]{1,15}$") & b.rlike("^[0-9a-fA-F]{1,15}$")
-    return F.when(ok, F.bit_count(F.conv(a, 16, 10).cast("long").bitwiseXOR(F.conv(b, 16, 10).cast("long"))))
+    """Differing bits of two hex strings of any length, 15 digits at a time; null if lengths differ or either is not hex."""
+    ok = (F.length(a) == F.length(b)) & a.rlike("^[0-9a-fA-F]+$") & b.rlike("^[0-9a-fA-F]+$")
+    number = lambda c, i: F.conv(F.substring(c, i, F.lit(15)), 16, 10).cast("long")
+    add = lambda n, i: n + F.bit_count(number(a, i).bitwiseXOR(number(b, i)))
+    return F.when(ok, F.aggregate(F.sequence(F.lit(1), F.length(a), F.lit(15)), F.lit(0), add))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import features
+from tallyforge.operators import features, hashes
 from tallyforge.operators.components import connected_components
 from tallyforge.operators.upsert import version_guard
 from tallyforge.runtime import documents as read
@@ -220,18 +220,9 @@ def outcome_day(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hash_families(spark: SparkSession, sf: str) -> DataFrame:
-    """Families of parts with near perceptual hashes (of brand and type): pigeonhole blocks, then distance."""
+    """Families of parts with near perceptual hashes (of brand and type, cut to 24 bits and a limit of 5)."""
     base = read(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("asset")).distinct()
-    h = base.withColumn("hash", F.substring(F.md5("asset"), 1, 6))
-    pieces = h.select("asset", "hash", F.posexplode(F.array(*[F.substring("hash", i + 1, 1) for i in range(6)])).alias("at", "piece"))
-    # At most five bits over six digits leave one digit alike.
-    a, b = pieces.toDF("x", "xh", "at", "piece"), pieces.toDF("y", "yh", "at", "piece")
-    near = a.join(b, ["at", "piece"]).where((F.col("x") < F.col("y")) & (E.hamming(F.col("xh"), F.col("yh")) <= 5)).select("x", "y").distinct()
-    ids = h.select("asset", F.xxhash64("asset").alias("id"))
-    edges = near.join(ids.toDF("x", "a"), "x").join(ids.toDF("y", "b"), "y").select("a", "b")
-    found = ids.join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left").select("asset", F.coalesce("component", "id").alias("c"))
-    least = found.groupBy("c").agg(F.min("asset").alias("family"), F.count("*").alias("variations"))
-    return found.join(least, "c").select("asset", "family", "variations")
+    return hashes.families(base.select("asset", F.substring(F.md5("asset"), 1, 6).alias("hash")), limit=5)
 
 
 @query

@@ -40,6 +40,35 @@ def test_reporting_day_and_rounding(spark):
     assert one(spark, E.query_value(F.lit("/a?x=1&utm=a%20b+c"), "utm")) == "a b c"
 
 
+def test_hash_families_of_any_length(spark):
+    from tallyforge.operators import hashes
+
+    rng, rows = random.Random(4), [("none", None), ("word", "xyz"), ("odd", "abc")]
+    for digits in (6, 16, 33, 64):
+        for i in range(8):
+            x = rng.getrandbits(4 * digits)
+            rows.append((f"{digits}-{i}-0", f"{x:0{digits}x}"))
+            for bits in (6, 10, 11):
+                y = x ^ sum(1 << k for k in rng.sample(range(4 * digits), bits))
+                rows.append((f"{digits}-{i}-{bits}", f"{y:0{digits}X}"))
+    up = {k: k for k, _ in rows}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    good = [(k, h) for k, h in rows if h and h != "xyz"]
+    for i, (a, x) in enumerate(good):
+        for b, y in good[i + 1 :]:
+            if len(x) == len(y) and (int(x, 16) ^ int(y, 16)).bit_count() <= 10:
+                p, q = sorted((find(a), find(b)))
+                up[q] = p
+    got = {r["asset"]: r["family"] for r in hashes.families(spark.createDataFrame(rows, "asset string, hash string")).collect()}
+    assert got == {k: find(k) for k, _ in rows}
+    assert got["16-0-10"] == got["16-0-0"] and one(spark, E.hamming(F.lit("f" * 40), F.lit("0" * 40))) == 160
+
+
 def test_upsert_does_not_depend_on_order(spark):
     rows = [(k, v, a) for k in range(4) for v, a in ((1, 1), (3, 2), (3, 3), (2, 4))]
     target = spark.createDataFrame([(0, 9, 0), (1, 3, 0), (9, 1, 0)], "k int, v int, a int")
