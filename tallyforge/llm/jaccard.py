@@ -274,13 +274,12 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     return named(out, names, "id", "component_id").select(F.col("id").alias(key), "n_shingles", "component_id")
 
 
-def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n_shingles, component_id) of documents (d, t)."""
+def _index(base: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Set sizes and signatures of documents (d, t), the index lists, and the sets that occur in lists."""
     spark = base.sparkSession
     counts = spark.sparkContext.broadcast(gram_counts(base, n))
     found = table(prefixes(base, n, percent, counts), "gram-prefixes")
-    held = found.where("size > 0").groupBy("s1", "s2", "size")
-    reps = held.agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
+    reps = found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
     entries = reps.select(F.col("rep").alias("id"), "size", F.posexplode("grams").alias("pos", "token"))
     entries = entries.select("token", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("sp"))
     lists = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_leaders(percent), "token long, id long, size long, pos long, to array<long>")
@@ -294,6 +293,12 @@ def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
 
     once = base.join(needed, "d", "left_semi").dropDuplicates(["d"])
     sets = table(once.select("d", "t").mapInArrow(gather, "id long, grams binary"), "gram-sets")
+    return found, lists, sets
+
+
+def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id) of documents (d, t)."""
+    found, lists, sets = _index(base, n, percent)
     near = lists.select("id", F.explode("to").alias("to"))
     near = near.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).where("a <> b").distinct()
     steps = [table(connected_components(verified(near, sets, percent)), "gram-components")]
@@ -313,11 +318,34 @@ def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
         links = verified(across, sets.join(sized(named), "id", "left_semi"), percent)
         # Links across components join the components' names.
         steps.append(table(connected_components(links, "part_a", "part_b"), "gram-components"))
-    member = found.select("id", "size", "s1", "s2").join(held.agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
+    member = found.select("id", "size", "s1", "s2").join(found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
     return renamed(member, "rep").select("id", F.col("size").alias("n_shingles"), F.col("rep").alias("component_id"))
 
 
+def joined(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: a row a document (key, n_shingles, n_links, component_id), and the linked pairs (a, b) of
+    representatives, each the least id of the documents with its set.
+
+    n_links counts the other documents within the limit, equal sets included. All candidates are verified,
+    those inside a component too, so a group of m differing near copies costs about m * m / 2 pairs."""
+    base, names = read(docs, key, text)
+    found, lists, sets = _index(base, n, percent)
+    # Each set is a component of its own, so that no candidate is spared.
+    alone = lists.select("token", "size", "id", "pos", F.col("id").alias("part")).repartition("token").sortWithinPartitions("token", "size", "id")
+    candidates = table(alone.mapInArrow(_across(percent), "a long, b long, part_a long, part_b long").select("a", "b").distinct(), "gram-pairs")
+    pairs = table(verified(candidates, sets, percent).select("a", "b"), "gram-links")
+    same = ["s1", "s2", "size"]
+    member = found.select("id", *same)
+    equal = table(member.where("size > 0").distinct().groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("m")), "gram-equals")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = ends.join(equal.select(F.col("rep").alias("b"), "m"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("links"))
+    out = member.join(equal, same, "left").join(links, "rep", "left").join(connected_components(pairs).withColumnRenamed("node", "rep"), "rep", "left")
+    n_links = F.coalesce(F.col("m") - 1 + F.coalesce("links", F.lit(0)), F.lit(0))
+    out = out.select("id", F.col("size").alias("n_shingles"), n_links.alias("n_links"), F.coalesce("component", "rep", "id").alias("component_id"))
+    return named(out, names, "id", "component_id").withColumnRenamed("id", key), named(pairs, names, "a", "b")
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group: the one with the least id.
 

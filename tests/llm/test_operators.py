@@ -127,6 +127,19 @@ def test_jaccard(docs, rows, empty, n, percent):
     assert jaccard.components(empty).count() == 0
 
 
+def test_jaccard_join_gives_every_link(docs, rows):
+    sets = {r[0]: brute.shingles(r[1], 5) for r in rows}
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(j != i and linked(s, t) for j, t in sets.items()) for i, s in sets.items()}
+    own, pairs = jaccard.joined(docs.union(docs.where("doc_id = 6")))
+    assert own.count() == len(rows) + 1
+    assert as_dict(own, "doc_id", "n_links") == {i: (n,) for i, n in want.items()}
+    assert as_dict(own, "doc_id", "n_shingles", "component_id") == brute.jaccard([r[:2] for r in rows], 5, 80)
+    least = {s: min(i for i, t in sets.items() if t == s) for s in sets.values()}
+    found = sorted((a, b) for s, a in least.items() for t, b in least.items() if a < b and linked(s, t))
+    assert found and sorted((r["a"], r["b"]) for r in pairs.collect()) == found
+
+
 def test_mixing(docs, empty):
     docs = docs.withColumn("src", docs["source"])
     got = mixing.mix(docs, keep=("src",)).collect()
