@@ -8,7 +8,8 @@ link is lost. Cells are compared in blocks of members and visitors; blocks emit
 a vector, never pairs.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite numbers, link with nothing;
-vectors of different sizes are not compared. Repeated ids are one row each. No rows give no rows.
+vectors of different sizes are not compared; centres
+are fitted for 64 sizes, and each further size is one cell a label. Repeated ids are one row each. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ def _visits(centres: dict[int, np.ndarray], limit: float):
             for dim in np.unique(size):
                 rows = np.flatnonzero(size == dim)
                 part = batch.take(pa.array(rows))
-                x, c = _unit(part.column("v")), centres[int(dim)]
+                x = _unit(part.column("v"))
+                # A length without centres is a single cell.
+                c = centres.get(int(dim), np.eye(1, int(dim)))
                 score = x @ c.T
                 home = score.argmax(1)
                 apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]

@@ -164,6 +164,14 @@ def test_embeddings(spark):
     assert embeddings.near_dedup(df.limit(0)).count() == 0
 
 
+def test_lengths_without_centres_are_one_cell():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"u": [1, 2, 3], "label": ["a", "a", "a"], "m": [1, 1, 1], "v": [[1.0, 0.0], [0.0, -1.0], [1.0, 2.0, 3.0]]})
+    rows = [r for b in embeddings._visits({3: np.eye(3)}, 0.98)([batch]) for r in b.to_pylist()]
+    assert sorted((r["u"], r["cell"], r["member"]) for r in rows if r["dim"] == 2) == [(1, 0, True), (2, 0, True)]
+
+
 def test_warc(spark):
     trap = "WARC/1.1\r\nContent-Length: 5\r\n\r\nxx"
     pages = [(1, "http://a/", "same"), (2, "b\r\nc", "same"), (3, None, trap), (4, "d", None), (5, "e", "é" * 1000), (6, "f", "")]
