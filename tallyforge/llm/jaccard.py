@@ -1,18 +1,20 @@
 """N-gram Jaccard join by set-relation skipping.
 
-A document's set is its distinct word n-grams. Three relations between sets spare work, none spares a link:
+A document's set is its distinct word n-grams. Relations between sets spare work, none spares a link:
 
 * Equal sets have one answer: they collapse to one representative, whose component all of them share.
-* Index lists hold only the rarest grams of each set (a linking pair must share one of them). Lists are kept
-  in order of set size and position, and the blocks of entries whose size or position rules a link out are
-  skipped as a whole.
-* Sets that link to a list's leader, or to a neighbour in an order all lists share, take over that set's
-  answers: they are in its component. Sets still outside a list's largest component are then compared with a few
-  sets of other components, and at last every pair across components is, so a group of near copies costs about as
-  many comparisons as it has members.
-
-Which grams are rare is known from counts in a table of fixed size over all documents. Candidates are
-verified on whole sets.
+* Index lists hold only the rarest grams of each set (a linking pair must share one of them), each with its position.
+  Lists are dealt in blocks of neighbouring sizes and salts; a block whose sizes or positions rule a link out is
+  skipped, and inside a block a 512-bit parity signature of each set (two sets differ in at least as many grams as
+  their signatures in bits) rules out nearly all pairs that do not link.
+* Each list has a leader. The sets of the list are compared with it once, and what a highly similar set has less
+  and more than its leader is kept. The overlap of two sets with a leader in common is derived from these
+  differences alone; only other pairs are compared as whole sets.
+* Linked sets are one component; pairs inside a component are spared. After the leaders, each set outside its list's
+  largest component is compared with its best candidate there, and at last every pair across components is.
+
+Which grams are rare is known from counts in a table of fixed size over all documents. Links are decided on whole
+sets of 64-bit gram hashes.
 
 Null and empty texts have empty sets and link with nothing; fewer words than n make one gram. Repeated rows
 share their id and set; rows of one id, or of none, with different texts are different documents. An empty table gives no rows.
@@ -34,6 +36,13 @@ from tallyforge.runtime import sized, table
 
 COUNTERS = 1 << 19
 SLOTS = 64
+SIGNATURE_BITS = 512
+#: Entries of a list that stay together; a longer list is dealt out by salt.
+HOMES = 4096
+#: Pairs looked at in one array operation.
+PAIRS = 1 << 20
+#: With leaders, pairs this many hundredths under the limit are measured too: their differences serve later pairs.
+NEAR = 15
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -41,19 +50,24 @@ def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
     for i, j in K.chunks(off):
         part = K.lower(data[off[i] : off[j]])
         start, end, bounds = K.words(part, off[i : j + 1] - off[i])
-        word = K.Prefix(part).of(start, end)
-        run = K.Prefix(word)
-        gram = run.grams(n) if len(word) >= n else np.zeros(0, np.uint64)
+        word = K.word_hashes(part, start, end)
+        gram = K.gram_hashes(word, n)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= n:
                 g = np.sort(gram[a : b - n + 1])
                 yield g[np.concatenate(([True], g[1:] != g[:-1]))] if len(g) > 1 else g
             elif b > a:
-                yield run.of(np.array([a]), np.array([b]))
+                yield K.gram_hashes(word[a:b], b - a)
             else:
                 yield gram[:0]
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parity of the number of grams in each of the signature's bits."""
+    width = SIGNATURE_BITS.bit_length() - 1
+    return np.packbits(np.bincount((s >> np.uint64(64 - width)).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def gram_counts(base: DataFrame, n: int) -> np.ndarray:
     """How many documents hold a gram of each counter: a table of fixed size, summed in parts by Spark."""
     width = COUNTERS // SLOTS
@@ -85,18 +99,19 @@ def gram_counts(base: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """(id, size, s1, s2, grams): set size, signature and the grams of the index prefix, rarest first."""
+    """(id, size, s1, s2, sig, grams): set size, fingerprint, signature and the grams of the index prefix, rarest first."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
         for batch in batches:
             data, off = K.column(batch.column("t"))
-            size, s1, s2, out = [], [], [], []
+            size, s1, s2, sig, out = [], [], [], [], []
             for s in sets_of(data, off, n):
                 m = len(s)
                 size.append(m)
                 s1.append(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 s2.append(K.mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
+                sig.append(signature(s))
                 if m:
                     take = m - -(-percent * m // 100) + 1
                     order = np.lexsort((s, seen[(s >> np.uint64(20)).astype(np.int64) % COUNTERS]))[:take]
@@ -108,163 +123,223 @@ def prefixes(base: DataFrame, n: int, percent: int, counts) -> DataFrame:
             yield pa.record_batch({
                 "id": batch.column("d"), "size": np.array(size, np.int64),
                 "s1": np.array(s1, np.uint64).view(np.int64), "s2": np.array(s2, np.uint64).view(np.int64),
-                "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))),
+                "sig": pa.array(sig, pa.binary()), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))),
             })
 
-    return base.mapInArrow(find, "id long, size long, s1 long, s2 long, grams array<long>")
+    return base.mapInArrow(find, "id long, size long, s1 long, s2 long, sig binary, grams array<long>")
+
+
+def _need(na, nb, percent: int):
+    """How many grams sets of these sizes must share to link."""
+    return -(-percent * (na + nb) // (100 + percent))
 
 
 def _may_link(na, pa_, nb, pb, percent: int):
-    """Whether entries at positions pa_ and pb of sets of sizes na and nb can be the rare gram of a linking pair."""
+    """Whether entries at positions pa_ and pb of sets of sizes na and nb can be the rarest common gram of a linking pair."""
     low, high = np.minimum(na, nb), np.maximum(na, nb)
-    need = -(-percent * (na + nb) // (100 + percent))
+    need = _need(na, nb, percent)
     return (100 * low >= percent * high) & (pa_ <= na - need) & (pb <= nb - need)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Complete lists of equal ``token`` (the first field) from sorted batches."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(f).to_numpy(zero_copy_only=False) for f in fields]
-        if held:
-            cols = [np.concatenate((a, b)) for a, b in zip(held, cols, strict=True)]
-        if not len(cols[0]):
-            continue
-        last = int(np.searchsorted(cols[0], cols[0][-1])) if cols[0][0] != cols[0][-1] else 0
-        held = [c[last:] for c in cols]
-        if last:
-            yield [c[:last] for c in cols]
-    if held and len(held[0]):
-        yield held
-
-
-#: Lists up to this long are searched for entries that no other entry can link to.
-SHORT_LIST = 32
-#: Entries before it, in the order of the ids' hashes, with which each entry is compared first.
-NEIGHBOURS = 8
-#: Entries of other components with which an entry outside its list's largest component is compared next, and how often.
-TRIES, ROUNDS = 8, 3
-
-
-def _hopeless(head: np.ndarray, n: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
-    """Entries of short lists whose size and position rule out every other entry of the list."""
-    out = np.zeros(len(size), bool)
-    for m in np.unique(n[(n > 1) & (n <= SHORT_LIST)]).tolist():
-        at = head[n == m][:, None] + np.arange(m)[None, :]
-        s, p = size[at], pos[at]
-        can = _may_link(s[:, :, None], p[:, :, None], s[:, None, :], p[:, None, :], percent)
-        can[:, np.arange(m), np.arange(m)] = False
-        out[at] = ~can.any(2)
-    return out
-
-
-def _leaders(percent: int):
-    """Lists of two or more, each entry with those it is compared with first: its leader among sets of about
-    its size, and the entries before it in an order that all lists share, so that they name the same pairs."""
+#: What a round asks of a list: the leader's pairs, the best candidate of each visitor, or all pairs.
+LEAD, BEST, ALL = "lead", "best", "all"
+
+
+def _meet(percent: int, mode: str):
+    """Candidate pairs (a, b, part_a, part_b) from rows sorted by (token, block, salt, role): homes (role 0), then visitors."""
+    names = ("token", "block", "salt", "role", "id", "size", "pos", "part", "big")
+    least = percent - NEAR if mode == LEAD else percent
+
+    def pairs(c: dict, sig: np.ndarray, v: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch | None:
+        x = np.repeat(v, count)
+        y = np.arange(len(x)) + np.repeat(first - (np.cumsum(count) - count), count)
+        size, pos, part = c["size"], c["pos"], c["part"]
+        ok = part[x] != part[y]
+        if mode == ALL:
+            ok &= c["big"][y] | (c["id"][x] < c["id"][y])
+        x, y = x[ok], y[ok]
+        ok = _may_link(size[x], pos[x], size[y], pos[y], least)
+        x, y = x[ok], y[ok]
+        apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
+        both = size[x] + size[y]
+        ok = apart <= both - 2 * _need(size[x], size[y], least)
+        x, y, apart = x[ok], y[ok], apart[ok] / both[ok]
+        if mode == BEST and len(x):
+            order = np.lexsort((c["id"][y], apart, x))
+            k = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
+            x, y = x[k], y[k]
+        if not len(x):
+            return None
+        rows = np.stack((c["id"][x], c["id"][y], part[x], part[y]))
+        if mode != LEAD:
+            rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2]], rows)
+        return pa.record_batch(dict(zip(("a", "b", "part_a", "part_b"), np.unique(rows, axis=1), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, ids, sp in _runs(batches, ("token", "id", "sp")):
-            head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            n = np.diff(np.append(head, len(token)))
-            k = np.flatnonzero(np.repeat(n > 1, n))
-            if not len(k):
-                continue
-            token, ids, size, pos = token[k], ids[k], sp[k] >> 32, sp[k] & 0xFFFFFFFF
-            n = n[n > 1]
-            k = np.flatnonzero(~_hopeless(np.cumsum(n) - n, n, size, pos, percent))
-            token, ids, size, pos = token[k], ids[k], size[k], pos[k]
-            if not len(k):
+        held: tuple[dict, np.ndarray] | None = None
+        for batch in batches:
+            c = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in names}
+            sig = np.frombuffer(K.column(batch.column("sig"))[0].tobytes(), np.uint64).reshape(batch.num_rows, -1)
+            if held:
+                c, sig = {f: np.concatenate((held[0][f], c[f])) for f in names}, np.concatenate((held[1].reshape(-1, sig.shape[1]), sig))
+            if not len(sig):
                 continue
-            block = np.floor(np.log(size) / -np.log(percent / 100)).astype(np.int64)
-            order = np.lexsort((K.mix(ids.view(np.uint64)), block, token))
-            token, ids, size, pos, block = (x[order] for x in (token, ids, size, pos, block))
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
-            own = np.arange(len(token))
-            lead = np.maximum.accumulate(np.where(new, own, 0))
-            to = np.stack([lead, *(np.maximum(own - i, lead) for i in range(1, NEIGHBOURS + 1))], 1)
-            ok = (to != own[:, None]) & _may_link(size[:, None], pos[:, None], size[to], pos[to], percent)
-            ends = np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)
-            yield pa.record_batch({"token": token, "id": ids, "size": size, "pos": pos, "to": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[to][ok]))})
+            new = np.ones(len(sig), bool)
+            new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["block"][1:] != c["block"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
+            start = np.flatnonzero(new)
+            homes = np.add.reduceat((c["role"] == 0).astype(np.int64), start)
+            group = np.cumsum(new) - 1
+            v = np.flatnonzero((c["role"] == 1) & (homes[group] > 0))
+            first, count = start[group[v]], homes[group[v]]
+            total, i = np.cumsum(count), 0
+            while i < len(v):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+                if (out := pairs(c, sig, v[i:j], first[i:j], count[i:j])) is not None:
+                    yield out
+                i = j
+            # The homes of the last group wait for visitors of the next batch.
+            last = slice(start[-1], start[-1] + homes[-1])
+            held = {f: x[last] for f, x in c.items()}, sig[last]
 
     return run
 
 
-def _across(percent: int, tries: int | None = None, seed: int = 0):
-    """Pairs of a list whose sets are in different components and may link, with these components; with
-    ``tries`` only so many, chosen by hash, of each entry outside the largest component."""
+def _candidates(lists: DataFrame, percent: int, mode: str) -> DataFrame:
+    """(a, b, part_a, part_b) from open lists (token, id, size, pos, sig, part, main, m): main is the leader's part or
+    the largest component, m the length of the list. Everything outside main visits the blocks of sizes near its own; with leaders, the leader does."""
+    salts = F.ceil(F.col("m") / HOMES).cast("int")
+    # A little more than the ratio of sizes that can link, so that such sizes lie in blocks next to each other.
+    block = F.floor(F.log("size") / float(-np.log(percent / 100) * 1.0001)).cast("int")
+    at = lists.select("token", block.alias("block"), salts.alias("salts"), "id", "size", "pos", "part", (F.col("part") == F.col("main")).alias("big"), "sig")
+    row = lambda role: [F.lit(role).alias("role"), "id", "size", "pos", "part", "big", "sig"]
+    homes = at.select("token", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *row(0))
+    visits = at.where("big" if mode == LEAD else "NOT big")
+    visits = visits.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    both = homes.unionByName(visits.select("token", "block", "salt", *row(1))).repartition("token", "block", "salt").sortWithinPartitions("token", "block", "salt", "role")
+    return both.mapInArrow(_meet(percent, mode), "a long, b long, part_a long, part_b long").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _runs(batches, ("token", "size", "id", "pos", "part")):
-            token, part = cols[0], cols[4]
-            head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            n = np.diff(np.append(head, len(token)))
-            mixed = np.maximum.reduceat(part, head) != np.minimum.reduceat(part, head)
-            a, b, x, y = [], [], [], []
-            for h, m in zip(head[mixed].tolist(), n[mixed].tolist(), strict=True):
-                size, ids, pos, comp = (c[h : h + m] for c in cols[1:])
-                names, own, count = np.unique(comp, return_inverse=True, return_counts=True)
-                large = own == count.argmax()
-                # Blocks of sizes too far apart are skipped at once; within reach only other components count.
-                lo = np.searchsorted(size, -(-percent * size // 100))
-                hi = np.searchsorted(size, 100 * size // percent, "right")
-                for i in np.flatnonzero(~large).tolist():
-                    j = np.arange(lo[i], hi[i])
-                    j = j[(own[j] != own[i]) & (large[j] | (j > i))]
-                    j = j[_may_link(size[i], pos[i], size[j], pos[j], percent)]
-                    if tries is not None and len(j) > tries:
-                        j = j[np.argpartition(K.mix(ids[j].view(np.uint64) ^ K.mix(ids[i : i + 1].view(np.uint64) + np.uint64(seed))), tries)[:tries]]
-                    if len(j):
-                        a.append(np.full(len(j), ids[i]))
-                        b.append(ids[j])
-                        x.append(np.full(len(j), comp[i]))
-                        y.append(comp[j])
-                if sum(map(len, a)) > 100_000:
-                    yield _pairs(a, b, x, y)
-                    a, b, x, y = [], [], [], []
-            if a:
-                yield _pairs(a, b, x, y)
 
-    return run
+def _packed(s: np.ndarray) -> bytes:
+    return s.astype("<u8").tobytes()
 
 
-def _pairs(*columns: list[np.ndarray]) -> pa.RecordBatch:
-    a, b, x, y = (np.concatenate(c) for c in columns)
-    turn = a > b
-    rows = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), np.where(turn, y, x), np.where(turn, x, y))), axis=1)
-    return pa.record_batch(dict(zip(("a", "b", "part_a", "part_b"), rows, strict=True)))
+def _unpacked(raw) -> np.ndarray:
+    return np.frombuffer(raw, "<u8") if len(raw) else np.zeros(0, "<u8")
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """The upper five bytes of sorted hashes: one set is compared with another, not with all grams there are."""
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _shared(p: np.ndarray, q: np.ndarray) -> int:
+    """How many values two sorted arrays share."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
 
 
-def _unpacked(raw) -> np.ndarray:
-    five = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.reshape(-1).view("<u8")
+def _links(both: int, na: int, nb: int, percent: int) -> bool:
+    return 100 * both >= percent * (na + nb - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` whose sets a and b link."""
-    names = pairs.columns
+def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, part_a, part_b) compared as whole sets: linked, and what b has less and more than a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, minus, plus = [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-                if len(p) > len(q):
-                    p, q = q, p
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+                less, more = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                linked.append(_links(len(p) - len(less), len(p), len(q), percent))
+                minus.append(_packed(less))
+                plus.append(_packed(more))
+            out = batch.select(["a", "b", "part_a", "part_b"]).to_pydict()
+            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()} | {"linked": pa.array(linked, pa.bool_()), "minus": pa.array(minus, pa.binary()), "plus": pa.array(plus, pa.binary())})
+
+    x = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(y, "b").join(x, "a").select("a", "b", "part_a", "part_b", "x", "y")
+    return both.mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean, minus binary, plus binary")
+
 
-    x = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    y = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    return pairs.join(x, "b").join(y, "a").select(*names, "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+def derived(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of the pairs whose sets have a leader in common, from their differences to it.
+
+    ``forms``: (id, base, n, minus, plus), n the size of the base's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            cols = (batch.column(c) for c in ("n", "minus_a", "plus_a", "minus_b", "plus_b"))
+            for n, *parts in zip(*cols, strict=True):
+                ma, pa_, mb, pb = (_unpacked(p.as_buffer()) for p in parts)
+                n = n.as_py()
+                # Grams of the base that both have, and grams beyond it that both have.
+                both = n - len(ma) - len(mb) + _shared(ma, mb) + _shared(pa_, pb)
+                linked.append(_links(both, n - len(ma) + len(pa_), n - len(mb) + len(pb), percent))
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
+
+    form = lambda c: forms.select(F.col("id").alias(c), "base", *([F.col("n")] if c == "a" else []), F.col("minus").alias(f"minus_{c}"), F.col("plus").alias(f"plus_{c}"))
+    both = pairs.select("a", "b").join(form("a"), "a").join(form("b"), ["b", "base"]).select("a", "b", "n", "minus_a", "plus_a", "minus_b", "plus_b")
+    return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+
+
+class _Search:
+    """The index of documents (d, t), and links between its sets."""
+
+    def __init__(self, base: DataFrame, n: int, percent: int):
+        self.base, self.n, self.percent = base, n, percent
+        counts = base.sparkSession.sparkContext.broadcast(gram_counts(base, n))
+        self.found = table(prefixes(base, n, percent, counts), "gram-prefixes")
+        reps = self.found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.first("grams").alias("grams"), F.first("sig").alias("sig"))
+        self.reps = table(reps, "gram-sets")
+        entries = self.reps.select("id", "size", F.posexplode("grams").alias("pos", "token"))
+        # Counting first leaves a common gram one row a task, so no list is gathered to learn its length.
+        shared = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+        lists = entries.join(sized(table(shared, "gram-tokens")), "token", "left_semi").join(self.reps.select("id", "sig"), "id")
+        self.lists = table(lists.select("token", "id", "size", F.col("pos").cast("long").alias("pos"), "sig"), "gram-lists")
+        self.sizes = self.reps.select("id", F.col("size").alias("n"))
+        self.forms: DataFrame | None = None
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(id, grams) of the sets that occur in ``pairs``, from their texts."""
+        n = self.n
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, off = K.column(batch.column("t"))
+                yield pa.record_batch({"id": batch.column("d"), "grams": pa.array([_packed(s) for s in sets_of(data, off, n)], pa.binary())})
+
+        wanted = table(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "gram-wanted")
+        once = self.base.join(sized(wanted), "d", "left_semi").select("d", "t")
+        return table(once.mapInArrow(gather, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "gram-whole")
+
+    def open(self, at: DataFrame, mode: str) -> DataFrame:
+        """The entries of lists (with part) that hold several components, with main and m."""
+        if mode == LEAD:
+            stats = at.groupBy("token").agg(F.min_by("id", F.xxhash64("id")).alias("main"), F.count("*").alias("m"))
+        else:
+            parts = at.groupBy("token", "part").agg(F.count("*").alias("_m"))
+            stats = parts.groupBy("token").agg(F.max_by("part", F.struct("_m", "part")).alias("main"), F.sum("_m").alias("m"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+        return table(at.drop("main", "m").join(sized(table(stats, "gram-stats")), "token"), "gram-open")
+
+    def lead(self) -> DataFrame:
+        """Links of sets to the leaders of their lists; their forms (differences to leaders) are kept."""
+        at = self.open(self.lists.withColumn("part", F.col("id")), LEAD)
+        near = table(_candidates(at, self.percent, LEAD), "gram-pairs")
+        got = table(measured(near, self.sets(near), self.percent), "gram-answers")
+        own = got.select(F.col("a").alias("id")).distinct()
+        nothing = F.lit(b"").alias("minus"), F.lit(b"").alias("plus")
+        forms = got.select(F.col("b").alias("id"), F.col("a").alias("base"), "minus", "plus").unionByName(own.select("id", F.col("id").alias("base"), *nothing))
+        self.forms = table(forms.join(self.sizes.withColumnRenamed("id", "base"), "base"), "gram-forms")
+        return got.where("linked").select("a", "b", "part_a", "part_b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` that link: by forms where both sets have one to the same leader, else as whole sets."""
+        short = table(derived(pairs, self.forms, self.percent), "gram-derived")
+        rest = table(pairs.join(short, ["a", "b"], "left_anti"), "gram-rest")
+        linked = pairs.join(short.where("linked").select("a", "b"), ["a", "b"], "left_semi")
+        if rest.isEmpty():
+            return linked
+        whole = measured(rest, self.sets(rest), self.percent).where("linked").select("a", "b", "part_a", "part_b")
+        return linked.unionByName(whole)
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,69 +349,53 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_i
     return named(out, names, "id", "component_id").select(F.col("id").alias(key), "n_shingles", "component_id")
 
 
-def _index(base: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Set sizes and signatures of documents (d, t), the index lists, and the sets that occur in lists."""
-    spark = base.sparkSession
-    counts = spark.sparkContext.broadcast(gram_counts(base, n))
-    found = table(prefixes(base, n, percent, counts), "gram-prefixes")
-    reps = found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep"), F.first("grams").alias("grams"))
-    entries = reps.select(F.col("rep").alias("id"), "size", F.posexplode("grams").alias("pos", "token"))
-    entries = entries.select("token", "id", (F.shiftleft("size", 32) + F.col("pos")).alias("sp"))
-    lists = entries.repartition("token").sortWithinPartitions("token").mapInArrow(_leaders(percent), "token long, id long, size long, pos long, to array<long>")
-    lists = table(lists, "gram-lists")
-    needed = lists.select(F.col("id").alias("d")).distinct()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.column(batch.column("t"))
-            yield pa.record_batch({"id": batch.column("d"), "grams": pa.array([_packed(s) for s in sets_of(data, off, n)], pa.binary())})
-
-    once = base.join(needed, "d", "left_semi").dropDuplicates(["d"])
-    sets = table(once.select("d", "t").mapInArrow(gather, "id long, grams binary"), "gram-sets")
-    return found, lists, sets
-
-
 def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n_shingles, component_id) of documents (d, t)."""
-    found, lists, sets = _index(base, n, percent)
-    near = lists.select("id", F.explode("to").alias("to"))
-    near = near.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).where("a <> b").distinct()
-    steps = [table(connected_components(verified(near, sets, percent)), "gram-components")]
-
-    def renamed(df: DataFrame, name: str) -> DataFrame:
-        for step in steps:
-            df = df.join(step.toDF(name, "_to"), name, "left").withColumn(name, F.coalesce("_to", name)).drop("_to")
-        return df
-
-    for seed, tries in enumerate((*[TRIES] * ROUNDS, None)):
-        at = renamed(lists.select("token", "size", "id", "pos", F.col("id").alias("part")), "part").select("token", "size", "id", "pos", "part")
-        at = at.repartition("token").sortWithinPartitions("token", "size", "id")
-        across = table(at.mapInArrow(_across(percent, tries, seed), "a long, b long, part_a long, part_b long").distinct(), "gram-pairs")
-        if across.isEmpty():
-            break
-        named = across.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        links = verified(across, sets.join(sized(named), "id", "left_semi"), percent)
-        # Links across components join the components' names.
+    search = _Search(base, n, percent)
+    steps: list[DataFrame] = []
+    at = search.lists.withColumn("part", F.col("id"))
+
+    def join(links: DataFrame) -> bool:
+        """Links across components join the components' names; whether there are any."""
+        nonlocal at
+        links = table(links.select("part_a", "part_b").distinct(), "gram-links")
+        if links.isEmpty():
+            return False
         steps.append(table(connected_components(links, "part_a", "part_b"), "gram-components"))
-    member = found.select("id", "size", "s1", "s2").join(found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("rep")), ["s1", "s2", "size"], "left")
+        at = at.join(steps[-1].toDF("part", "_to"), "part", "left").withColumn("part", F.coalesce("_to", "part")).drop("_to")
+        return True
+
+    gained = join(search.lead())
+    for mode in (BEST, BEST, ALL):
+        if mode == BEST and not gained:
+            continue
+        at = search.open(at, mode)
+        across = table(_candidates(at, percent, mode), "gram-pairs")
+        if across.isEmpty():
+            break  # a list with a candidate across components has a best one: the later rounds would find none either
+        gained = join(search.verified(across))
+    member = search.found.select("id", "size", "s1", "s2").join(search.reps.select("s1", "s2", "size", F.col("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
-    return renamed(member, "rep").select("id", F.col("size").alias("n_shingles"), F.col("rep").alias("component_id"))
+    for step in steps:
+        member = member.join(step.toDF("rep", "_to"), "rep", "left").withColumn("rep", F.coalesce("_to", "rep")).drop("_to")
+    return member.select("id", F.col("size").alias("n_shingles"), F.col("rep").alias("component_id"))
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The join itself: a row a document (key, n_shingles, n_links, component_id), and the linked pairs (a, b) of
     representatives, each the least id of the documents with its set.
 
-    n_links counts the other documents within the limit, equal sets included. All candidates are verified,
-    those inside a component too, so a group of m differing near copies costs about m * m / 2 pairs."""
+    n_links counts the other documents within the limit, equal sets included. All candidates are verified, those inside
+    a component too, so a group of m differing near copies costs about m * m / 2 pairs; most are derived from differences."""
     base, names = read(docs, key, text)
-    found, lists, sets = _index(base, n, percent)
+    search = _Search(base, n, percent)
+    search.lead()
     # Each set is a component of its own, so that no candidate is spared.
-    alone = lists.select("token", "size", "id", "pos", F.col("id").alias("part")).repartition("token").sortWithinPartitions("token", "size", "id")
-    candidates = table(alone.mapInArrow(_across(percent), "a long, b long, part_a long, part_b long").select("a", "b").distinct(), "gram-pairs")
-    pairs = table(verified(candidates, sets, percent).select("a", "b"), "gram-links")
+    alone = search.open(search.lists.withColumn("part", F.col("id")), ALL)
+    candidates = table(_candidates(alone, percent, ALL), "gram-pairs")
+    pairs = table(search.verified(candidates).select("a", "b"), "gram-links")
     same = ["s1", "s2", "size"]
-    member = found.select("id", *same)
+    member = search.found.select("id", *same)
     equal = table(member.where("size > 0").distinct().groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("m")), "gram-equals")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = ends.join(equal.select(F.col("rep").alias("b"), "m"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("links"))
@@ -349,13 +408,17 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each group: the one with the least id.
 
-    Of rows with the same id and text one stays."""
+    Of rows with the same id and text one stays. Documents without an id are told apart by their texts."""
     base, names = read(docs)
-    kept = _groups(base, n, percent).where(F.col("id") == F.col("component_id")).select("id").distinct()
+    gone = _groups(base, n, percent).where("id <> component_id").select("id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("key"), text_hash().alias("hash"))
     if names is None:
-        groups = named(kept, None, "id").withColumnRenamed("id", "_keep")
-        return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
-    groups = names.join(kept, F.col("d") == F.col("id"), "left_semi").select(F.col("key").alias("_keep"), F.col("hash").alias("_kept_hash"))
-    rows = docs.withColumn("_hash", text_hash())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_kept_hash"))
-    return rows.join(groups, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+        gone = table(named(gone, None, "id").select(F.col("id").alias("gone")), "gram-gone")
+        left = rows.join(sized(gone), F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    else:
+        gone = table(names.join(gone, F.col("d") == F.col("id"), "left_semi").select(F.col("key").alias("gone"), F.col("hash").alias("gone_hash")), "gram-gone")
+        left = rows.join(sized(gone), F.col("key").eqNullSafe(F.col("gone")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["key", "hash"])
+    return left.select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,55 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on (zeros behind the end), as one number each."""
+    padded = np.concatenate((data, np.zeros(15 - len(data) % 8, np.uint8)))
+    out = np.empty(len(padded) - 7, U)
+    for i in range(8):
+        part = padded[i : i + (len(padded) - i) // 8 * 8].view("<u8")
+        out[i::8] = part[: len(out[i::8])]
+    return out
+
+
+#: Words longer than this are hashed by BLAKE2b, the others eight bytes at a time.
+_LONG_WORD = 64
+_masks = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes. Nothing in it is linear, so no two patterned words are sure to collide."""
+    size = end - start
+    out = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(1))
+    if not len(size):
+        return out
+    eights, at, live = _eights(data), start, None
+    for k in range(0, _LONG_WORD, 8):
+        live = np.flatnonzero((size > k) & (size <= _LONG_WORD)) if k else np.flatnonzero(size <= _LONG_WORD)
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ mix((eights[at[live] + k] & _masks[np.minimum(size[live] - k, 8)]) + U(0xA0761D6478BD642F)))
+    for i in np.flatnonzero(size > _LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def gram_hashes(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n word hashes, mixed word by word."""
+    m = max(0, len(word) - n + 1)
+    out = np.full(m, n, U)
+    for i in range(n):
+        out = mix(out + word[i : m + i] * U(0x9E3779B97F4A7C15))
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2b digests of stretches of bytes, in two halves: equal digests stand for equal bytes."""
+    raw = memoryview(np.ascontiguousarray(data))
+    both = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    halves = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _lower[data]
 
