@@ -13,10 +13,15 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a new one is set only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a new one is set: in local mode a
+    temporary folder, on a cluster one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tf-scratch-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -34,6 +39,15 @@ def table(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``key``, as many as a shuffle has partitions: joins and
+    aggregations by ``key`` then read it in place."""
+    spark, name = df.sparkSession, f"tf_{label}_{uuid.uuid4().hex[:12]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint only if it is known to have at most ``limit`` rows; else the join shuffles."""
     n = df.count() if rows is None else rows
