@@ -1,9 +1,12 @@
-"""Substring dedup over a de Bruijn graph of words: drop words covered by a window that occurs elsewhere.
+"""Substring dedup over a compacted de Bruijn graph of words: drop words covered by a window that occurs elsewhere.
 
-Edges are windows of k words. Edges that follow each other under one minimizer are a compacted path (a run of
-``repeats``): where all runs of an anchor agree, the path does not branch and is repeated as a whole; where
-they differ, Spark counts the single edges of the anchor's runs. Source coordinates (document, start) of the
-repeated edges mark the words to remove; every occurrence goes, the first included.
+Edges are windows of k words, nodes the k - 1 words that two edges share. Edges under one minimizer follow each
+other without a branch wherever all runs of the anchor agree (``repeats``): such stretches are compacted at once. The
+edges of the others are met by a digest of their words in Spark. The repeated ones form the graph: nodes get
+their degrees, a node with one edge in and one out joins the two, and pointer jumping over these joins gives every edge
+the path it lies on and its place there. Source coordinates (document, start) of the edges are then grouped
+by path and by where the path would begin; only edges that follow each other in the source become a span. Every occurrence goes,
+the first included.
 
 Null texts have no words. Repeated rows (same id and text) count once and their result is repeated. Texts with fewer
 words than the window lose nothing. An empty table gives no rows.
@@ -22,65 +25,97 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
 from tallyforge.llm import repeats as R
+from tallyforge.runtime import sized, table
 
 WORDS = 35
 GRAM = 12
+EDGE = ["e1", "e2"]
 
 
 def _edges(unit: R.Unit):
+    """Edges of branches: (digest e1, e2, nodes u and v, d, w, p), p the kind and, for spans, how many edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for (sd, sw, sn), sym, d, at, c in R.per_run(batch, unit):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            for (sd, sw, sn), part, d, at, c in R.per_run(batch, unit):
                 if len(sd):
-                    yield _rows(R._scramble(np.zeros(len(sd), np.uint64), sd, sw), sd, sw, sn * 4 + R.KNOWN)
+                    yield _spans(sd, sw, sn)
                 if not len(d):
                     continue
                 rep = c["nw"].astype(np.int64)
                 i = np.repeat(np.arange(len(at)), rep)
-                step = np.arange(len(i)) - np.repeat(np.concatenate(([0], np.cumsum(rep)[:-1])), rep) if len(i) else np.zeros(0, np.int64)
+                step = np.arange(len(i)) - np.repeat(np.cumsum(rep) - rep, rep)
                 start = at[i] + step
-                for o, x in zip(out, (K.Prefix(sym).of(start, start + unit.length), d[i], c["w"][i] + step, c["multi"][i].astype(bool)), strict=True):
+                node = K.Prefix(part.sym)
+                u, v = node.of(start, start + unit.length - 1), node.of(start + 1, start + unit.length)
+                e1, e2 = part.digests(start, start + unit.length)
+                for o, x in zip(out, (e1, e2, R._signed(u), R._signed(v), d[i], c["w"][i] + step, c["multi"][i].astype(bool)), strict=True):
                     o.append(x)
             if not out[0] or not sum(map(len, out[0])):
                 continue
-            e, d, w, known = map(np.concatenate, out)
-            order, head, n = R._twins(w, d, e)
-            e, d, w, known = e[order], d[order], w[order], known[order]
+            e1, e2, u, v, d, w, known = map(np.concatenate, out)
+            order = np.lexsort((w, d, e2, e1))
+            e1, e2, u, v, d, w, known = (x[order] for x in (e1, e2, u, v, d, w, known))
+            new = np.ones(len(e1), bool)
+            new[1:] = (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1])
+            head = np.flatnonzero(new)
             # Two starts of an edge in one batch: both recur, and one marker tells the others.
-            differ = np.zeros(len(e), bool)
-            differ[1:] = (e[1:] == e[:-1]) & ((d[1:] != d[:-1]) | (w[1:] != w[:-1]))
-            group = np.repeat(np.arange(len(head)), n)
-            several = np.zeros(len(head), bool)
-            np.logical_or.at(several, group, differ | known)
-            hit = several[group]
+            differ = np.zeros(len(e1), bool)
+            differ[1:] = ~new[1:] & ((d[1:] != d[:-1]) | (w[1:] != w[:-1]))
+            several = np.logical_or.reduceat(differ | known, head)
+            hit = several[np.cumsum(new) - 1]
             mark = head[several]
-            hd, hw, hn = R._merged(d[hit], w[hit], np.ones(int(hit.sum()), np.int64))
-            yield _rows(R._scramble(np.ones(len(hd), np.uint64), hd, hw), hd, hw, hn * 4 + R.KNOWN)
-            yield _rows(e[~hit], d[~hit], w[~hit], np.full(int((~hit).sum()), 4 + R.OPEN))
-            yield _rows(e[mark], np.full(len(mark), R.NO_ID), np.zeros(len(mark), np.int64), np.full(len(mark), R.MARK))
+            yield _spans(*R._merged(d[hit], w[hit], np.ones(int(hit.sum()), np.int64)))
+            yield _rows(e1[~hit], e2[~hit], u[~hit], v[~hit], d[~hit], w[~hit], np.full(int((~hit).sum()), R.OPEN))
+            yield _rows(e1[mark], e2[mark], u[mark], v[mark], np.full(len(mark), R.NO_ID), np.zeros(len(mark), np.int64), np.full(len(mark), R.MARK))
 
     return run
 
 
-def _rows(e, d, w, p) -> pa.RecordBatch:
-    return pa.record_batch({"e": R._signed(e), "d": d, "w": w, "p": p.astype(np.int64)})
+def _rows(e1, e2, u, v, d, w, p) -> pa.RecordBatch:
+    return pa.record_batch({"e1": e1, "e2": e2, "u": u, "v": v, "d": d, "w": w, "p": np.asarray(p, np.int64)})
+
+
+def _spans(d: np.ndarray, w: np.ndarray, nw: np.ndarray) -> pa.RecordBatch:
+    """Settled spans, dealt out evenly."""
+    zero = np.zeros(len(d), np.int64)
+    return _rows(R._signed(R._scramble(np.ones(len(d), np.uint64), d, w)), zero, zero, zero, d, w, nw * 4 + R.KNOWN)
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(e1, e2, path, place) of distinct edges (e1, e2, u, v): the nonbranching path of an edge, and its place on it.
+
+    A node with one edge in and one out joins them. Every edge then knows the one before it; pointer jumping
+    doubles the distance until the first edge of the path is reached. The edges of a ring have no first one
+    and stay paths of their own."""
+    numbered = table(edges.select(F.monotonically_increasing_id().alias("e"), *EDGE, "u", "v"), "graph-edges")
+    into = numbered.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("e").alias("before"))
+    out = numbered.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("e").alias("e"))
+    joints = into.join(out, "node").where("n_in = 1 AND n_out = 1 AND e <> before")
+    at = table(joints.select("e", F.col("before").alias("up"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("going")), "graph-joints")
+    reach, count = 1, at.count()
+    while reach <= 2 * count:
+        far = at.select(F.col("e").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
+        at = at.join(far, "up", "left")
+        at = table(at.select("e", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_up").isNotNull().alias("going")), "graph-jumps")
+        reach *= 2
+        if at.where("going").isEmpty():
+            break
+    done = at.where("NOT going").select("e", "up", "hops")
+    return numbered.join(done, "e", "left").select(*EDGE, F.coalesce("up", "e").alias("path"), F.coalesce("hops", F.lit(0)).alias("place"))
 
 
 def _finish(data, off, start, end, bounds, gone):
     total = np.concatenate(([0], np.cumsum(gone)))
     n = np.diff(bounds)
     removed = total[bounds[1:]] - total[bounds[:-1]]
-    # Kept words and one space after each, then cut the last space of every document.
+    # Kept words and one space after each; the last space of every document is cut.
     keep = np.flatnonzero(~gone)
-    size = end[keep] - start[keep] + 1
-    at = np.concatenate(([0], np.cumsum(size)))
-    out = np.full(at[-1], 0x20, np.uint8)
-    inside = np.ones(at[-1], bool)
-    inside[at[1:] - 1] = False
-    length = end[keep] - start[keep]
-    source = np.arange(length.sum()) + np.repeat(start[keep] - np.concatenate(([0], np.cumsum(length)[:-1])), length) if len(keep) else np.zeros(0, np.int64)
-    out[inside] = data[source]
+    inside = np.zeros(len(data) + 1, np.int32)
+    np.add.at(inside, start[keep], 1)
+    np.add.at(inside, end[keep], -1)
+    out, at = K.joined_words(np.where(np.cumsum(inside[:-1]) > 0, data, 0x20).astype(np.uint8), start[keep], end[keep])
     left = np.concatenate(([0], np.cumsum(n - removed)))
     whole, cut = out.tobytes(), at[left]
     return {
@@ -92,16 +127,25 @@ def _finish(data, off, start, end, bounds, gone):
 def repeated_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
     """(d, w, nw): windows w to w + nw - 1 of document d also start elsewhere."""
     runs = R.compared_runs(base, R.recurring_runs(base, unit), unit, keep_first=False)
-    edges = R.expand(base, runs, _edges(unit), "e long, d long, w long, p long")
-    by, spot = W.partitionBy("e"), F.struct("d", "w")
-    kind = F.col("p").bitwiseAND(F.lit(3))
-    met = edges.withColumn("_two", F.min(spot).over(by) != F.max(spot).over(by))
-    return met.where((kind == R.KNOWN) | ((kind == R.OPEN) & F.col("_two"))).select("d", "w", F.shiftright("p", 2).alias("nw"))
+    edges = R.expand(base, runs, _edges(unit), "e1 long, e2 long, u long, v long, d long, w long, p long")
+    by, spot = W.partitionBy(*EDGE), F.struct("d", "w")
+    met = edges.withColumn("kind", F.col("p").bitwiseAND(F.lit(3))).withColumn("_two", F.min(spot).over(by) != F.max(spot).over(by))
+    met = table(met.where((F.col("kind") == R.KNOWN) | F.col("_two")), "repeated-edges")
+    known = met.where(F.col("kind") == R.KNOWN).select("d", "w", F.shiftright("p", 2).alias("nw"))
+    graph = met.where(F.col("kind") != R.KNOWN)
+    paths = table(compacted(graph.groupBy(*EDGE).agg(F.first("u").alias("u"), F.first("v").alias("v"))), "graph-paths")
+    found = graph.where(F.col("kind") == R.OPEN).select(*EDGE, "d", "w").join(sized(paths), EDGE)
+    found = found.select("path", "d", "w", (F.col("w") - F.col("place")).alias("begin"))
+    # Edges of a path are one span only as far as they follow each other in the source.
+    by = W.partitionBy("path", "d", "begin").orderBy("w")
+    island = found.withColumn("island", F.col("w") - F.dense_rank().over(by))
+    spans = island.groupBy("path", "d", "begin", "island").agg(F.min("w").alias("w"), (F.max("w") - F.min("w") + 1).alias("nw"))
+    return known.unionByName(spans.select("d", "w", "nw"))
 
 
 def dedup(docs: DataFrame, k: int = WORDS, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, n_words, n_removed, kept_sha256 (kept words joined by one space)."""
     unit = R.Unit(k, gram, words=True)
-    base, names = R.read(docs, key, text)
+    base, names = R.texts(docs, key, text)
     done = R.covered(base, repeated_windows(base, unit), unit, _finish, "d long, n_words long, n_removed long, kept_sha256 string")
     return R.named(done, names, "d").withColumnRenamed("d", key)

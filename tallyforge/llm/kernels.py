@@ -142,6 +142,16 @@ def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return halves[:, 0].copy(), halves[:, 1].copy()
 
 
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, each with one space behind it, and where each word begins there (and the end)."""
+    at = np.concatenate(([0], np.cumsum(end - start + 1)))
+    out = np.full(at[-1], 0x20, np.uint8)
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out[inside] = data[~_space[data]]
+    return out, at
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     return _lower[data]
 
@@ -158,7 +168,7 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tup
     """Runs of windows (``length`` symbols of one document) that share their minimizer (a k-gram).
 
     Returns for each run: document, first window (from the document's start), windows, hash of the
-    minimizer. Which k-gram is a window's minimizer depends on the window alone (least hash, leftmost on
+    minimizer, and how far it lies behind the start of the first window. Which k-gram is a window's minimizer depends on the window alone (least hash, leftmost on
     ties), so equal windows lie in runs of equal hash. ``bounds``: where documents start, and the end.
     """
     found: list[tuple[np.ndarray, ...]] = []
@@ -184,8 +194,8 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tup
         run = np.flatnonzero(new)
         start = at[run] + lo
         doc = np.searchsorted(bounds, start, "right") - 1
-        found.append((doc, start - bounds[doc], np.diff(np.append(run, len(at))), gram[pos[run]]))
+        found.append((doc, start - bounds[doc], np.diff(np.append(run, len(at))), gram[pos[run]], pos[run] - at[run]))
     if not found:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U)
+        return z, z, z, np.zeros(0, U), z
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

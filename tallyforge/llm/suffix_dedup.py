@@ -2,6 +2,8 @@
 
 Candidate stretches come from ``repeats``; within an anchor, the stretches that differ are put one behind the
 other and their suffixes ordered by Lyndon-prefix groups (``lyndon``), so that equal windows are neighbours.
+An anchor with many differing stretches is split by a longer one: its windows are dealt by where the anchor lies in
+them, and told apart by all bytes that such windows have in common, so that equal windows stay together.
 The earliest start in document and position order keeps its bytes.
 
 Null texts are empty. Repeated rows (same id and text) count once and their result is repeated. Texts shorter than the
@@ -24,7 +26,7 @@ from tallyforge.llm.lyndon import repeated_windows
 
 LENGTH = 100
 GRAM = 32
-#: Runs of one anchor up to which they are ordered as one text; the windows of more are dealt out by content.
+#: Runs of one anchor up to which they are ordered as one text; those of more are first split by longer anchors.
 LANE_RUNS = 32
 #: Bytes of text ordered at a time.
 LANE_BATCH = 1 << 20
@@ -75,7 +77,7 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     key, d, w, nw = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pk", "d", "w", "nw"))
     bare = np.diff(off) == 0
     if bare.any():
-        yield from _settled(key[bare], d[bare], w[bare], nw[bare])
+        yield pa.record_batch({"d": d[bare], "w": w[bare], "nw": nw[bare]})
     k = np.flatnonzero(~bare)
     k = k[_once(key[k], d[k], w[k])]
     if not len(k):
@@ -114,57 +116,67 @@ def _lanes(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"d": rd[later], "w": rw[later], "nw": np.ones(int(later.sum()), np.int64)})
 
 
-def _settled(key, d, w, nw) -> Iterator[pa.RecordBatch]:
-    """Rows without text: whole spans (nw > 0) pass; single windows of equal content (nw = 0) keep the first."""
-    keep = nw > 0
-    single = np.flatnonzero(~keep)
-    single = single[_once(key[single], d[single], w[single])]
-    order = single[np.lexsort((w[single], d[single], key[single]))]
-    later = order[1:][key[order[1:]] == key[order[:-1]]]
-    rows = np.concatenate((np.flatnonzero(keep), later))
-    yield pa.record_batch({"d": d[rows], "w": w[rows], "nw": np.maximum(nw[rows], 1)})
+def _split_runs(unit: R.Unit, part: R.Part, d: np.ndarray, at: np.ndarray, c: dict) -> tuple[np.ndarray, ...]:
+    """(key, d, w, nw, at) of the runs, those of crowded anchors cut where their windows get another longer anchor."""
+    offsets = unit.length - unit.gram + 1
+    parts = np.where(c["n"] > LANE_RUNS, 2 ** np.ceil(np.log2(np.maximum(c["n"], 1) / LANE_RUNS)), 1).astype(np.int64).clip(1, offsets)
+    rep = c["nw"].astype(np.int64)
+    run = np.repeat(np.arange(len(at)), rep)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(rep) - rep, rep)
+    place = (c["ahead"][run] - step) * parts[run] // offsets
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1])
+    k = np.flatnonzero(new)
+    run, step, place, nw = run[k], step[k], place[k], np.diff(np.append(k, len(new)))
+    key = R._signed(c["pk"][run]).copy()
+    longer = np.flatnonzero(parts[run] > 1)
+    if len(longer):
+        r, p = run[longer], parts[run[longer]]
+        anchor = at[r] + c["ahead"][r]
+        low, high = -(-place[longer] * offsets // p), -(-(place[longer] + 1) * offsets // p) - 1
+        common = K.Prefix(part.sym).of(anchor - low, anchor - high + unit.length)
+        key[longer] = R._signed(K.mix(common ^ K.mix(place[longer].astype(np.uint64))))
+    return key, d[run], c["w"][run] + step, nw, at[run] + step
 
 
 def _stretches(unit: R.Unit):
-    """Each run's bytes by anchor; the windows of a crowded anchor one by one, by a hash of their content."""
+    """Each run's bytes by (longer) anchor. Of equal stretches of a crowded anchor in a batch, all but the first are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            singles: list[tuple] = []
-            for (sd, sw, sn), sym, d, at, c in R.per_run(batch, unit):
+            for (sd, sw, sn), part, d, at, c in R.per_run(batch, unit):
                 if len(sd):
-                    yield _rows(R._signed(R._scramble(np.zeros(len(sd), np.uint64), sd, sw)), sd, sw, sn, np.zeros(len(sd) + 1, np.int64), b"")
+                    yield _spans(sd, sw, sn)
                 if not len(d):
                     continue
-                crowd = c["n"] > LANE_RUNS
-                i = np.flatnonzero(~crowd)
-                end = at[i] + c["nw"][i] + unit.length - 1
-                off = np.concatenate(([0], np.cumsum(end - at[i])))
-                source = np.arange(off[-1]) + np.repeat(at[i] - off[:-1], end - at[i])
-                yield _rows(c["pk"][i], d[i], c["w"][i], c["nw"][i], off, sym[source].tobytes())
-                i = np.flatnonzero(crowd)
-                rep = c["nw"][i].astype(np.int64)
-                step = np.arange(rep.sum()) - np.repeat(np.concatenate(([0], np.cumsum(rep)[:-1])), rep) if len(i) else np.zeros(0, np.int64)
-                i = np.repeat(i, rep)
-                start = at[i] + step
-                if len(i):
-                    singles.append((K.Prefix(sym).of(start, start + unit.length), d[i], c["w"][i] + step))
-            if singles:
-                e, d, w = (np.concatenate(x) for x in zip(*singles, strict=True))
-                once = _once(e, d, w)
-                e, d, w = e[once], d[once], w[once]
-                order = np.lexsort((w, d, e))
-                e, d, w = e[order], d[order], w[order]
-                first = np.ones(len(e), bool)
-                first[1:] = e[1:] != e[:-1]
-                kd, kw, kn = R._merged(d[~first], w[~first], np.ones(int((~first).sum()), np.int64))
-                key = np.concatenate((R._signed(e[first]), R._signed(R._scramble(np.zeros(len(kd), np.uint64), kd, kw))))
-                n = np.concatenate((np.zeros(int(first.sum()), np.int64), kn))
-                yield _rows(key, np.concatenate((d[first], kd)), np.concatenate((w[first], kw)), n, np.zeros(len(key) + 1, np.int64), b"")
+                key, d, w, nw, at = _split_runs(unit, part, d, at, c)
+                end = at + nw + unit.length - 1
+                order = np.lexsort((w, d, key))
+                key, d, w, nw, at, end = (x[order] for x in (key, d, w, nw, at, end))
+                s1, s2 = part.digests(at, end)
+                order = np.lexsort((w, d, s2, s1, key))
+                same = np.zeros(len(order), bool)
+                o, q = order[1:], order[:-1]
+                same[1:] = (key[o] == key[q]) & (s1[o] == s1[q]) & (s2[o] == s2[q])
+                if same.any():
+                    k = order[same]
+                    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))[same]]
+                    k = k[(d[k] != d[first]) | (w[k] != w[first])]  # not the run of a repeated row
+                    yield _spans(*R._merged(d[k], w[k], nw[k]))
+                k = np.sort(order[~same])
+                size = end[k] - at[k]
+                off = np.concatenate(([0], np.cumsum(size)))
+                source = np.arange(off[-1]) + np.repeat(at[k] - off[:-1], size)
+                yield _rows(key[k], d[k], w[k], nw[k], off, part.sym[source].tobytes())
 
     return run
 
 
+def _spans(d: np.ndarray, w: np.ndarray, nw: np.ndarray) -> pa.RecordBatch:
+    """Spans that are settled: rows without bytes, dealt out evenly."""
+    return _rows(R._signed(R._scramble(np.zeros(len(d), np.uint64), d, w)), d, w, nw, np.zeros(len(d) + 1, np.int64), b"")
+
+
 def _rows(key, d, w, nw, off, seg: bytes) -> pa.RecordBatch:
     binary = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(seg)])
     return pa.record_batch({"pk": key, "d": d, "w": w, "nw": np.asarray(nw).astype(np.int64), "seg": binary})
@@ -197,6 +209,6 @@ def later_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a document: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     unit = R.Unit(length, gram, words=False)
-    base, names = R.read(docs, key, text)
+    base, names = R.texts(docs, key, text)
     done = R.covered(base, later_windows(base, unit), unit, _finish, "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return R.named(done, names, "d").withColumnRenamed("d", key)
