@@ -42,7 +42,7 @@ HOMES = 4096
 #: Pairs looked at in one array operation.
 PAIRS = 1 << 20
 #: With leaders, pairs this many hundredths under the limit are measured too: their differences serve later pairs.
-NEAR = 15
+NEAR = 10
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -146,9 +146,8 @@ LEAD, BEST, ALL = "lead", "best", "all"
 
 
 def _meet(percent: int, mode: str):
-    """Candidate pairs (a, b, part_a, part_b) from rows sorted by (token, block, salt, role): homes (role 0), then visitors."""
-    names = ("token", "block", "salt", "role", "id", "size", "pos", "part", "big")
-    least = percent - NEAR if mode == LEAD else percent
+    """Candidate pairs (a, b, part_a, part_b, token) from rows sorted by (token, block, salt, role): homes (role 0), then visitors."""
+    names = ("token", "block", "salt", "role", "id", "size", "pos", "part", "big", "more")
 
     def pairs(c: dict, sig: np.ndarray, v: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch | None:
         x = np.repeat(v, count)
@@ -158,8 +157,10 @@ def _meet(percent: int, mode: str):
         if mode == ALL:
             ok &= c["big"][y] | (c["id"][x] < c["id"][y])
         x, y = x[ok], y[ok]
+        # A list of two has no later pairs.
+        least = np.where(c["more"][x] & (mode == LEAD), percent - NEAR, percent)
         ok = _may_link(size[x], pos[x], size[y], pos[y], least)
-        x, y = x[ok], y[ok]
+        x, y, least = x[ok], y[ok], least[ok]
         apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
         both = size[x] + size[y]
         ok = apart <= both - 2 * _need(size[x], size[y], least)
@@ -170,10 +171,13 @@ def _meet(percent: int, mode: str):
             x, y = x[k], y[k]
         if not len(x):
             return None
-        rows = np.stack((c["id"][x], c["id"][y], part[x], part[y]))
+        rows = np.stack((c["id"][x], c["id"][y], part[x], part[y], c["token"][x]))
         if mode != LEAD:
-            rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2]], rows)
-        return pa.record_batch(dict(zip(("a", "b", "part_a", "part_b"), np.unique(rows, axis=1), strict=True)))
+            rows = np.where(rows[0] > rows[1], rows[[1, 0, 3, 2, 4]], rows)
+        if mode != BEST:
+            rows = np.unique(rows[:4], axis=1)
+            rows = np.concatenate((rows, np.zeros((1, rows.shape[1]), np.int64)))
+        return pa.record_batch(dict(zip(("a", "b", "part_a", "part_b", "token"), rows, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[dict, np.ndarray] | None = None
@@ -205,18 +209,20 @@ def _meet(percent: int, mode: str):
 
 
 def _candidates(lists: DataFrame, percent: int, mode: str) -> DataFrame:
-    """(a, b, part_a, part_b) from open lists (token, id, size, pos, sig, part, main, m): main is the leader's part or
-    the largest component, m the length of the list. Everything outside main visits the blocks of sizes near its own; with leaders, the leader does."""
+    """(a, b, part_a, part_b, token) from open lists (token, id, size, pos, sig, part, main, m): main is the leader's part
+    or the largest component, m the length of the list. Everything outside main visits the list's other entries; with
+    leaders, the leader does. A list of more than ``HOMES`` is dealt in blocks of like sizes, and visited in those near the visitor's."""
     salts = F.ceil(F.col("m") / HOMES).cast("int")
     # A little more than the ratio of sizes that can link, so that such sizes lie in blocks next to each other.
     block = F.floor(F.log("size") / float(-np.log(percent / 100) * 1.0001)).cast("int")
-    at = lists.select("token", block.alias("block"), salts.alias("salts"), "id", "size", "pos", "part", (F.col("part") == F.col("main")).alias("big"), "sig")
-    row = lambda role: [F.lit(role).alias("role"), "id", "size", "pos", "part", "big", "sig"]
+    long = F.col("salts") > 1
+    at = lists.select("token", F.when(F.col("m") > HOMES, block).otherwise(0).alias("block"), (F.col("m") > 2).alias("more"), salts.alias("salts"), "id", "size", "pos", "part", (F.col("part") == F.col("main")).alias("big"), "sig")
+    row = lambda role: [F.lit(role).alias("role"), "id", "size", "pos", "part", "big", "more", "sig"]
     homes = at.select("token", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *row(0))
     visits = at.where("big" if mode == LEAD else "NOT big")
-    visits = visits.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    visits = visits.withColumn("block", F.explode(F.when(long, F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).otherwise(F.array("block")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     both = homes.unionByName(visits.select("token", "block", "salt", *row(1))).repartition("token", "block", "salt").sortWithinPartitions("token", "block", "salt", "role")
-    return both.mapInArrow(_meet(percent, mode), "a long, b long, part_a long, part_b long").distinct()
+    return both.mapInArrow(_meet(percent, mode), "a long, b long, part_a long, part_b long, token long").distinct()
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -239,24 +245,25 @@ def _links(both: int, na: int, nb: int, percent: int) -> bool:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b, part_a, part_b) compared as whole sets: linked, and what b has less and more than a."""
+    """``pairs`` (a, b, part_a, part_b) compared as whole sets: linked, n (a's size), and what b has less and more than a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, minus, plus = [], [], []
+            linked, n, minus, plus = [], [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 less, more = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
                 linked.append(_links(len(p) - len(less), len(p), len(q), percent))
+                n.append(len(p))
                 minus.append(_packed(less))
                 plus.append(_packed(more))
             out = batch.select(["a", "b", "part_a", "part_b"]).to_pydict()
-            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()} | {"linked": pa.array(linked, pa.bool_()), "minus": pa.array(minus, pa.binary()), "plus": pa.array(plus, pa.binary())})
+            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()} | {"linked": pa.array(linked, pa.bool_()), "n": pa.array(n, pa.int64()), "minus": pa.array(minus, pa.binary()), "plus": pa.array(plus, pa.binary())})
 
     x = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(y, "b").join(x, "a").select("a", "b", "part_a", "part_b", "x", "y")
-    return both.mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean, minus binary, plus binary")
+    return both.mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean, n long, minus binary, plus binary")
 
 
 def derived(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
@@ -276,6 +283,8 @@ def derived(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
                 linked.append(_links(both, n - len(ma) + len(pa_), n - len(mb) + len(pb), percent))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
+    ids = sized(table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "gram-wanted"))
+    forms = table(forms.join(ids, "id", "left_semi"), "gram-forms")
     form = lambda c: forms.select(F.col("id").alias(c), "base", *([F.col("n")] if c == "a" else []), F.col("minus").alias(f"minus_{c}"), F.col("plus").alias(f"plus_{c}"))
     both = pairs.select("a", "b").join(form("a"), "a").join(form("b"), ["b", "base"]).select("a", "b", "n", "minus_a", "plus_a", "minus_b", "plus_b")
     return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
@@ -295,8 +304,8 @@ class _Search:
         shared = entries.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
         lists = entries.join(sized(table(shared, "gram-tokens")), "token", "left_semi").join(self.reps.select("id", "sig"), "id")
         self.lists = table(lists.select("token", "id", "size", F.col("pos").cast("long").alias("pos"), "sig"), "gram-lists")
-        self.sizes = self.reps.select("id", F.col("size").alias("n"))
         self.forms: DataFrame | None = None
+        self.repeats = not self.found.groupBy("id").count().where("count > 1").isEmpty()
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(id, grams) of the sets that occur in ``pairs``, from their texts."""
@@ -309,7 +318,8 @@ class _Search:
 
         wanted = table(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "gram-wanted")
         once = self.base.join(sized(wanted), "d", "left_semi").select("d", "t")
-        return table(once.mapInArrow(gather, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams")), "gram-whole")
+        whole = once.mapInArrow(gather, "id long, grams binary")
+        return table(whole.groupBy("id").agg(F.first("grams").alias("grams")) if self.repeats else whole, "gram-whole")
 
     def open(self, at: DataFrame, mode: str) -> DataFrame:
         """The entries of lists (with part) that hold several components, with main and m."""
@@ -320,15 +330,13 @@ class _Search:
             stats = parts.groupBy("token").agg(F.max_by("part", F.struct("_m", "part")).alias("main"), F.sum("_m").alias("m"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
         return table(at.drop("main", "m").join(sized(table(stats, "gram-stats")), "token"), "gram-open")
 
-    def lead(self) -> DataFrame:
+    def lead(self, at: DataFrame) -> DataFrame:
         """Links of sets to the leaders of their lists; their forms (differences to leaders) are kept."""
-        at = self.open(self.lists.withColumn("part", F.col("id")), LEAD)
-        near = table(_candidates(at, self.percent, LEAD), "gram-pairs")
+        near = table(_candidates(at, self.percent, LEAD).drop("token"), "gram-pairs")
         got = table(measured(near, self.sets(near), self.percent), "gram-answers")
-        own = got.select(F.col("a").alias("id")).distinct()
+        own = got.select(F.col("a").alias("id"), F.col("a").alias("base"), "n").distinct()
         nothing = F.lit(b"").alias("minus"), F.lit(b"").alias("plus")
-        forms = got.select(F.col("b").alias("id"), F.col("a").alias("base"), "minus", "plus").unionByName(own.select("id", F.col("id").alias("base"), *nothing))
-        self.forms = table(forms.join(self.sizes.withColumnRenamed("id", "base"), "base"), "gram-forms")
+        self.forms = got.select(F.col("b").alias("id"), F.col("a").alias("base"), "n", "minus", "plus").unionByName(own.select("*", *nothing))
         return got.where("linked").select("a", "b", "part_a", "part_b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -353,7 +361,7 @@ def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n_shingles, component_id) of documents (d, t)."""
     search = _Search(base, n, percent)
     steps: list[DataFrame] = []
-    at = search.lists.withColumn("part", F.col("id"))
+    at = search.open(search.lists.withColumn("part", F.col("id")), LEAD)
 
     def join(links: DataFrame) -> bool:
         """Links across components join the components' names; whether there are any."""
@@ -365,14 +373,18 @@ def _groups(base: DataFrame, n: int, percent: int) -> DataFrame:
         at = at.join(steps[-1].toDF("part", "_to"), "part", "left").withColumn("part", F.coalesce("_to", "part")).drop("_to")
         return True
 
-    gained = join(search.lead())
+    gained = join(search.lead(at))
     for mode in (BEST, BEST, ALL):
         if mode == BEST and not gained:
             continue
-        at = search.open(at, mode)
-        across = table(_candidates(at, percent, mode), "gram-pairs")
-        if across.isEmpty():
+        # A list of two is settled by its leader.
+        at = search.open(at.where("m > 2"), mode)
+        found = table(_candidates(at, percent, mode), "gram-pairs")
+        if found.isEmpty():
             break  # a list with a candidate across components has a best one: the later rounds would find none either
+        if mode == BEST:
+            at = at.join(sized(table(found.select("token").distinct(), "gram-tokens")), "token", "left_semi")
+        across = found.drop("token").distinct()
         gained = join(search.verified(across))
     member = search.found.select("id", "size", "s1", "s2").join(search.reps.select("s1", "s2", "size", F.col("id").alias("rep")), ["s1", "s2", "size"], "left")
     member = member.select("id", "size", F.coalesce("rep", "id").alias("rep"))
@@ -389,10 +401,10 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id",
     a component too, so a group of m differing near copies costs about m * m / 2 pairs; most are derived from differences."""
     base, names = read(docs, key, text)
     search = _Search(base, n, percent)
-    search.lead()
+    alone = search.lists.withColumn("part", F.col("id"))
+    search.lead(search.open(alone, LEAD))
     # Each set is a component of its own, so that no candidate is spared.
-    alone = search.open(search.lists.withColumn("part", F.col("id")), ALL)
-    candidates = table(_candidates(alone, percent, ALL), "gram-pairs")
+    candidates = table(_candidates(search.open(alone, ALL), percent, ALL).drop("token"), "gram-pairs")
     pairs = table(search.verified(candidates).select("a", "b"), "gram-links")
     same = ["s1", "s2", "size"]
     member = search.found.select("id", *same)
