@@ -1,9 +1,8 @@
 """Chat formatting with a grammar round trip.
 
-A turn is ``<|role|>`` text ``<|end|>`` newline. The rendered text is parsed again by a deterministic
-parser and compared with the source; turns whose texts break the round trip are escaped (marked
-``<|role|esc|>``), first those that hold a control opening, then all, until both sides are identical.
-Built-in functions only.
+A turn is ``<|role|>`` text ``<|end|>`` newline. Texts that hold a control string, of this template or of the
+other ones listed, are escaped (marked ``<|role|esc|>``), so no text forges a turn. The rendered text is parsed again
+by a deterministic parser and compared with the source; where the two differ all turns are escaped. Built-in functions only.
 
 Null roles and texts count as empty. Turns are ordered by turn, role and text, so ties and repeated rows
 have one order. Rows with a null conversation id form one conversation. No rows give no conversations.
@@ -17,13 +16,25 @@ from pyspark.sql import functions as F
 from tallyforge.llm.text import let
 
 END = "<|end|>\n"
+# How control strings begin, here and in common chat templates.
+CONTROL = ("<|", "[INST]", "[/INST]", "<s>", "</s>")
 END_PATTERN = r"<\|end\|>\n"
 TURN_PATTERN = r"(?s)\A<\|([^|]*)\|(esc\|)?>(.*)\z"
 
 
 def escape(text: Column) -> Column:
-    """Backslashes are doubled and every control opening is broken by one."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    """Backslashes are doubled and every control string is broken by one behind its first character."""
+    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c in CONTROL:
+        text = F.replace(text, F.lit(c), F.lit(f"{c[0]}\\{c[1:]}"))
+    return text
+
+
+def controlled(text: Column) -> Column:
+    out = F.lit(False)
+    for c in CONTROL:
+        out = out | text.contains(c)
+    return out
 
 
 def unescape(text: Column) -> Column:
@@ -67,19 +78,15 @@ def parse(rendered: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (as parsed from it), identical (the round trip holds), level (escapes tried)."""
+    """conv_id, formatted, turns (as parsed from it), identical (the round trip holds), level (1: texts with control strings are escaped; 2: all are)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_t"))
     convs = convs.select("conv_id", F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    levels = (lambda t: F.lit(False), lambda t: t["text"].contains("<|"), lambda t: F.lit(True))
-    tried = convs
-    for i, escaped in enumerate(levels):
-        text = render(F.col("source"), escaped)
-        tried = tried.withColumn(f"_r{i}", F.when(~F.col(f"_ok{i - 1}"), text) if i else text)
-        tried = tried.withColumn(f"_ok{i}", (F.col(f"_ok{i - 1}") if i else F.lit(False)) | F.coalesce(parse(F.col(f"_r{i}")) == F.col("source"), F.lit(False)))
-    used = F.coalesce(F.col("_r2"), F.col("_r1"), F.col("_r0"))
-    level = F.when(F.col("_r2").isNotNull(), 2).when(F.col("_r1").isNotNull(), 1).otherwise(0)
-    return tried.select("conv_id", used.alias("formatted"), F.col("_ok2").alias("identical"), level.alias("level")).withColumn("turns", parse(F.col("formatted")))
+    tried = convs.withColumn("_one", render(F.col("source"), lambda t: controlled(t["text"])))
+    tried = tried.withColumn("_same", parse(F.col("_one")) == F.col("source"))
+    tried = tried.withColumn("formatted", F.when(F.col("_same"), F.col("_one")).otherwise(render(F.col("source"), lambda t: F.lit(True))))
+    tried = tried.withColumn("turns", parse(F.col("formatted")))
+    return tried.select("conv_id", "formatted", (F.col("turns") == F.col("source")).alias("identical"), F.when(F.col("_same"), 1).otherwise(2).alias("level"), "turns")
 
 
 def digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:

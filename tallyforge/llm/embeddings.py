@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative a group.
 
-Equal vectors of a label are one vector with a count. Cells come from spherical k-means fitted on a bounded
-sample (``SAMPLE`` vectors, at most ``MAX_CELLS`` cells). A vector lives in the cell of its best centre and
+Equal vectors of a label are one vector with a count. Cells come from spherical k-means fitted on a sample: as many
+as the largest label needs for about ``CELL_SIZE`` vectors each, and ``PER_CELL`` sampled vectors a cell, at most ``SAMPLE`` in all. Past
+that cells grow, and are compared in more blocks. A vector lives in the cell of its best centre and
 visits every cell where a vector within the limit could live: unit vectors with cosine >= c differ by at most
 r = sqrt(2 - 2c), so a partner's cell has a centre whose bisecting plane with the best one is within r. No
 link is lost. Cells are compared in blocks of members and visitors; blocks emit a count a vector and one label
@@ -9,7 +10,7 @@ a vector, never pairs.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite numbers, link with nothing;
 vectors of different sizes are not compared; centres
-are fitted for 64 sizes, and each further size is one cell a label. Repeated ids are one row each. No rows give no rows.
+are fitted for the ``SIZES`` sizes with most vectors, and each further size is one cell a label, compared in blocks. Repeated ids are one row each. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from tallyforge.operators.components import connected_components
 from tallyforge.runtime import table
 
 LIMIT = 0.98
-SAMPLE = 8192
-MAX_CELLS = 1024
+SAMPLE = 65_536
+PER_CELL = 16
 CELL_SIZE = 1500
+LEAST_CELLS = 4
+SIZES = 64
 BLOCK = 1024
+#: Scores held at a time while vectors look for their cells.
+SCORES = 1 << 21
 
 
 def fit_centres(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -50,6 +55,21 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _near_cells(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home): each row's cell, and those within reach of it."""
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    out: list[tuple] = []
+    step = max(1, SCORES // len(c))
+    for i in range(0, len(x), step):
+        score = x[i : i + step] @ c.T
+        home = score.argmax(1)
+        near = score[np.arange(len(score)), home][:, None] - score <= reach * apart[home] + 1e-9
+        near[np.arange(len(score)), home] = True
+        r, cell = np.nonzero(near)
+        out.append((r + i, cell, cell == home[r]))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
 def _visits(centres: dict[int, np.ndarray], limit: float):
     reach = float(np.sqrt(max(0.0, 2 - 2 * limit))) + 1e-9
 
@@ -62,15 +82,10 @@ def _visits(centres: dict[int, np.ndarray], limit: float):
                 x = _unit(part.column("v"))
                 # A length without centres is a single cell.
                 c = centres.get(int(dim), np.eye(1, int(dim)))
-                score = x @ c.T
-                home = score.argmax(1)
-                apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) <= 64 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                near = score[np.arange(len(x)), home][:, None] - score <= reach * apart + 1e-9
-                near[np.arange(len(x)), home] = True
-                r, cell = np.nonzero(near)
+                r, cell, home = _near_cells(x, c, reach)
                 take = part.take(pa.array(r))
                 yield pa.RecordBatch.from_arrays(
-                    [take.column("u"), take.column("label"), pa.array(np.full(len(r), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell == home[r]), take.column("m"), take.column("v")],
+                    [take.column("u"), take.column("label"), pa.array(np.full(len(r), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), take.column("m"), take.column("v")],
                     names=["u", "label", "dim", "cell", "member", "m", "v"],
                 )
 
@@ -107,7 +122,7 @@ def _block_links(limit: float):
     return run
 
 
-def near_dedup(rows: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE, max_cells: int = MAX_CELLS, cell_size: int = CELL_SIZE, block: int = BLOCK) -> DataFrame:
+def near_dedup(rows: DataFrame, limit: float = LIMIT, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = SAMPLE, cell_size: int = CELL_SIZE, block: int = BLOCK) -> DataFrame:
     """A row a vector: key, n_links, component_id (least key reachable), kept (the representative of its group)."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(label).isNotNull() & F.col(key).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -115,15 +130,16 @@ def near_dedup(rows: DataFrame, limit: float = LIMIT, key: str = "vec_id", vecto
     good = base.where("fine").select("id", "label", "v")
     # Equal vectors are one, known by its least id; the others link to it and to each other.
     unique = table(good.groupBy("label", "v").agg(F.min("id").alias("u"), F.count("*").alias("m")), "vectors")
-    n = unique.count()
     same = good.join(unique.select("label", "v", "u", "m"), ["label", "v"]).select("id", "u", "m")
     centres: dict[int, np.ndarray] = {}
-    for dim in [r[0] for r in unique.select(F.size("v")).distinct().limit(64).collect()]:
-        some = unique.where(F.size("v") == dim).orderBy(F.xxhash64("u")).limit(sample).select("v").toPandas()["v"]
-        x = np.stack([np.asarray(a, dtype=float) for a in some])
+    of_size = unique.groupBy(F.size("v").alias("dim"), "label").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    for dim, most, n in of_size.where(F.col("most") > 1).orderBy(F.desc("n"), "dim").limit(SIZES).collect():
+        cells = min(max(LEAST_CELLS, -(-most // cell_size)), max(1, sample // PER_CELL))
+        some = unique.where(F.size("v") == dim)
+        some = some.orderBy(F.xxhash64("u", "label")).limit(cells * PER_CELL) if n > cells * PER_CELL else some
+        x = np.stack([np.asarray(a, dtype=float) for a in some.select("v").toPandas()["v"]])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        labels = max(1, unique.select("label").distinct().count())
-        centres[dim] = fit_centres(x, int(min(max_cells, max(1, n // (labels * cell_size)))))
+        centres[dim] = fit_centres(x, cells)
     visits = unique.mapInArrow(_visits(centres, limit), "u long, label string, dim int, cell int, member boolean, m long, v array<double>")
     at = ["label", "dim", "cell"]
     visits = table(visits, "cells")

@@ -6,8 +6,11 @@ are ranked by their random odds divided by the inclusion odds and taken in that
 remaining words are met (the last one in part, so a source meets its target to the word). Random numbers come from a digest of the
 id, so reruns agree. Built-in functions only.
 
+The inclusion odds are those of a source, so documents of one source are equally likely to be taken.
+
 Null texts have size 0 and are never taken; a null source is a source of its own, after all others. Rows
-with equal ids draw equal numbers and are ranked by size; an empty table gives no rows.
+with equal ids draw equal numbers and are ranked by size; where rows of equal id and size are the last of a sample, its
+remaining words are shared equally (less than one word a row is left). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,36 +54,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
 
 def mix(docs: DataFrame, key: str = "doc_id", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), keep: tuple[str, ...] = ()) -> DataFrame:
     """A row a document: key, size, source_size, target, copies (whole ones) and taken (words, the last in part)."""
-    rows = docs.select(F.col(key).alias("_key"), "source", n_words(F.col("text")).alias("size"), *keep)
-    base = table(rows, "mix-sizes")
-    return select_copies(base, seed, weights, keep).withColumnRenamed("_key", key)
+    sizes = lambda *more: docs.select(F.col(key).alias("_key"), "source", n_words(F.col("text")).alias("size"), *more)
+    base = table(sizes(), "mix-sizes")
+    return select_copies(sizes(*keep) if keep else base, base, seed, weights, keep).withColumnRenamed("_key", key)
+
 
+def select_copies(rows: DataFrame, base: DataFrame, seed: str, weights: tuple[int, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """What the mix takes of each of ``rows`` (_key, source, size, keep), from the sizes in ``base``.
 
-def select_copies(base: DataFrame, seed: str, weights: tuple[int, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    The last document of a source's sample is found among the ids of one rank step; every row then decides by its own rank,
+    so rows (and their texts) are not moved."""
     targets = table(source_targets(base, weights), "mix-targets")
-    per = targets.select(
-        F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "source_size", "target",
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_r"),
-    ).withColumn("_whole", F.floor("_r")).withColumn("_f", F.col("_r") - F.col("_whole"))
-    keyed = base.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source")
-    with_target = keyed.join(sized(per), ["_s", "_null"])
-    u = uniform(F.col("_key"), seed)
-    odds = (u / (1 - u)) / (F.col("_f") / (1 - F.col("_f")))
-    ranked = with_target.withColumn("_q", F.when(F.col("_f") > 0, odds))
-    ranked = ranked.withColumn("_step", F.when(F.col("_q").isNull(), F.lit(RANK_STEPS)).otherwise(F.least(F.lit(RANK_STEPS - 1), F.floor(F.col("_q") / (1 + F.col("_q")) * RANK_STEPS))).cast("int"))
-    steps = ranked.groupBy("_s", "_null", "_step").agg(F.sum("size").alias("_words"), F.first(F.col("target") - F.col("_whole") * F.col("source_size")).alias("_left"))
-    upto = F.coalesce(F.sum("_words").over(W.partitionBy("_s", "_null").orderBy("_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("_upto", upto)
+    r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per = targets.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), "source_size", "target", F.floor(r).alias("_whole"), (r - F.floor(r)).alias("_f"))
+
+    def ranked(rows: DataFrame, per: DataFrame) -> DataFrame:
+        keyed = rows.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull()).drop("source")
+        u = uniform(F.col("_key"), seed)
+        q = F.when(F.col("_f") > 0, (u / (1 - u)) / (F.col("_f") / (1 - F.col("_f"))))
+        return keyed.join(sized(per), ["_s", "_null"]).withColumn("_q", q)
+
+    at = ["_s", "_null"]
+    step = F.least(F.lit(RANK_STEPS - 1), F.floor(F.col("_q") / (1 + F.col("_q")) * RANK_STEPS)).cast("int")
+    drawn = ranked(base, per).where("_q IS NOT NULL").withColumn("_step", step)
+    steps = drawn.groupBy(*at, "_step").agg(F.sum("size").alias("_words"), F.first(F.col("target") - F.col("_whole") * F.col("source_size")).alias("_left"))
+    steps = steps.withColumn("_upto", F.coalesce(F.sum("_words").over(W.partitionBy(*at).orderBy("_step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # The step in which the remaining words run out: the last one that starts before them.
-    edge = steps.where(F.col("_upto") <= F.col("_left")).groupBy("_s", "_null").agg(F.max(F.struct("_step", "_upto", "_left")).alias("_e"))
-    edge = table(edge.select("_s", "_null", F.col("_e._step").alias("_edge"), F.col("_e._upto").alias("_edge_words"), F.col("_e._left").alias("_left")), "mix-edges")
-    placed = ranked.join(sized(edge), ["_s", "_null"], "left")
-    within = F.coalesce(F.sum("size").over(W.partitionBy("_s", "_null", "_step").orderBy("_q", "_key", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rest = F.round("_left").cast("long") - F.col("_edge_words") - within
-    extra = F.when(F.col("_q").isNull() | F.col("_edge").isNull() | (F.col("_step") > F.col("_edge")), 0).when(F.col("_step") < F.col("_edge"), F.col("size"))
-    placed = placed.withColumn("_extra", extra.otherwise(F.greatest(F.lit(0), F.least(F.col("size"), rest))))
+    edge = steps.where(F.col("_upto") <= F.col("_left")).groupBy(*at).agg(F.max(F.struct("_step", "_upto", "_left")).alias("_e"))
+    edge = table(edge.select(*at, F.col("_e._step").alias("_step"), F.col("_e._upto").alias("_upto"), F.round("_e._left").cast("long").alias("_left")), "mix-edges")
+    # Rows that tie (equal key, so equal number, and equal size) share what their place in the order gets.
+    ties = drawn.join(sized(edge), [*at, "_step"]).groupBy(*at, "_q", "_key", "size").agg(F.count("*").alias("_c"), F.first("_left").alias("_left"), F.first("_upto").alias("_upto"))
+    before = F.col("_upto") + F.coalesce(F.sum(F.col("size") * F.col("_c")).over(W.partitionBy(*at).orderBy("_q", "_key", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ties = ties.withColumn("_rest", F.col("_left") - before).where("_rest > 0")
+    place = F.struct(F.col("_q").alias("q"), F.col("_key").alias("key"), F.col("size").alias("size"))
+    last = ties.groupBy(*at).agg(F.max_by(F.struct(place.alias("place"), F.least("size", F.floor(F.col("_rest") / F.col("_c"))).alias("part")), place).alias("_last"))
+    out = ranked(rows, table(per.join(last, at, "left"), "mix-places"))
+    extra = F.when(F.col("_q").isNull() | F.col("_last").isNull(), 0).when(place < F.col("_last.place"), F.col("size")).when(place == F.col("_last.place"), F.col("_last.part")).otherwise(0)
+    out = out.withColumn("_extra", extra)
     copies = F.when(F.col("size") > 0, F.col("_whole") + (F.col("_extra") == F.col("size")).cast("int")).otherwise(0).cast("long")
-    return placed.select("_key", *keep, "size", "source_size", "target", copies.alias("copies"), (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken"))
+    return out.select("_key", *keep, "size", "source_size", "target", copies.alias("copies"), (F.col("_whole") * F.col("size") + F.col("_extra")).cast("long").alias("taken"))
 
 
 def take_mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -33,8 +33,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rounds of price updates; the histogram bounds their cost, not the number of documents.
 ROUNDS = 400
-#: Parts in which equal lengths are ranked.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together, about; a longer list is ranked in parts.
+RANK_PART = 50_000
 #: Word pieces whose ids a task remembers.
 CACHE = 1_000_000
 
@@ -214,17 +214,17 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     spark = pieces_.sparkSession
     own = pieces_.columns
     held = table(pieces_, "pieces")
-    part = F.pmod(F.xxhash64(*own), F.lit(RANK_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64(*own), F.lit(held.count() // RANK_PART + 1)).cast("int")
     held = held.withColumn("_part", part)
     counts = held.groupBy("length", "_part").agg(F.count("*").alias("n"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    counts = table(counts, "piece-counts")  # at most capacity x RANK_PARTS rows
+    counts = table(counts, "piece-counts")
     stock = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         stock[row["length"]] = row["n"]
     places = spark.createDataFrame(slots(plan(stock, capacity, rounds)), "length long, first long, n long, sequence long, offset long")
     ranked = held.withColumn("_r", F.row_number().over(W.partitionBy("length", "_part").orderBy(*own)) - 1)
-    ranked = ranked.join(F.broadcast(counts.select("length", "_part", "_before")), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_r"))
+    ranked = ranked.join(sized(counts.select("length", "_part", "_before")), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_r"))
     # Few places a length hold most ranks: an equi-join on length, then the range that holds the rank.
     steps = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "n", "sequence", "offset"))).alias("_places"))
     at = ranked.join(sized(steps, capacity), "length")

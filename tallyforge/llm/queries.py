@@ -39,7 +39,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    turns = F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text")) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(turns))
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 

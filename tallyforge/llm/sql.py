@@ -62,10 +62,41 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(role) + length(text) + 12 + CASE WHEN contains(text, '<|') THEN 4 + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2 ELSE 0 END)::BIGINT AS formatted_chars
+  sum(length(role) + length(text) + 12 + CASE WHEN regexp_matches(text, '<\||\[/?INST\]|</?s>') THEN 4 + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '<\||\[/?INST\]|</?s>')) ELSE 0 END)::BIGINT AS formatted_chars
 FROM r GROUP BY conv_id
 """
 
+#: Kind, pattern, group whose length counts, least length, side. The key kind is a run whose characters are checked after.
+_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("ident", r"""(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}|(?i:client_?id|access_?id|user_?name|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{4,}""", 0, 0),
+    ("key", "[A-Za-z0-9+/_=-]+", 0, 24),
+    ("endpoint", r"""(?:https?|s3|postgres|mysql|mongodb|redis)://[^\x20\x09-\x0D"''<>]{4,}""", 0, 0),
+)
+_FOUND = "\nUNION ALL ".join(
+    f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, e - length(m) AS s, e, m FROM (
+  SELECT doc_id, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+  SELECT doc_id, i, p[i] AS gap, ms[i] AS m, gs[i] AS g FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+  SELECT doc_id, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs FROM d WHERE regexp_matches(t, '{pattern}'))))) WHERE length(g) >= {least}"""
+    for rank, (kind, pattern, group, least) in enumerate(_KINDS)
+)
+_LISTED = "kind || ':' || s::BIGINT || ':' || e::BIGINT"
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS MATERIALIZED (SELECT * FROM ({_FOUND}) WHERE kind <> 'key' OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]'))),
+o AS (SELECT *, CASE WHEN kind IN ('access', 'ident') THEN 'id' WHEN kind IN ('assign', 'hex', 'key') THEN 'key' END AS side FROM f),
+weak AS (SELECT doc_id, rank, kind, s, e, unnest(CASE kind WHEN 'ident' THEN ['key'] WHEN 'key' THEN ['id'] ELSE ['id', 'key'] END) AS need FROM f WHERE kind IN ('ident', 'key', 'endpoint')),
+met AS (SELECT doc_id, rank, kind, s, e, bool_and(EXISTS (SELECT 1 FROM o WHERE o.doc_id = weak.doc_id AND o.side = need AND abs(o.s - weak.s) <= 200)) AS ok FROM weak GROUP BY ALL),
+linked AS (SELECT doc_id, rank, kind, s, e FROM met GROUP BY ALL HAVING bool_and(ok)),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, string_agg({_LISTED}, ',' ORDER BY s, rank) AS l FROM f WHERE rank < 3 GROUP BY doc_id),
+x AS (SELECT doc_id, string_agg({_LISTED}, ',' ORDER BY s, rank, e) AS l FROM (SELECT doc_id, rank, kind, s, e FROM f WHERE rank < 3 UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(b.l, '')) AS base_sha256, coalesce(x.l, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
 OP9 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
@@ -76,4 +107,4 @@ k AS (SELECT word.doc_id, count(gone.p) AS removed, string_agg(x, ' ' ORDER BY w
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op7_chat_format": OP7, "op9_substring_dedup": OP9}
+ORACLE_SQL = {"op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op7_chat_format": OP7, "op8_secret_scan": OP8, "op9_substring_dedup": OP9}

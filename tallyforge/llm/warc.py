@@ -26,8 +26,9 @@ from tallyforge.runtime import new_path, sized, table
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 4000
-BLOCK = 1 << 20
+#: Records a file by payload: up to so many bytes, so many records, so that files stay near 64 MB or hold one record.
+RECORDS_PER_FILE = ((1 << 16, 1000), (1 << 22, 16), (None, 1))
+BLOCK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -39,7 +40,7 @@ def base32(hex_: Column) -> Column:
 
 
 def write(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> str:
-    """Write the pages (page_id, url, html) to gzipped archives; the folder's path."""
+    """Write the pages (page_id, url, html) to gzipped archives in a folder a size of page; the folder's path."""
     path = path or new_path(pages.sparkSession, "warc")
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("_b"))
@@ -59,8 +60,15 @@ def write(pages: DataFrame, min_bytes: int = 0, path: str | None = None) -> str:
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("_head"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length("_block")), F.lit("\r\n"),
     )
-    record = rows.withColumn("_block", block).select(F.concat(head, "_block").alias("value"))
-    record.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest = rows.agg(F.max("_n")).first()[0] or 0
+    low = 0
+    for high, records in RECORDS_PER_FILE:
+        if low and low > largest:
+            break
+        own = rows.where((F.col("_n") >= low if low else F.lit(True)) & (F.col("_n") < high if high else F.lit(True)))
+        record = own.withColumn("_block", block).select(F.concat(head, "_block").alias("value"))
+        record.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records).text(f"{path}/under-{high or 'all'}")
+        low = high
     return path
 
 
@@ -121,7 +129,7 @@ def _described(data: bytes, at: int, start: int, length: int, _next: int) -> dic
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, type, refers_to, payload_bytes, digest) of the records on each file's chain."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(f"{path}/*").select("path", "content")
     chains = table(files.mapInArrow(_chains, CHAIN), "warc-chains")
     links = chains.select("file", "enter", "leave")
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0

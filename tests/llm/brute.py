@@ -130,3 +130,24 @@ def cosine(rows, least=0.98):
                 links.update(edges[-1])
     r = roots([i for i, _, _ in rows], edges)
     return {i: (links[i], r[i], r[i] == i) for i, _, _ in rows}
+
+
+IDENT = re.compile(r"""(?:ASIA|AIDA|AROA|AGPA)[A-Z0-9]{12,}|(?ai:client_?id|access_?id|user_?name|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,}""")
+ENDPOINT = re.compile(r"""(?:https?|s3|postgres|mysql|mongodb|redis)://[^\x20\x09-\x0D"'<>]{4,}""")
+
+
+def secret_spans(text, scope=200):
+    """op8: base spans in order, then the linked ones: (start, rank, end, kind)."""
+    t = text or ""
+    kinds = ["assign", "access", "hex", "ident", "key", "endpoint"]
+    found = [("assign", m) for m in ASSIGN.finditer(t) if len(m[1]) >= 8]
+    found += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    found += [("hex", m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    found += [("ident", m) for m in IDENT.finditer(t)]
+    found += [("key", m) for m in re.finditer("[A-Za-z0-9+/_=-]+", t) if len(m[0]) >= 24 and all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+    found += [("endpoint", m) for m in ENDPOINT.finditer(t)]
+    spans = sorted((m.start(), kinds.index(k), m.end(), k) for k, m in found)
+    near = lambda s, own: any(k in own and abs(a - s) <= scope for a, _, _, k in spans)
+    needs = {"ident": [("assign", "hex", "key")], "key": [("access", "ident")], "endpoint": [("access", "ident"), ("assign", "hex", "key")]}
+    linked = [x for x in spans if x[3] in needs and all(near(x[0], own) for own in needs[x[3]])]
+    return [x for x in spans if x[1] < 3] + linked
