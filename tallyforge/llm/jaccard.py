@@ -5,8 +5,9 @@ A document's set is its distinct word n-grams. Relations between sets spare work
 * Equal sets have one answer: they collapse to one representative, whose component all of them share.
 * Index lists hold only the rarest grams of each set (a linking pair must share one of them), each with its position.
   Lists are dealt in blocks of neighbouring sizes and salts; a block whose sizes or positions rule a link out is
-  skipped, and inside a block a 512-bit parity signature of each set (two sets differ in at least as many grams as
-  their signatures in bits) rules out nearly all pairs that do not link.
+  skipped, and inside a block a 256-bit parity signature of each set (two sets differ in at least as many grams as
+  their signatures in bits) rules out most pairs that do not link. Pairs of larger sets are tested once more by
+  signatures as wide as two bits a gram.
 * Each list has a leader. The sets of the list are compared with it once, and what a highly similar set has less
   and more than its leader is kept. The overlap of two sets with a leader in common is derived from these
   differences alone; only other pairs are compared as whole sets.
@@ -36,7 +37,7 @@ from tallyforge.runtime import sized, table
 
 COUNTERS = 1 << 19
 SLOTS = 64
-SIGNATURE_BITS = 512
+SIGNATURE_BITS = 256
 #: Entries of a list that stay together; a longer list is dealt out by salt.
 HOMES = 4096
 #: Pairs looked at in one array operation.
@@ -62,10 +63,23 @@ def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarray]:
                 yield gram[:0]
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Parity of the number of grams in each of the signature's bits."""
-    width = SIGNATURE_BITS.bit_length() - 1
-    return np.packbits(np.bincount((s >> np.uint64(64 - width)).astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+def signature(s: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
+    """Parity of the number of grams in each of the signature's bits (a power of two); halves folded by xor are the signature of half as many bits."""
+    at = ((s >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def wide(s: np.ndarray) -> bytes | None:
+    """The size and the signature of a set too large for ``SIGNATURE_BITS``."""
+    return len(s).to_bytes(8, "little") + signature(s, 1 << (2 * len(s) - 1).bit_length()) if len(s) > SIGNATURE_BITS else None
+
+
+def apart(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Sizes of two sets with wide signatures, and the least number of grams in which they differ."""
+    p, q = np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)
+    n = min(len(p), len(q))
+    p, q = (np.bitwise_xor.reduce(z.reshape(-1, n), axis=0) for z in (p, q))
+    return int.from_bytes(x[:8], "little"), int.from_bytes(y[:8], "little"), int(np.bitwise_count(p ^ q).sum())
 
 
 def gram_counts(base: DataFrame, n: int) -> np.ndarray:
@@ -99,19 +113,20 @@ def gram_counts(base: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """(id, size, s1, s2, sig, grams): set size, fingerprint, signature and the grams of the index prefix, rarest first."""
+    """(id, size, s1, s2, sig, wide, grams): set size, fingerprint, signatures and the grams of the index prefix, rarest first."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counts.value
         for batch in batches:
             data, off = K.column(batch.column("t"))
-            size, s1, s2, sig, out = [], [], [], [], []
+            size, s1, s2, sig, large, out = [], [], [], [], [], []
             for s in sets_of(data, off, n):
                 m = len(s)
                 size.append(m)
                 s1.append(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 s2.append(K.mix(s ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
                 sig.append(signature(s))
+                large.append(wide(s))
                 if m:
                     take = m - -(-percent * m // 100) + 1
                     order = np.lexsort((s, seen[(s >> np.uint64(20)).astype(np.int64) % COUNTERS]))[:take]
@@ -123,10 +138,10 @@ def prefixes(base: DataFrame, n: int, percent: int, counts) -> DataFrame:
             yield pa.record_batch({
                 "id": batch.column("d"), "size": np.array(size, np.int64),
                 "s1": np.array(s1, np.uint64).view(np.int64), "s2": np.array(s2, np.uint64).view(np.int64),
-                "sig": pa.array(sig, pa.binary()), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))),
+                "sig": pa.array(sig, pa.binary()), "wide": pa.array(large, pa.binary()), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.view(np.int64))),
             })
 
-    return base.mapInArrow(find, "id long, size long, s1 long, s2 long, sig binary, grams array<long>")
+    return base.mapInArrow(find, "id long, size long, s1 long, s2 long, sig binary, wide binary, grams array<long>")
 
 
 def _need(na, nb, percent: int):
@@ -161,12 +176,12 @@ def _meet(percent: int, mode: str):
         least = np.where(c["more"][x] & (mode == LEAD), percent - NEAR, percent)
         ok = _may_link(size[x], pos[x], size[y], pos[y], least)
         x, y, least = x[ok], y[ok], least[ok]
-        apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
+        differ = np.bitwise_count(sig[x] ^ sig[y]).sum(1).astype(np.int64)
         both = size[x] + size[y]
-        ok = apart <= both - 2 * _need(size[x], size[y], least)
-        x, y, apart = x[ok], y[ok], apart[ok] / both[ok]
+        ok = differ <= both - 2 * _need(size[x], size[y], least)
+        x, y, differ = x[ok], y[ok], differ[ok] / both[ok]
         if mode == BEST and len(x):
-            order = np.lexsort((c["id"][y], apart, x))
+            order = np.lexsort((c["id"][y], differ, x))
             k = order[np.concatenate(([True], x[order][1:] != x[order][:-1]))]
             x, y = x[k], y[k]
         if not len(x):
@@ -218,7 +233,7 @@ def _candidates(lists: DataFrame, percent: int, mode: str) -> DataFrame:
     long = F.col("salts") > 1
     at = lists.select("token", F.when(F.col("m") > HOMES, block).otherwise(0).alias("block"), (F.col("m") > 2).alias("more"), salts.alias("salts"), "id", "size", "pos", "part", (F.col("part") == F.col("main")).alias("big"), "sig")
     row = lambda role: [F.lit(role).alias("role"), "id", "size", "pos", "part", "big", "more", "sig"]
-    homes = at.select("token", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *row(0))
+    homes = (at.where("NOT big") if mode == LEAD else at).select("token", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), *row(0))
     visits = at.where("big" if mode == LEAD else "NOT big")
     visits = visits.withColumn("block", F.explode(F.when(long, F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).otherwise(F.array("block")))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     both = homes.unionByName(visits.select("token", "block", "salt", *row(1))).repartition("token", "block", "salt").sortWithinPartitions("token", "block", "salt", "role")
@@ -244,6 +259,29 @@ def _links(both: int, na: int, nb: int, percent: int) -> bool:
     return 100 * both >= percent * (na + nb - both)
 
 
+def _beside(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with the values x of a and y of b from ``rows`` (id, value)."""
+    few = sized(pairs)
+    x = rows.select(F.col("id").alias("a"), F.col(value).alias("x")).join(few, "a")
+    y = rows.select(F.col("id").alias("b"), F.col(value).alias("y")).join(few.select("a", "b"), "b")
+    return x.join(y, ["a", "b"])
+
+
+def _implausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs of large sets that differ in too many grams by their wide signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                na, nb, differ = apart(x.as_py(), y.as_py())
+                out.append(differ > na + nb - 2 * _need(na, nb, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    both = _beside(pairs.select("a", "b"), reps.where("wide IS NOT NULL"), "wide")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (a, b, part_a, part_b) compared as whole sets: linked, n (a's size), and what b has less and more than a."""
 
@@ -260,9 +298,7 @@ def measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out = batch.select(["a", "b", "part_a", "part_b"]).to_pydict()
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()} | {"linked": pa.array(linked, pa.bool_()), "n": pa.array(n, pa.int64()), "minus": pa.array(minus, pa.binary()), "plus": pa.array(plus, pa.binary())})
 
-    x = sets.select(F.col("id").alias("a"), F.col("grams").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "part_a", "part_b", "x", "y")
+    both = _beside(pairs, sets, "grams").select("a", "b", "part_a", "part_b", "x", "y")
     return both.mapInArrow(run, "a long, b long, part_a long, part_b long, linked boolean, n long, minus binary, plus binary")
 
 
@@ -283,10 +319,9 @@ def derived(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
                 linked.append(_links(both, n - len(ma) + len(pa_), n - len(mb) + len(pb), percent))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
-    ids = sized(table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "gram-wanted"))
-    forms = table(forms.join(ids, "id", "left_semi"), "gram-forms")
+    few = sized(pairs.select("a", "b"))
     form = lambda c: forms.select(F.col("id").alias(c), "base", *([F.col("n")] if c == "a" else []), F.col("minus").alias(f"minus_{c}"), F.col("plus").alias(f"plus_{c}"))
-    both = pairs.select("a", "b").join(form("a"), "a").join(form("b"), ["b", "base"]).select("a", "b", "n", "minus_a", "plus_a", "minus_b", "plus_b")
+    both = form("a").join(few, "a").join(form("b").join(few, "b"), ["a", "b", "base"]).select("a", "b", "n", "minus_a", "plus_a", "minus_b", "plus_b")
     return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
@@ -297,7 +332,7 @@ class _Search:
         self.base, self.n, self.percent = base, n, percent
         counts = base.sparkSession.sparkContext.broadcast(gram_counts(base, n))
         self.found = table(prefixes(base, n, percent, counts), "gram-prefixes")
-        reps = self.found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.first("grams").alias("grams"), F.first("sig").alias("sig"))
+        reps = self.found.where("size > 0").groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.first("grams").alias("grams"), F.first("sig").alias("sig"), F.first("wide").alias("wide"))
         self.reps = table(reps, "gram-sets")
         entries = self.reps.select("id", "size", F.posexplode("grams").alias("pos", "token"))
         # Counting first leaves a common gram one row a task, so no list is gathered to learn its length.
@@ -333,14 +368,19 @@ class _Search:
     def lead(self, at: DataFrame) -> DataFrame:
         """Links of sets to the leaders of their lists; their forms (differences to leaders) are kept."""
         near = table(_candidates(at, self.percent, LEAD).drop("token"), "gram-pairs")
+        near = self.plausible(near, self.percent - NEAR)
         got = table(measured(near, self.sets(near), self.percent), "gram-answers")
         own = got.select(F.col("a").alias("id"), F.col("a").alias("base"), "n").distinct()
         nothing = F.lit(b"").alias("minus"), F.lit(b"").alias("plus")
         self.forms = got.select(F.col("b").alias("id"), F.col("a").alias("base"), "n", "minus", "plus").unionByName(own.select("*", *nothing))
         return got.where("linked").select("a", "b", "part_a", "part_b")
 
+    def plausible(self, pairs: DataFrame, percent: int) -> DataFrame:
+        return table(pairs.join(sized(table(_implausible(pairs, self.reps, percent), "gram-implausible")), ["a", "b"], "left_anti"), "gram-pairs")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The rows of ``pairs`` that link: by forms where both sets have one to the same leader, else as whole sets."""
+        pairs = self.plausible(pairs, self.percent)
         short = table(derived(pairs, self.forms, self.percent), "gram-derived")
         rest = table(pairs.join(short, ["a", "b"], "left_anti"), "gram-rest")
         linked = pairs.join(short.where("linked").select("a", "b"), ["a", "b"], "left_semi")

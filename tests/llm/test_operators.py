@@ -426,3 +426,37 @@ def test_pipeline_of_no_documents(spark, tmp_path):
 
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_signatures_never_overstate_the_difference():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 1 << 63, 9000).astype(np.uint64)
+    for n, m in ((300, 310), (1000, 700), (5000, 4200), (257, 9000)):
+        x, y = np.sort(rng.choice(pool, n, replace=False)), np.sort(rng.choice(pool, m, replace=False))
+        true = len(np.setxor1d(x, y))
+        na, nb, least = jaccard.apart(jaccard.wide(x), jaccard.wide(y))
+        assert (na, nb) == (n, m) and least <= true
+        bits = np.frombuffer(jaccard.signature(x), np.uint64) ^ np.frombuffer(jaccard.signature(y), np.uint64)
+        assert int(np.bitwise_count(bits).sum()) <= true
+    assert jaccard.wide(pool[:10]) is None and jaccard.apart(jaccard.wide(pool), jaccard.wide(pool))[2] == 0
+
+
+def test_long_lists_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOMES", 5)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(30)}"
+        texts.append((i, " ".join(w[: rng.randrange(50, 61)])))
+    long = [(200 + i, " ".join(f"q{j}" for j in range(i, 900 + 40 * i))) for i in range(6)]
+    df = spark.createDataFrame(texts + long, "doc_id long, text string").repartition(5)
+    for n, percent in ((4, 85), (5, 80)):
+        assert as_dict(jaccard.components(df, n, percent), "doc_id", "n_shingles", "component_id") == brute.jaccard(texts + long, n, percent)
+
+
+def test_join_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (None, "z " * 9, 7, "z"), (None, "y " * 9, 8, "w")], "doc_id long, text string, _keep long, hash string")
+    assert sorted(r["_keep"] for r in jaccard.keep_one(df).collect()) == [5, 7, 8]
