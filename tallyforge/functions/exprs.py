@@ -120,3 +120,30 @@ def hamming(a: Column, b: Column) -> Column:
     number = lambda c, i: F.conv(F.substring(c, i, F.lit(15)), 16, 10).cast("long")
     add = lambda n, i: n + F.bit_count(number(a, i).bitwiseXOR(number(b, i)))
     return F.when(ok, F.aggregate(F.sequence(F.lit(1), F.length(a), F.lit(15)), F.lit(0), add))
+
+
+def tags(text: Column) -> Column:
+    """Comma-separated tags, trimmed, blank ones dropped; null if none is left."""
+    out = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.when(F.size(out) > 0, out)
+
+
+def untrusted(text: Column) -> Column:
+    """Text from outside between marks that it cannot close; null and empty texts are null."""
+    safe = F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.when(text != "", F.concat(F.lit("<untrusted>"), safe, F.lit("</untrusted>")))
+
+
+def finite(x: Column) -> Column:
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def same_currency(amount: Column, currency: Column, wanted: str) -> Column:
+    """``amount``, or an error if it is in another currency: there is no conversion."""
+    return F.when(currency == wanted, amount).otherwise(F.raise_error(F.concat(F.lit("amount in another currency: "), F.coalesce(currency, F.lit("none")))).cast("long"))
+
+
+def money_sum(amount: Column, currency: Column) -> Column:
+    """Sum of amounts of a group, an error if they are in several currencies."""
+    one = F.min(currency).eqNullSafe(F.max(currency))
+    return F.when(one, F.sum(amount)).otherwise(F.raise_error(F.lit("amounts in several currencies")).cast("long"))
