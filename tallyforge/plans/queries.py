@@ -220,9 +220,10 @@ def outcome_day(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hash_families(spark: SparkSession, sf: str) -> DataFrame:
-    """Families of parts with near perceptual hashes (of brand and type, cut to 24 bits and a limit of 5)."""
-    base = read(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("asset")).distinct()
-    return hashes.families(base.select("asset", F.substring(F.md5("asset"), 1, 6).alias("hash")), limit=5)
+    """Families of parts with near hashes of 64 bits: ten digits stand for the brand, six for the type."""
+    base = read(spark, sf, "part").select("p_brand", "p_type").distinct()
+    digits = lambda c, n: F.substring(F.md5(c), 1, n)
+    return hashes.families(base.select(F.concat_ws("|", "p_brand", "p_type").alias("asset"), F.concat(digits("p_brand", 10), digits("p_type", 6)).alias("hash")))
 
 
 @query

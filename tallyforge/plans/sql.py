@@ -82,8 +82,8 @@ SELECT i::INT AS bucket, coalesce(n, 0)::BIGINT AS n, CASE WHEN n >= 10 THEN {R6
     "rejection_rate": f"SELECT (ts + INTERVAL 330 MINUTE)::DATE AS day, count(*) AS total, count(*) FILTER (event_type = 'error') AS rejected, {R6(_div('''count(*) FILTER (event_type = 'error')''', 'count(*)'))} AS rate FROM events GROUP BY 1",
     "outcome_day": f"""WITH {DAILY}, c AS (SELECT ad_id, day, sum(purchases) OVER w AS p, sum(spend) OVER w AS s FROM daily WHERE day > DATE '2024-01-07' WINDOW w AS (PARTITION BY ad_id ORDER BY day))
 SELECT ad_id, min(day) FILTER (p >= 5 AND s >= 50000) AS met_on, max(p)::BIGINT AS purchases, max(s)::BIGINT AS spend FROM c GROUP BY 1""",
-    "hash_families": """WITH RECURSIVE h AS (SELECT *, ('0x' || substr(md5(asset), 1, 6))::BIGINT AS x FROM (SELECT DISTINCT concat_ws('|', p_brand, p_type) AS asset FROM part)),
-e AS MATERIALIZED (SELECT a.asset AS a, b.asset AS b FROM h a JOIN h b ON a.asset <> b.asset AND bit_count(xor(a.x, b.x)) <= 5), reach AS (SELECT asset AS a, asset AS b FROM h UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+    "hash_families": """WITH RECURSIVE h AS (SELECT DISTINCT concat_ws('|', p_brand, p_type) AS asset, ('0x' || substr(md5(p_brand), 1, 10))::BIGINT AS x, ('0x' || substr(md5(p_type), 1, 6))::BIGINT AS y FROM part),
+e AS MATERIALIZED (SELECT a.asset AS a, b.asset AS b FROM h a JOIN h b ON a.asset <> b.asset AND bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) <= 10), reach AS (SELECT asset AS a, asset AS b FROM h UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 f AS (SELECT a AS asset, min(b) AS family FROM reach GROUP BY 1) SELECT asset, family, count(*) OVER (PARTITION BY family) AS variations FROM f""",
     "money_texts": "SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS inr, NULL::BIGINT AS jpy, (round(o_totalprice * 100) * 10)::BIGINT AS kwd, printf('%.2f', o_totalprice) AS text FROM orders",
     "calendar_days": "SELECT DISTINCT ts::DATE AS day, dayofweek(ts)::INT AS dow, dayname(ts) AS day_name, monthname(ts) AS month_name, dayofweek(ts) IN (0, 6) AS weekend FROM events",

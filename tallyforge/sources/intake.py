@@ -23,7 +23,7 @@ def cents(text: Column) -> Column:
 
 def order_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, junk) of an export with a header; rows with a blank id or the ``######`` trailer are junk."""
-    rows = spark.read.schema(CSV_COLUMNS).option("header", True).option("multiLine", False).csv(path)
+    rows = spark.read.schema(CSV_COLUMNS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)  # a quoted name may hold line breaks
     junk = F.coalesce(F.trim("ID"), F.lit("")).rlike("^(#+.*)?$")
     return rows.where(~junk), rows.where(junk)
 

@@ -1,29 +1,37 @@
 """A stream of versioned rows kept as a table of latest rows, exactly once in effect.
 
-Each batch drops repeated ids and appends its newest row a key under its batch number, so a batch that runs
-again overwrites itself; readers apply the version guard over the batches.
+Each batch drops repeated ids and goes through the version guard against the table the batch before it left; the new table and
+the rejected rows are written under the batch's number, so a batch that runs again overwrites its own. Rows that come
+late, however late, are judged and logged, never dropped. With the same folder a later call goes on where the last one ended.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.upsert import version_guard
 from tallyforge.runtime import new_path
 
 
-def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str) -> DataFrame:
-    schema = spark.read.parquet(source).schema
-    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
-    rows = spark.readStream.schema(schema).parquet(source).withColumn(ts, F.col(ts).cast("timestamp"))
-    rows = rows.withWatermark(ts, "10 days").dropDuplicatesWithinWatermark([event_id])
-    newest = W.partitionBy(key).orderBy(F.desc(ts), F.desc(event_id))
+def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None) -> DataFrame:
+    """The latest row of each key after all files of ``source`` that are there now; null keys are left out."""
+    folder = folder or new_path(spark, "stream")
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).where(F.col(key).isNotNull())
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch = batch.dropDuplicates([event_id])
+        current = spark.read.schema(batch.schema).parquet(f"{folder}/latest/batch={number - 1}") if number else batch.limit(0)
+        merged, rejected = version_guard(current, batch, key, ts, event_id)
+        rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
+        merged.write.mode("overwrite").parquet(f"{folder}/latest/batch={number}")
 
-    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = spark.read.parquet(out).drop("batch")
-    return found.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    found = spark.read.parquet(f"{folder}/latest")
+    return found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def rejected_of_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The log: rejected rows with the version that was kept then (null if a row of the same batch was newer) and their batch."""
+    return spark.read.parquet(f"{folder}/rejected").withColumnRenamed("_current", "kept_version")
