@@ -1,27 +1,38 @@
-"""Windowed features with uncertainty at five entity levels, in one pass over the daily facts."""
+"""Windowed features with uncertainty at five entity levels, in one pass over the daily facts of the longest window."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.config import CANON, Canon
 from tallyforge.functions import exprs as E
+from tallyforge.operators.spine import windows_of
+from tallyforge.sources import facts
 from tallyforge.sources.facts import levels
 
 MEASURES = ("impressions", "clicks", "carts", "purchases", "spend", "purchase_value")
 
 
-def window_totals(daily: DataFrame, canon: Canon = CANON) -> DataFrame:
-    """(entity_type, entity_id, days, measures): every entity and window, zeros where nothing happened.
+def window_totals(daily: DataFrame, ads: DataFrame, canon: Canon = CANON) -> DataFrame:
+    """(entity_type, entity_id, days, floor, measures): every entity of ``ads`` (ad_id) and window, zeros where nothing happened.
 
-    Facts are summed by ad and window first, so the explosion to levels works on ads, not on days.
+    Only days of the longest window are read, and a fact is repeated only for the windows it is in. Facts are summed by ad
+    and window first, so the explosion to levels works on ads, not on days.
     """
+    last, first = F.lit(canon.as_of), F.date_sub(F.lit(canon.as_of), max(canon.windows) - 1)
+    inside = daily.where(F.col("day").between(first, last)).withColumn("days", F.explode(windows_of("day", canon)))
+    by_ad = inside.groupBy("ad_id", "days").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    found = by_ad.select(F.inline(levels()), "days", *MEASURES).groupBy("entity_type", "entity_id", "days").agg(*[F.sum(m).alias(m) for m in MEASURES])
     spans = F.array(*[F.struct(F.lit(n).alias("days"), F.lit(f).alias("floor")) for n, f in zip(canon.windows, canon.floors, strict=True)])
-    age = F.datediff(F.lit(canon.as_of), F.col("day"))
-    inside = daily.withColumn("_s", F.explode(spans)).withColumn("_in", age.between(0, F.col("_s.days") - 1))
-    by_ad = inside.groupBy("ad_id", F.col("_s.days").alias("days"), F.col("_s.floor").alias("floor")).agg(*[F.coalesce(F.sum(F.when(F.col("_in"), F.col(m))), F.lit(0)).cast("long").alias(m) for m in MEASURES])
-    return by_ad.select(F.explode(levels()).alias("_e"), "days", "floor", *MEASURES).groupBy("_e.entity_type", "_e.entity_id", "days", "floor").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    spine = ads.select("ad_id").distinct().select(F.inline(levels())).distinct().select("*", F.inline(spans))
+    return spine.join(found, ["entity_type", "entity_id", "days"], "left").select("entity_type", "entity_id", "days", "floor", *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in MEASURES])
+
+
+def recent(spark: SparkSession, sf_dir: str, canon: Canon = CANON) -> DataFrame:
+    """``window_totals`` of the driver's events; the bounds of the longest window reach the scan."""
+    since = F.date_sub(F.lit(canon.as_of), max(canon.windows) - 1)
+    return window_totals(facts.daily(spark, sf_dir, since, F.lit(canon.as_of)), facts.ads(spark, sf_dir), canon)
 
 
 def metrics(totals: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ _TEXT = "'Ad set ' || entity_id || E'\\n\\n' || 'Last ' || days || ' days: ' ||
 @query(f"WITH {TOTALS} SELECT 'ADSET_' || entity_id || '_' || days AS packet_id, {_TEXT} AS text FROM totals WHERE entity_type = 'ADSET'")
 def packet_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The decision packet of every ad set and window as text, sections parted by a blank line."""
-    t = features.window_totals(facts.daily(spark, sf)).where("entity_type = 'ADSET'")
+    t = features.recent(spark, sf).where("entity_type = 'ADSET'")
     few = F.concat(D("Too few purchases for a verdict ("), "purchases", D(" of "), "floor", D(")."))
     numbers = F.concat(D("Last "), "days", D(" days: "), "purchases", D(" purchases, spend "), "spend", D("."))
     text = F.concat_ws("\n\n", F.concat(D("Ad set "), "entity_id"), numbers, F.when(F.col("purchases") < F.col("floor"), few).otherwise("Enough purchases for a verdict."))

@@ -32,7 +32,7 @@ def r6(c, name: str):
 
 @query
 def entity_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return features.statistics(features.window_totals(facts.daily(spark, sf)))
+    return features.statistics(features.recent(spark, sf))
 
 
 @query
@@ -42,14 +42,14 @@ def daily_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def window_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return features.metrics(features.window_totals(facts.daily(spark, sf)))
+    return features.metrics(features.recent(spark, sf))
 
 
 @query
 def weekly_trend(spark: SparkSession, sf: str) -> DataFrame:
     age = F.datediff(D(CANON.as_of), F.col("day"))
     pick = lambda c, a, b: F.coalesce(F.sum(F.when(age.between(a, b), F.col(c))), D(0)).cast("long")
-    d = facts.daily(spark, sf).groupBy("ad_id").agg(pick("spend", 0, 6).alias("spend"), pick("spend", 7, 13).alias("spend_before"), pick("purchases", 0, 6).alias("purchases"), pick("purchases", 7, 13).alias("purchases_before"))
+    d = facts.ads(spark, sf).join(facts.daily(spark, sf, F.date_sub(D(CANON.as_of), 13), D(CANON.as_of)), "ad_id", "left").groupBy("ad_id").agg(pick("spend", 0, 6).alias("spend"), pick("spend", 7, 13).alias("spend_before"), pick("purchases", 0, 6).alias("purchases"), pick("purchases", 7, 13).alias("purchases_before"))
     change = E.percent_change(F.col("spend"), F.col("spend_before"))
     return d.select("*", r6(change, "spend_change"), E.trend(change).alias("spend_trend"), E.volume_trend(F.col("purchases"), F.col("purchases_before")).alias("purchase_trend"))
 
@@ -179,7 +179,7 @@ def learning_phase(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Decision unit, eligibility, suggested change and guardrail violations of every ad set (28 days)."""
-    t = features.window_totals(facts.daily(spark, sf)).where("days = 28 AND entity_type = 'ADSET'")
+    t = features.recent(spark, sf).where("days = 28 AND entity_type = 'ADSET'")
     owner = F.when(F.col("entity_id") % 3 == 0, "OWNS").when(F.col("entity_id") % 3 == 1, "DEFERS").otherwise("UNKNOWN")
     n, floor = F.col("purchases"), F.col("floor")
     reasons = F.array_compact(F.array(F.when(owner != "OWNS", "NOT_BUDGET_OWNER"), F.when((F.col("spend") <= 0) & (F.col("impressions") <= 0), "NOT_DELIVERING"), F.when(n < floor, "SAMPLE_TOO_SMALL")))
@@ -253,7 +253,7 @@ def archive_as_of(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def strategy_choice(spark: SparkSession, sf: str) -> DataFrame:
     """What two strategies choose in each window: most purchases, and highest raw ROAS; ties by least id."""
-    t = features.window_totals(facts.daily(spark, sf)).where("entity_type = 'ADSET' AND spend > 0").withColumn("roas", E.ratio(F.col("purchase_value"), F.col("spend")))
+    t = features.recent(spark, sf).where("entity_type = 'ADSET' AND spend > 0").withColumn("roas", E.ratio(F.col("purchase_value"), F.col("spend")))
     system = t.groupBy("days").agg(F.max_by("entity_id", F.struct("purchases", -F.col("entity_id"))).alias("system"))
     naive = t.groupBy("days").agg(F.max_by("entity_id", F.struct("roas", -F.col("entity_id"))).alias("naive"))
     return system.join(naive, "days")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
 from tallyforge.runtime import documents as read
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an ad and day; error rows count as malformed."""
+def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ad_id) of every ad that ever had an event; reads that column alone."""
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("ad_id")).distinct()
+
+
+def daily(spark: SparkSession, sf_dir: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """One row an ad and day; error rows count as malformed. ``since`` and ``until`` (days, inclusive) reach the scan."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
+    if since is not None:
+        e = e.where(F.col("ts") >= since.cast("timestamp_ntz"))
+    if until is not None:
+        e = e.where(F.col("ts") < F.date_add(until, 1).cast("timestamp_ntz"))
     kind = F.col("event_type")
     n = lambda *k: F.count_if(kind.isin(*k))
     money = lambda *k: F.coalesce(F.sum(F.when(kind.isin(*k), E.minor(F.col("value")))), F.lit(0)).cast("long")
