@@ -28,7 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tf-{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/tf-{label}-{uuid.uuid4().hex[:12]}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_written: dict[str, list[str]] = {}
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that operators of this application wrote, once their results have been used; how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:

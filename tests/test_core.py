@@ -108,3 +108,13 @@ def test_every_query_has_sql_and_runs_on_the_smallest_tables(spark):
     assert set(QUERIES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
     assert QUERIES["rejected_versions"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_written_tables_can_be_dropped(spark):
+    from tallyforge import runtime
+
+    runtime.drop_tables(spark)
+    kept = runtime.table(spark.range(3), "some")
+    assert kept.count() == 3 and runtime.drop_tables(spark) == 1 and runtime.drop_tables(spark) == 0
+    many = runtime.bucketed(spark.range(50).withColumnRenamed("id", "d"), "d", "some")
+    assert many.count() == 50 and "Exchange" not in many.groupBy("d").count()._jdf.queryExecution().executedPlan().toString()
