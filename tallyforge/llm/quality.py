@@ -57,7 +57,9 @@ def repeat_words(w: Column, k: int = WINDOW) -> Column:
             return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
         def marked(s: Column) -> Column:
-            same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+            window = lambda x: F.slice(w, x["i"] + 1, k)
+            # Windows of equal hash are neighbours in order; their words decide.
+            same = lambda x, i: F.coalesce((F.get(s, i)["h"] == x["h"]) & (window(F.get(s, i)) == window(x)), F.lit(False))
             twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
             return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 

@@ -225,9 +225,26 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    by_id = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    stage = [f for _, f in corpus_pipeline.STAGES]
+    good = stage[0](spark, docs, str(tmp_path)).cache()
+    bits = {r["doc_id"]: r["fail_bits"] for r in quality.ledger(docs).collect()}
+    assert set(by_id(good)) == {i for i, b in bits.items() if b == 0}
+    alone = stage[1](spark, good, str(tmp_path)).cache()
+    assert by_id(alone) == {i: by_id(good)[i] for i, (_, c) in brute.jaccard(list(by_id(good).items()), 5, 80).items() if i == c}
+    clean = stage[2](spark, alone, str(tmp_path)).cache()
+    assert set(by_id(clean)) == set(by_id(alone)) and not any(brute.secret_spans(t) for t in by_id(clean).values())
+    mixed = stage[3](spark, clean, str(tmp_path)).cache()
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(clean).collect()}
+    copies: dict = {}
+    for r in mixed.collect():
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert copies == {i: int(t / n + 0.5) for i, (t, n) in taken.items() if n and int(t / n + 0.5)}
+    for df in (good, alone, clean, mixed):
+        assert df.columns == docs.columns
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = {r["doc_id"] for r in quality.keep_good(docs).collect()}
-    assert rows and {r["doc_id"] for r in rows} <= good
+    assert rows and {r["doc_id"] for r in rows} == set(copies)
+    assert sum(r["piece"] == 0 for r in rows) == sum(copies.values())
 
 
 def test_embeddings_of_many_sizes_and_one_large_label(spark):
