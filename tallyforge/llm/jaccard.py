@@ -86,13 +86,24 @@ def gram_counts(base: DataFrame, n: int) -> np.ndarray:
     """How many documents hold a gram of each counter: a table of fixed size, summed in parts by Spark."""
     width = COUNTERS // SLOTS
 
+    def add_up(total: np.ndarray, held: list[np.ndarray]) -> None:
+        if held:
+            total += np.bincount((np.concatenate(held) >> np.uint64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32)
+            held.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             data, off = K.column(batch.column("t"))
-            held = [s for s in sets_of(data, off, n)]
-            if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS).astype(np.uint32)
+            held: list[np.ndarray] = []
+            waiting = 0
+            for s in sets_of(data, off, n):
+                held.append(s)
+                waiting += len(s)
+                if waiting > COUNTERS:
+                    add_up(total, held)
+                    waiting = 0
+            add_up(total, held)
         if total.any():
             yield pa.record_batch({"slot": np.arange(SLOTS, dtype=np.int32), "counts": pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLOTS)])})
 

@@ -35,8 +35,8 @@ END_ID = 2
 ROUNDS = 400
 #: Pieces of one length that are ranked together, about; a longer list is ranked in parts.
 RANK_PART = 50_000
-#: Word pieces whose ids a task remembers.
-CACHE = 1_000_000
+#: Word pieces whose ids a task remembers (about 250 bytes each).
+CACHE = 200_000
 
 
 def piece_schema(key: str) -> str:
