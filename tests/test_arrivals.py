@@ -47,6 +47,6 @@ def test_windows_and_amounts_that_cannot_be_read_stop_the_query(spark):
     with pytest.raises(PySparkException):
         orders.window_calendar(w, "b", "a").collect()
     text = spark.createDataFrame([("1.5",), (None,), ("1.555",)], "t string")
-    assert [r[0] for r in text.limit(2).select(orders.amount(F.col("t"), F.lit("INR"))).collect()] == [150, None]
+    assert [r[0] for r in text.where("t IS NULL OR t = '1.5'").select(orders.amount(F.col("t"), F.lit("INR"))).collect()] == [150, None]
     with pytest.raises(PySparkException):
         text.select(orders.amount(F.col("t"), F.lit("INR"))).collect()
