@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.config import CANON
+from tallyforge.config import CANON, Canon
 from tallyforge.functions import exprs as E
 
 
@@ -38,3 +38,21 @@ def enriched(events_: DataFrame, features: DataFrame) -> DataFrame:
     e = events_.join(features.select("entity_id").distinct(), "entity_id", "left_semi")
     last = F.max(F.when((F.col("field") == "BUDGET") & F.col("material"), F.struct("run", "detected_on")))
     return e.groupBy("entity_id").agg(F.count("*").alias("changes"), *[F.count_if(F.col("field") == f).alias(f.lower()) for f in ("BUDGET", "STATUS", "TARGETING", "BID_STRATEGY", "CREATIVE_ASSIGNMENT")], F.max("run").alias("last_run"), last["detected_on"].alias("last_material_budget"))
+
+
+def learning(daily: DataFrame, levels: Column, canon: Canon = CANON) -> DataFrame:
+    """Learning phase of each entity: conversions since the later of its last large budget change (or first day) and the
+    learning window's start, and what restarted it. ``daily``: day, spend, purchases, and the columns of ``levels``."""
+    from pyspark.sql import Window as W
+
+    key = ["entity_type", "entity_id"]
+    d = daily.select("day", "spend", "purchases", F.inline(levels)).groupBy(*key, "day").agg(F.sum("spend").alias("spend"), F.sum("purchases").alias("purchases"))
+    before = F.lag("spend").over(W.partitionBy(*key).orderBy("day"))
+    d = d.withColumn("_large", F.coalesce(F.abs(E.percent_change(F.col("spend"), before)) >= canon.material_change_percent, F.lit(False)))
+    start = F.date_sub(F.lit(canon.as_of), canon.learning_days - 1)
+    of = d.groupBy(*key).agg(F.max(F.when(F.col("_large"), F.col("day"))).alias("reset_day"), F.min("day").alias("created"))
+    of = of.withColumn("start", F.greatest(F.coalesce("reset_day", "created"), start))
+    of = of.withColumn("cause", F.when(F.col("reset_day") >= start, "budget change").when(F.col("reset_day").isNull() & (F.col("created") >= start), "created").otherwise("none"))
+    n = d.join(of, key).where(F.col("day").between(F.col("start"), F.lit(canon.as_of))).groupBy(*key).agg(F.sum("purchases").alias("conversions"))
+    out = of.join(n, key, "left").withColumn("conversions", F.coalesce("conversions", F.lit(0)))
+    return out.select(*key, "reset_day", "start", "cause", "conversions", (F.col("conversions") < canon.learning_conversions).alias("learning"), F.greatest(F.lit(0), canon.learning_conversions - F.col("conversions")).cast("long").alias("to_exit"))

@@ -58,3 +58,8 @@ def published(versions: DataFrame, key: str, version: str, active: str) -> DataF
     from pyspark.sql import Window as W
 
     return versions.withColumn(active, F.col(version) == F.max(version).over(W.partitionBy(key)))
+
+
+def overwrite(df: DataFrame, path: str, *parts: str) -> None:
+    """Replace the partitions that ``df`` has rows for, whatever they held; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)

@@ -55,3 +55,31 @@ def context(windows: DataFrame, seasons: DataFrame) -> DataFrame:
     own = F.when(F.size("labels") == 0, "window is off-season").otherwise(F.concat(F.lit("window covers "), listed(F.col("labels"))))
     base = F.when(F.size("base_labels") == 0, "baseline is off-season").otherwise(F.concat(F.lit("baseline covers "), listed(F.col("base_labels"))))
     return w.withColumn("summary", F.concat(own, F.lit("; "), base, F.when(F.col("spans_boundary"), "; different seasonal regimes").otherwise(""), F.lit(".")))
+
+
+def demand(revenue: DataFrame, seasons: DataFrame, lookback: int = 90, most: int = 30, least: int = 7) -> DataFrame:
+    """(label, first, season_days, base_days, ratio) of each occurrence: mean revenue of its clean days over that of the
+    latest clean off-season days before it. ``revenue``: a row a day (day, revenue, clean), days without sales included.
+
+    The ratio is null with no clean day of the season, fewer than ``least`` days before it, or a zero mean."""
+    from pyspark.sql import Window as W
+
+    from tallyforge.functions import exprs as E
+
+    clean = revenue.where("clean").select("day", "revenue")
+    dates = seasons.select("label", "first", "last")
+    inside = dates.select("label", "first", F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("day"))
+    season = inside.join(clean, "day").groupBy("label", "first").agg(F.avg("revenue").alias("_s"), F.count("*").alias("season_days"))
+    off = clean.join(inside.select("day").distinct(), "day", "left_anti")
+    back = dates.select("label", "first", F.explode(F.sequence(F.lit(1), F.lit(lookback))).alias("_b")).withColumn("day", F.date_sub("first", F.col("_b")))
+    latest = back.join(off, "day").withColumn("_r", F.row_number().over(W.partitionBy("label", "first").orderBy("_b"))).where(F.col("_r") <= most)
+    base = latest.groupBy("label", "first").agg(F.avg("revenue").alias("_m"), F.count("*").alias("base_days"))
+    ok = (F.coalesce("season_days", F.lit(0)) >= 1) & (F.coalesce("base_days", F.lit(0)) >= least) & (F.col("_m") != 0)
+    rows = dates.join(season, ["label", "first"], "left").join(base, ["label", "first"], "left")
+    return rows.select("label", "first", F.coalesce("season_days", F.lit(0)).alias("season_days"), F.coalesce("base_days", F.lit(0)).alias("base_days"), F.when(ok, E.ratio(F.col("_s"), F.col("_m"))).alias("ratio"))
+
+
+def demand_index(occurrences: DataFrame, needed: int = 2) -> DataFrame:
+    """(label, usable, demand): the mean ratio of a label with at least ``needed`` usable occurrences."""
+    by = occurrences.groupBy("label").agg(F.count("ratio").alias("usable"), F.avg("ratio").alias("_mean"))
+    return by.select("label", "usable", F.when(F.col("usable") >= needed, F.col("_mean")).alias("demand"))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import decide, ledger, seasons
+from tallyforge.operators import changes, decide, ledger, seasons
 from tallyforge.plans import entities
 from tallyforge.plans.entities import ADS, DELIVERY, TOTALS
 from tallyforge.plans.sql import MINOR, R6
 from tallyforge.runtime import documents as read
-from tallyforge.sources import dims
+from tallyforge.runtime import new_path
+from tallyforge.sources import dims, facts
 
 D = F.lit
 QUERIES: dict = {}
@@ -230,3 +231,44 @@ def entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
     found = exact.select("q", "kind", "id", "name").unionByName(named)
     n = found.groupBy("q").agg((F.count("*") > 5).alias("more_than_five"))
     return found.join(F.broadcast(n), "q")
+
+
+@query(f"""WITH {ADS}, {DELIVERY}, d AS (SELECT entity_type, entity_id, day, sum(spend) AS spend, sum(purchases) AS p FROM (SELECT 'AD' AS entity_type, ad_id AS entity_id, day, spend, purchases FROM del JOIN ads USING (ad_id) UNION ALL SELECT 'ADSET', adset_id, day, spend, purchases FROM del JOIN ads USING (ad_id)) GROUP BY 1, 2, 3),
+l AS (SELECT *, lag(spend) OVER (PARTITION BY entity_type, entity_id ORDER BY day) AS b FROM d), o AS (SELECT entity_type, entity_id, max(day) FILTER (abs((spend - b) * 100.0::DOUBLE / nullif(abs(b), 0)) >= 20) AS reset_day, min(day) AS created FROM l GROUP BY 1, 2),
+s AS (SELECT *, greatest(coalesce(reset_day, created), DATE '2024-01-24') AS start, CASE WHEN reset_day >= DATE '2024-01-24' THEN 'budget change' WHEN reset_day IS NULL AND created >= DATE '2024-01-24' THEN 'created' ELSE 'none' END AS cause FROM o),
+n AS (SELECT s.entity_type, s.entity_id, coalesce(sum(p) FILTER (day BETWEEN start AND DATE '2024-01-30'), 0)::BIGINT AS conversions FROM s JOIN d USING (entity_type, entity_id) GROUP BY 1, 2)
+SELECT entity_type, entity_id, reset_day, start, cause, conversions, conversions < 50 AS learning, greatest(0, 50 - conversions)::BIGINT AS to_exit FROM s JOIN n USING (entity_type, entity_id)""")
+def learning_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Learning phase of ads and ad sets, restarted by days on which spend moves by a fifth or more."""
+    d = dims.delivery(spark, sf).select("ad_id", "day", "spend", "purchases").join(dims.ads(spark, sf), "ad_id")
+    return changes.learning(d, F.slice(dims.levels(), 1, 2))
+
+
+_OCCUR = [(n, date(y, *a), date(y, *b)) for y in range(1995, 2001) for n, a, b in (("harvest", (11, 1), (11, 7)), ("spring", (3, 10), (3, 12)))]
+_OCC = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _OCCUR)
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_OCC}) t(label, first, last)), o AS (SELECT o_orderdate::DATE AS day, sum({MINOR('o_totalprice')})::BIGINT AS revenue FROM orders GROUP BY 1), b AS (SELECT min(day) AS a, max(day) AS z FROM o),
+s AS (SELECT (a + i::INT)::DATE AS day FROM b, range(0, 20000) r(i) WHERE a + i::INT <= z), v AS (SELECT day, coalesce(revenue, 0) AS revenue FROM s LEFT JOIN o USING (day) WHERE NOT (day >= DATE '1996-02-01' AND day < DATE '1996-02-15')),
+x AS (SELECT label, first, count(v.day) AS season_days, avg(revenue) AS sm FROM c LEFT JOIN v ON day BETWEEN first AND last GROUP BY 1, 2),
+k AS (SELECT label, first, revenue, row_number() OVER (PARTITION BY label, first ORDER BY day DESC) AS r FROM c JOIN v ON day BETWEEN first - 90 AND first - 1 WHERE NOT EXISTS (SELECT 1 FROM c q WHERE v.day BETWEEN q.first AND q.last)),
+m AS (SELECT label, first, count(*) AS base_days, avg(revenue) AS bm FROM k WHERE r <= 30 GROUP BY 1, 2), e AS (SELECT label, first, season_days, coalesce(base_days, 0)::BIGINT AS base_days, CASE WHEN season_days >= 1 AND base_days >= 7 AND bm <> 0 THEN sm / bm END AS ratio FROM x LEFT JOIN m USING (label, first)),
+i AS (SELECT label, count(ratio) AS usable, CASE WHEN count(ratio) >= 2 THEN avg(ratio) END AS demand FROM e GROUP BY 1) SELECT label, first, season_days, base_days, {R6('ratio')} AS ratio, usable, {R6('demand')} AS demand FROM e JOIN i USING (label)""")
+def season_demand(spark: SparkSession, sf: str) -> DataFrame:
+    """Demand of each occurrence of two seasons against the clean off-season days before it, and each season's index."""
+    o = facts.orders(spark, sf).groupBy("day").agg(F.sum("gross").alias("revenue"))
+    days = o.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 1 day"))).alias("day"))
+    gap = (F.col("day") >= D(date(1996, 2, 1))) & (F.col("day") < D(date(1996, 2, 15)))
+    rows = days.join(o, "day", "left").select("day", F.coalesce("revenue", D(0)).alias("revenue"), (~gap).alias("clean"))
+    e = seasons.demand(rows, spark.createDataFrame(_OCCUR, "label string, first date, last date"))
+    i = seasons.demand_index(e)
+    return e.join(i, "label").select("label", "first", "season_days", "base_days", E.rounded(F.col("ratio"), 6).alias("ratio"), "usable", E.rounded(F.col("demand"), 6).alias("demand"))
+
+
+@query("SELECT n_regionkey, n_nationkey, CASE WHEN n_regionkey IN (1, 3) THEN upper(n_name) ELSE n_name END AS name FROM nation WHERE n_regionkey NOT IN (1, 3) OR n_nationkey % 2 = 0")
+def overwritten_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Settings written blindly: the regions of the second write hold only its rows, the others keep theirs."""
+    n, path = read(spark, sf, "nation"), new_path(spark, "settings")
+    ledger.overwrite(n.select("n_nationkey", F.col("n_name").alias("name"), "n_regionkey"), path, "n_regionkey")
+    ledger.overwrite(n.where("n_regionkey IN (1, 3) AND n_nationkey % 2 = 0").select("n_nationkey", F.upper("n_name").alias("name"), "n_regionkey"), path, "n_regionkey")
+    return spark.read.parquet(path).select("n_regionkey", "n_nationkey", "name")
