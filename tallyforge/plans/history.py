@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
 from tallyforge.operators import changes
-from tallyforge.plans.sql import MINOR
+from tallyforge.plans.entities import TOTALS, totals
+from tallyforge.plans.sql import DAILY, MINOR
 from tallyforge.runtime import documents as read
 from tallyforge.runtime import new_path
-from tallyforge.sources import archive
+from tallyforge.sources import archive, facts
 
 D = F.lit
 QUERIES: dict = {}
@@ -106,3 +107,31 @@ def store_as_of(spark: SparkSession, sf: str) -> DataFrame:
     rows = archive.read(spark, path, "orders", "1997-06-30").withColumn("o", F.from_json("body", "o_orderkey long, day date, gross long"))
     last = rows.groupBy("o.o_orderkey").agg(F.max_by("o", "run").alias("o")).where("o.day <= DATE '1997-06-30'")
     return last.groupBy(F.col("o.day").alias("day")).agg(F.count("*").alias("orders"), F.sum("o.gross").alias("gross"), F.max("o.o_orderkey").alias("last_order"))
+
+
+@query(f"""WITH {DAILY}, d AS (SELECT ad_id, day, CASE WHEN ad_id % 2 = 0 THEN spend ELSE spend + 1 END AS spend, purchases FROM daily WHERE day <= DATE '2024-01-20') SELECT ad_id, day, spend, purchases FROM d""")
+def facts_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Delivery known at a day, rebuilt from archived reports: the latest run of an ad and day counts, malformed rows are skipped, later runs are not read."""
+    d = facts.daily(spark, sf).select("ad_id", "day", "spend", "purchases")
+    body = lambda more: F.to_json(F.struct("ad_id", F.col("day").cast("string").alias("day"), (F.col("spend") + more).alias("spend"), "purchases"))
+    page = lambda rows, run, more: rows.select(D("reports").alias("source"), F.col("day"), D(run).cast("long").alias("run"), body(more).alias("body"))
+    bad = spark.range(1).select(D("reports").alias("source"), D("2024-01-02").cast("date").alias("day"), D(3).cast("long").alias("run"), D('{"ad_id": "x"').alias("body"))
+    path = new_path(spark, "archive")
+    archive.write(page(d, 1, 1).unionByName(page(d.where("ad_id % 2 = 0"), 2, 0)).unionByName(bad), path)
+    rows = archive.read(spark, path, "reports", "2024-01-20").withColumn("r", F.from_json("body", "ad_id long, day date, spend long, purchases long"))
+    last = rows.where("r.ad_id IS NOT NULL AND r.day IS NOT NULL").groupBy("r.ad_id", "r.day").agg(F.max_by("r", "run").alias("r"))
+    return last.select("r.*")
+
+
+@query(f"""WITH {TOTALS}, p AS (SELECT entity_type, entity_id, spend, impressions, purchases, carts, landings, spend <= 0 AND impressions <= 0 AS idle FROM tot WHERE days = 28 AND entity_type IN ('ADSET', 'CAMPAIGN'))
+SELECT entity_type || '_' || entity_id AS packet_key, CASE WHEN idle THEN 'NOT_DELIVERING' ELSE 'EVIDENCE' END AS outcome, to_json({{'entity_id': entity_id, 'spend': spend, 'purchases': purchases, 'carts': carts}}) AS body,
+ 'Unit ' || entity_type || ' ' || entity_id || chr(10) || chr(10) || CASE WHEN idle THEN 'It delivers nothing.' ELSE 'Spend: ' || spend || chr(10) || 'Purchases: ' || purchases || chr(10) || chr(10) || 'Funnel: ' || landings || ' landings, ' || carts || ' carts' END AS text FROM p""")
+def packet_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence packets: a key, a JSON body and a text whose sections a blank line parts; idle units get a short one."""
+    p = totals(spark, sf).where("days = 28 AND entity_type IN ('ADSET', 'CAMPAIGN')")
+    idle = (F.col("spend") <= 0) & (F.col("impressions") <= 0)
+    head = F.concat(D("Unit "), "entity_type", D(" "), "entity_id")
+    numbers = F.concat(D("Spend: "), "spend", D("\nPurchases: "), "purchases")
+    funnel = F.concat(D("Funnel: "), "landings", D(" landings, "), "carts", D(" carts"))
+    text = F.concat_ws("\n\n", head, F.when(idle, "It delivers nothing.").otherwise(numbers), F.when(~idle, funnel))
+    return p.select(F.concat_ws("_", "entity_type", "entity_id").alias("packet_key"), F.when(idle, "NOT_DELIVERING").otherwise("EVIDENCE").alias("outcome"), F.to_json(F.struct("entity_id", "spend", "purchases", "carts")).alias("body"), text.alias("text"))
