@@ -6,6 +6,20 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
 _ROOTS = """
 reach AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e UNION SELECT r.x, f.y FROM reach r JOIN (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e) f ON r.y = f.x)"""
 
+# Bytes as hex digits; texts are cut into overlapping pieces first, since cutting a window from a long text reads all of it.
+OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, n, o, substr(h, 2 * o + 1, 2 * 2099) AS x FROM (SELECT *, unnest(range(0, n, 2000)) AS o FROM d)),
+w AS (SELECT doc_id, o + j AS s, substr(x, 2 * j + 1, 200) AS x FROM (SELECT *, unnest(range(0, least(2000, n - o - 99))) AS j FROM p)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM (SELECT *, (s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) > 100)::INT AS fresh FROM r)),
+i AS (SELECT doc_id, i, min(s) AS a, max(s) + 100 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT doc_id, coalesce(lag(b) OVER q, 0) AS f, a AS t FROM i WINDOW q AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT d.doc_id, coalesce(m.b, 0), n FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM i GROUP BY 1) m USING (doc_id)),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS x FROM k JOIN d USING (doc_id) GROUP BY 1),
+c AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM i GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 OP2 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
@@ -55,6 +69,12 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.c,
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
 """
 
+OP6 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)
+SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM p
+"""
+
 OP7 = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
@@ -107,4 +127,4 @@ k AS (SELECT word.doc_id, count(gone.p) AS removed, string_agg(x, ' ' ORDER BY w
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op7_chat_format": OP7, "op8_secret_scan": OP8, "op9_substring_dedup": OP9}
+ORACLE_SQL = {"op1_suffix_dedup": OP1, "op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op8_secret_scan": OP8, "op9_substring_dedup": OP9}
