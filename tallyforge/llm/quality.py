@@ -48,8 +48,12 @@ def mask(policy: str) -> int:
     return sum(1 << RULES.index(r) for r in POLICIES[policy])
 
 
-def repeat_words(w: Column, k: int = WINDOW) -> Column:
+def repeat_words(list_: Column, k: int = WINDOW) -> Column:
     """How many words lie in a k-word window that occurs twice or more in the same list of words."""
+    return let(list_, lambda w: _repeat_words(w, k))
+
+
+def _repeat_words(w: Column, k: int) -> Column:
 
     def counted(win: Column) -> Column:
         def covered(pos: Column) -> Column:
@@ -57,9 +61,14 @@ def repeat_words(w: Column, k: int = WINDOW) -> Column:
             return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
         def marked(s: Column) -> Column:
-            window = lambda x: F.slice(w, x["i"] + 1, k)
             # Windows of equal hash are neighbours in order; their words decide.
-            same = lambda x, i: F.coalesce((F.get(s, i)["h"] == x["h"]) & (window(F.get(s, i)) == window(x)), F.lit(False))
+            def same(x: Column, i: Column) -> Column:
+                y = F.get(s, i)
+                out = y["h"] == x["h"]
+                for j in range(k):
+                    out = out & (F.get(w, x["i"] + j) == F.get(w, y["i"] + j))
+                return F.coalesce(out, F.lit(False))
+
             twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
             return let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered)
 
