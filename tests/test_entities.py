@@ -154,3 +154,30 @@ def test_the_stream_goes_on_and_logs_what_it_rejects(spark):
     assert read() == {1: 10, 2: 21, 3: 22}
     log = sorted((r["event_id"], r["batch"], r["kept_version"]) for r in rejected_of_stream(spark, home).collect())
     assert log == [(11, 0, None), (20, 1, at(5))]
+
+
+def test_learning_restarts_with_a_large_change_of_spend(spark, ads):
+    rows = [(1, date(2024, 1, d), 100 if d < 28 else 130, 4) for d in range(20, 31)] + [(3, date(2024, 1, 29), 10, 60)]
+    d = spark.createDataFrame(rows, "ad_id long, day date, spend long, purchases long").join(ads, "ad_id")
+    got = {(r["entity_type"], r["entity_id"]): r for r in changes.learning(d, F.slice(dims.levels(), 1, 2)).collect()}
+    one, three = got["AD", 1], got["ADSET", 11]
+    assert (one["reset_day"], one["start"], one["cause"], one["conversions"], one["learning"], one["to_exit"]) == (date(2024, 1, 28), date(2024, 1, 28), "budget change", 12, True, 38)
+    assert (three["reset_day"], three["cause"], three["conversions"], three["learning"], three["to_exit"]) == (None, "created", 60, False, 0)
+
+
+def test_demand_needs_two_occurrences_with_enough_days_before(spark):
+    cal = spark.createDataFrame([("a", date(2025, 1, 20), date(2025, 1, 21)), ("a", date(2025, 3, 1), date(2025, 3, 1)), ("b", date(2025, 1, 3), date(2025, 1, 3))], "label string, first date, last date")
+    days = spark.range(90).select(F.date_add(F.lit(date(2025, 1, 1)), F.col("id").cast("int")).alias("day"))
+    season = F.col("day").isin(date(2025, 1, 20), date(2025, 1, 21), date(2025, 3, 1))
+    rev = days.select("day", F.when(season, 30).otherwise(10).alias("revenue"), (F.col("day") != date(2025, 1, 21)).alias("clean"))
+    e = {(r["label"], r["first"]): r for r in seasons.demand(rev, cal).collect()}
+    assert (e["a", date(2025, 1, 20)]["season_days"], e["a", date(2025, 1, 20)]["base_days"], e["a", date(2025, 1, 20)]["ratio"]) == (1, 18, 3.0)
+    assert (e["a", date(2025, 3, 1)]["base_days"], e["b", date(2025, 1, 3)]["base_days"], e["b", date(2025, 1, 3)]["ratio"]) == (30, 2, None)
+    assert {r["label"]: (r["usable"], r["demand"]) for r in seasons.demand_index(seasons.demand(rev, cal)).collect()} == {"a": (2, 3.0), "b": (0, None)}
+
+
+def test_overwrite_replaces_only_the_partitions_it_has(spark):
+    path = folder() + "/t"
+    ledger.overwrite(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "x int, p string"), path, "p")
+    ledger.overwrite(spark.createDataFrame([(9, "a")], "x int, p string"), path, "p")
+    assert sorted((r["x"], r["p"]) for r in spark.read.parquet(path).collect()) == [(3, "b"), (9, "a")]
