@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, debruijn, embeddings, jaccard, mixing, packing, quality, secrets, suffix_dedup, warc
+from tallyforge.llm import chat, debruijn, embeddings, jaccard, mixing, packing, quality, resampling, secrets, spelling, suffix_dedup, token_files, warc
 from tallyforge.runtime import documents
 
 
@@ -64,4 +64,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_jaccard_join, op4_source_mix, op5_embedding_dedup, op6_warc, op7_chat_format, op8_secret_scan, op9_substring_dedup, op10_packing)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_files.write(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_files.read(spark, path, digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_jaccard_join, op4_source_mix, op5_embedding_dedup, op6_warc, op7_chat_format, op8_secret_scan, op9_substring_dedup, op10_packing, op11_spelling_variants, op12_importance_resampling, op13_token_files)}

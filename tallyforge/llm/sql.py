@@ -127,4 +127,48 @@ k AS (SELECT word.doc_id, count(gone.p) AS removed, string_agg(x, ' ' ORDER BY w
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_suffix_dedup": OP1, "op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op8_secret_scan": OP8, "op9_substring_dedup": OP9}
+#: The byte table of CRC-32.
+_CRC = """tab AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of ``text``, from the byte table of ``_CRC``."""
+    return f"""xor(list_reduce(list_transform(range(strlen({text})), lambda j: ('0x' || substr(hex({text}), 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
+def _low(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+OP11 = f"""
+WITH RECURSIVE {_CRC},
+r AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all({_low('text')}, '[A-Za-zÀ-ÿ]+')) AS x FROM documents) WHERE length(x) >= 6 GROUP BY ALL),
+h AS (SELECT x, c, {_crc('s')} AS h FROM (SELECT *, concat(doc_id, ':', x) AS s FROM r), tab),
+t AS (SELECT CASE WHEN h % 199 = 0 THEN substr(x, 1, h % length(x)) || substr(x, h % length(x) + 2) ELSE x END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT a.word AS a, b.word AS b, b.n FROM k a JOIN k b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.s = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.s = w.word),
+m AS (SELECT a AS word, count(*) AS n_near, max(n) AS most, arg_min(b, struct_pack(x := -n, y := b)) AS best FROM e GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 5 * n THEN best END AS form, CASE WHEN most >= 5 * n THEN most END::BIGINT AS form_n FROM w LEFT JOIN m USING (word)),
+z AS (SELECT word, word AS root, form AS nxt FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON z.nxt = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z ON f.word = z.word AND z.nxt IS NULL
+"""
+
+OP12 = f"""
+WITH {_CRC},
+d AS (SELECT doc_id, regexp_extract_all({_low('text')}, '[^\\x00-/:-`{{-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_low('text')}, '[^\\x00-/:-`{{-\\x7F]+') AS w FROM benchmark),
+f AS MATERIALIZED (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM d) GROUP BY ALL),
+g AS (SELECT g, count(*) AS c FROM (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM b) GROUP BY g),
+k AS MATERIALIZED (SELECT g, {_crc('g')} % 10000 AS k FROM (SELECT DISTINCT g FROM (SELECT g FROM f UNION ALL SELECT g FROM g)), tab),
+s AS (SELECT k, sum(c) AS s FROM f JOIN k USING (g) GROUP BY k),
+t AS (SELECT k, sum(c) AS t FROM g JOIN k USING (g) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (k)),
+w AS (SELECT doc_id, sum(c)::BIGINT AS n, sum(c * gain)::BIGINT AS x FROM f JOIN k USING (g) JOIN gain USING (k) GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (x - (x % n + n) % n) // n ELSE 0 END AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM m),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_features >= 39)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM r) THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_suffix_dedup": OP1, "op2_quality_rules": OP2, "op3_jaccard_join": OP3, "op4_source_mix": OP4, "op5_embedding_dedup": OP5, "op6_warc": OP6, "op7_chat_format": OP7, "op8_secret_scan": OP8, "op9_substring_dedup": OP9, "op11_spelling_variants": OP11, "op12_importance_resampling": OP12}
