@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON, Canon
 from tallyforge.functions import exprs as E
+from tallyforge.operators.snapshots import FIELDS, keyed, previous_runs
+from tallyforge.runtime import sized, table
 
 
 def budget_percent(now: tuple[Column, Column], was: tuple[Column, Column]) -> Column:
@@ -16,20 +18,28 @@ def budget_percent(now: tuple[Column, Column], was: tuple[Column, Column]) -> Co
     return E.rounded(F.when(daily, E.percent_change(day, day_before)).when(lifetime, E.percent_change(life, life_before)), 2)
 
 
-def events(snapshots: DataFrame) -> DataFrame:
+def events(snapshots: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """One row a changed field of each entity that the run before also has; a budget of unknown owner on either side is not compared.
 
-    ``snapshots``: entity_id, run (a number, one more than the run before), day, owner, daily, lifetime, status, targeting, bid_strategy, creatives.
-    New and missing entities, and a run compared with itself, give nothing."""
-    fields = ("owner", "daily", "lifetime", "status", "targeting", "bid_strategy", "creatives")
-    was = snapshots.select("entity_id", (F.col("run") + 1).alias("run"), *[F.col(c).alias(f"was_{c}") for c in fields])
-    both = snapshots.join(was, ["entity_id", "run"])
+    ``snapshots``: entity_id, run, day, owner, daily, lifetime, status, targeting, bid_strategy, creatives, and if there are several
+    kinds entity_type; with a snapshot_key, it must name the row's own entity and run. The run before is the latest that
+    finished earlier for the same kind by ``log`` (entity_type, run, status, finished_at); without a log every run that has snapshots counts, in
+    order. New and missing entities, and a run compared with itself, give nothing; a budget that moves to or from another level has no percent."""
+    key = ["entity_type", "entity_id"] if "entity_type" in snapshots.columns else ["entity_id"]
+    rows = keyed(snapshots)
+    rows = rows if len(key) == 2 else rows.withColumn("entity_type", F.lit("ADSET"))
+    if log is None:
+        log = rows.select("entity_type", "run").distinct().select("*", F.lit("SUCCEEDED").alias("status"), F.col("run").alias("finished_at"))
+    runs = table(previous_runs(log).where("previous IS NOT NULL"), "runs")
+    now = rows.join(sized(runs), ["entity_type", "run"])
+    was = rows.select("entity_type", "entity_id", F.col("run").alias("previous"), *[F.col(c).alias(f"was_{c}") for c in FIELDS])
+    both = now.join(was, ["entity_type", "entity_id", "previous"])
     text = lambda p: F.concat_ws(" ", F.concat(F.lit("daily:"), F.col(f"{p}daily")), F.concat(F.lit("lifetime:"), F.col(f"{p}lifetime")))
-    known = (F.col("owner") != "UNKNOWN") & (F.col("was_owner") != "UNKNOWN")
+    known = ~F.col("owner").eqNullSafe("UNKNOWN") & ~F.col("was_owner").eqNullSafe("UNKNOWN")
     percent = budget_percent((F.col("daily"), F.col("lifetime")), (F.col("was_daily"), F.col("was_lifetime")))
     row = lambda name, a, b, p=None, when=None: F.struct(F.lit(name).alias("field"), a.alias("before"), b.alias("after"), (F.lit(None).cast("double") if p is None else p).alias("percent"), (F.lit(True) if when is None else when).alias("_compare"))
     rows = F.array(row("BUDGET", text("was_"), text(""), percent, known), *[row(c.upper() if c != "creatives" else "CREATIVE_ASSIGNMENT", F.col(f"was_{c}"), F.col(c)) for c in ("status", "targeting", "bid_strategy", "creatives")])
-    out = both.select("entity_id", "run", F.col("day").alias("detected_on"), F.inline(rows)).where(F.col("_compare") & ~F.col("before").eqNullSafe(F.col("after"))).drop("_compare")
+    out = both.select(*key, "run", F.col("day").alias("detected_on"), F.inline(rows)).where(F.col("_compare") & ~F.col("before").eqNullSafe(F.col("after"))).drop("_compare")
     return out.withColumn("material", (F.col("field") == "BUDGET") & F.coalesce(F.abs("percent") >= CANON.material_change_percent, F.lit(False)))
 
 

@@ -70,14 +70,14 @@ ev AS (SELECT *, field = 'BUDGET' AND coalesce(abs(percent) >= 20, false) AS mat
 @query(f"WITH {_EVENTS} SELECT * FROM ev")
 def snapshot_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Budget, status, targeting, bid and creative changes from each run to the next."""
-    return changes.events(snapshots(spark, sf))
+    return changes.events(snapshots(spark, sf).drop("entity_type"))
 
 
 @query(f"""WITH {_EVENTS} SELECT entity_id, count(*) AS changes, {', '.join(f"count(*) FILTER (field = '{f}') AS {f.lower()}" for f in ('BUDGET', 'STATUS', 'TARGETING', 'BID_STRATEGY', 'CREATIVE_ASSIGNMENT'))}, max(run) AS last_run, arg_max(detected_on, run) FILTER (material) AS last_material_budget
 FROM ev WHERE entity_id IN (SELECT user_id FROM events) GROUP BY 1""")
 def change_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Changes by entity, for entities with delivery features."""
-    return changes.enriched(changes.events(snapshots(spark, sf)), read(spark, sf, "events").select(F.col("user_id").alias("entity_id")))
+    return changes.enriched(changes.events(snapshots(spark, sf).drop("entity_type")), read(spark, sf, "events").select(F.col("user_id").alias("entity_id")))
 
 
 @query("""SELECT p_partkey AS entity_id, CASE WHEN p_size % 3 = 0 THEN 'COMPOSITE' ELSE 'STANDARD' END AS creative_kind, CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_brand < p_type THEN p_brand || ',' || p_type ELSE p_type || ',' || p_brand END ELSE p_brand END AS members,

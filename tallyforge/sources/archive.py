@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENTITY = """id string, type string, owner string, daily_budget long, lifetime_budget long, status string, targeting map<string, string>, bid_strategy string, creatives array<string>,
+ENTITY = """id string, type string, owner string, daily_budget long, lifetime_budget long, status string, campaign_id string, targeting variant, bid_strategy string, creatives array<string>,
  placements array<string>, creative struct<feed: struct<images: array<struct<hash: string>>, videos: array<struct<hash: string>>, bodies: array<struct<hash: string>>>, hash: string>"""
 _PARTS = ("source", "year", "month", "day", "run")
 
@@ -24,9 +24,15 @@ def read(spark: SparkSession, path: str, source: str, until_day: str | None = No
     return rows if until_day is None else rows.where(F.col("day") <= F.lit(until_day).cast("date"))
 
 
-def canonical(entries: Column) -> Column:
-    """A map as JSON with its keys in order, so that equal maps are equal texts."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+def canonical(value: Column) -> Column:
+    """A VARIANT as JSON with the keys of every object in order, however deep, so that equal values are equal texts. Lists keep their order; null, and JSON's null, are null."""
+    text = F.to_json(value)
+    return F.when(text != "null", text)
+
+
+def canonical_text(text: Column) -> Column:
+    """JSON text with the keys of every object in order; null if it is no JSON, or repeats a key."""
+    return F.to_json(F.try_parse_json(text))
 
 
 def entities(rows: DataFrame) -> DataFrame:
@@ -39,5 +45,5 @@ def entities(rows: DataFrame) -> DataFrame:
         F.col("e.id").try_cast("long").alias("entity_id"), F.col("e.type").alias("entity_type"), "day", "run", F.col("e.owner").alias("owner"), F.col("e.daily_budget").alias("daily"), F.col("e.lifetime_budget").alias("lifetime"),
         F.col("e.status").alias("status"), canonical(F.col("e.targeting")).alias("targeting"), F.col("e.bid_strategy").alias("bid_strategy"), F.array_join(F.array_sort(F.col("e.creatives")), ",").alias("creatives"),
         F.when(feed.isNotNull(), "COMPOSITE").when(F.col("e.creative").isNotNull(), "STANDARD").alias("creative_kind"), F.when(feed.isNotNull(), F.array_join(members, ",")).otherwise(F.col("e.creative.hash")).alias("members"),
-        F.when(texts, F.array_join("e.placements", ",")).alias("placements"),
+        F.when(texts, F.array_join("e.placements", ",")).alias("placements"), F.col("e.campaign_id").try_cast("long").alias("parent"),
     )
