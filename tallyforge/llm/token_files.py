@@ -1,7 +1,7 @@
 """Token ids in files: canonical length-limited Huffman codes of ids from global counts, read back by table look-up.
 
 Texts are cut where a space stands between two characters that are no white space, since a token of the byte-level
-pre-tokenizer begins there; each distinct part of a batch is encoded once. The ids go to a table; their counts
+pre-tokenizer begins there; each distinct part of some megabytes is encoded once. The ids go to a table; their counts
 (at most one row an id of the vocabulary) come to the driver, which makes the code lengths: the code book. Documents
 are then dealt by range of id and sorted, and each task writes segments.
 
@@ -22,7 +22,6 @@ import base64
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +41,8 @@ MAGIC = b"TOKENS1\n"
 SEGMENT_IDS = 1 << 20
 SEGMENTS_PER_FILE = 64
 PARTITION_IDS = 1 << 25
-#: Parts of texts whose ids a worker remembers.
-REMEMBERED = 200_000
-TEXT_BYTES = 1 << 22
+#: Bytes of text whose distinct parts are encoded together.
+TEXT_BYTES = 1 << 23
 
 _HEADER = struct.Struct("<8sIIIIQQI")
 _blank = np.zeros(256, bool)
@@ -55,12 +53,17 @@ _doubtful = _blank.copy()
 _doubtful[[_two, *_three]] = True
 
 
+def _ends_solid(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the character before each place is surely no white space (places are at least 1)."""
+    back = lambda k: data[np.maximum(end - k, 0)]
+    return ~_blank[back(1)] & ~((back(1) >= 0x80) & ((back(2) == _two) | np.isin(back(3), _three)))
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where parts begin: at every text that has bytes, and at spaces between characters that are surely no white space."""
     p = np.flatnonzero(data == 0x20)
     p = p[(p > 0) & (p < len(data) - 1)]
-    back = lambda k: data[np.maximum(p - k, 0)]
-    clear = ~_blank[back(1)] & ~_doubtful[data[p + 1]] & ~((back(1) >= 0x80) & ((back(2) == _two) | np.isin(back(3), _three)))
+    clear = _ends_solid(data, p) & ~_doubtful[data[p + 1]]
     out = np.zeros(len(data) + 1, bool)
     out[p[clear]] = True
     out[np.maximum(offsets[1:] - 1, 0)] = False
@@ -68,48 +71,70 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out[:-1])
 
 
-class Encoder(dict):
-    """Ids of parts of texts (little-endian bytes), remembered."""
+class Encoder:
+    """Ids of texts. Each distinct part of some texts is encoded once; with ``ranks_path`` (the same vocabulary as ranks) parts
+    that no neighbour can change are encoded in one call, and token lengths tell them apart again."""
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.part = lambda s: self.whole.encode(s, add_special_tokens=False).ids
+        self.joined = None
         if ranks_path:
             import public_tokenizers
             import tiktoken
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, part: str) -> bytes:
-        special = any(s in part for s in self.special)
-        ids = array("I", self.whole.encode(part, add_special_tokens=False).ids if special else self.part(part)).tobytes()
-        self[part] = ids
-        return ids
+            self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.size[list(ranks.values())] = list(map(len, ranks))
+            self.joined = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, one part after the other, and how many each has."""
+        data, off = column(parts)
+        alone = np.ones(len(parts), bool)
+        ids, n = np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
+        if self.joined and len(parts):
+            size = np.diff(off)
+            first, second = data[np.minimum(off[:-1], len(data) - 1)], data[np.minimum(off[:-1] + 1, len(data) - 1)]
+            alone = (size < 2) | (first != 0x20) | _doubtful[second] | ~_ends_solid(data, off[1:])
+            if any(s.encode() in data.tobytes() for s in self.special):
+                alone |= np.array([any(s in part for s in self.special) for part in parts.to_pylist()])
+            some = parts.filter(pa.array(~alone))
+            raw, at = column(some)
+            found = self.joined.encode_to_numpy(raw.tobytes().decode(), disallowed_special=()).astype(np.uint32)
+            begin = np.cumsum(self.size[found]) - self.size[found]
+            head = np.searchsorted(begin, at[:-1])
+            if (begin[head] != at[:-1]).any():
+                raise ValueError("a token crosses two parts")
+            ids, n[~alone] = found, np.diff(np.append(head, len(found)))
+        rest = [self.whole.encode(s, add_special_tokens=False).ids for s in parts.filter(pa.array(alone)).to_pylist()]
+        own = np.array([i for r in rest for i in r], np.uint32)
+        n[alone] = np.fromiter(map(len, rest), np.int64, len(rest))
+        # Both kinds in the order of parts.
+        place = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.uint32)
+        for mask, values in ((~alone, ids), (alone, own)):
+            k = n[mask]
+            out[np.arange(int(k.sum())) + np.repeat(place[mask] - (np.cumsum(k) - k), k)] = values
+        return out, n
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id behind, and where each text's ids begin (and the end)."""
         at = cuts(data, offsets)
         bounds = np.append(at, len(data))
-        parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        if len(self) > REMEMBERED:
-            self.clear()
-        coded = [self[s] for s in parts.dictionary.to_pylist()]
-        coded.append(array("I", [end]).tobytes())
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        known = np.frombuffer(b"".join(coded), "<u4")
+        coded = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        known, size = self.parts(coded.dictionary)
+        known, size = np.append(known, np.uint32(end)), np.append(size, 1)
         first = np.cumsum(size) - size
         before = np.searchsorted(at, offsets)
-        which = np.insert(parts.indices.to_numpy(), before[1:], len(coded) - 1)
+        which = np.insert(coded.indices.to_numpy(), before[1:], len(size) - 1)
         n = size[which]
         to = np.cumsum(n)
-        ids = known[np.arange(int(n.sum())) + np.repeat(first[which] - to + n, n)]
+        ids = known[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(first[which] - to + n, n)]
         ends = to[before[1:] + np.arange(len(offsets) - 1)]
         return ids, np.concatenate(([0], ends))
 
