@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,27 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 _written: dict[str, list[str]] = {}
+_named: dict[str, list[str]] = {}
+#: Spark's setting by which a write removes its own shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """A table that is written needs its shuffle files no more: they go at the end of the write, not when the driver collects garbage."""
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
 
 
 def drop_tables(spark: SparkSession) -> int:
     """Delete the tables that operators of this application wrote, once their results have been used; how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
@@ -50,7 +68,8 @@ def table(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     writer = df.write.option("compression", compression) if compression else df.write
-    writer.parquet(path)
+    with _tidy(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +78,9 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     aggregations by ``key`` then read it in place."""
     spark, name = df.sparkSession, f"tf_{label}_{uuid.uuid4().hex[:12]}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, label)).saveAsTable(name)
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+    with _tidy(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, label)).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 

@@ -1,37 +1,104 @@
-"""A stream of versioned rows kept as a table of latest rows, exactly once in effect.
+"""A stream of versioned rows, judged against keyed state: the highest version of every key that has come so far.
 
-Each batch drops repeated ids and goes through the version guard against the table the batch before it left; the new table and
-the rejected rows are written under the batch's number, so a batch that runs again overwrites its own. Rows that come
-late, however late, are judged and logged, never dropped. With the same folder a later call goes on where the last one ended.
+State holds one version and one arrival a key, so it grows with keys, not with rows or batches. Each batch's
+accepted and rejected rows are appended under the batch's number, so a batch that runs again overwrites its own; nothing that was
+written before is read or written again. Rows that come late, however late, are judged and logged, never dropped. With the same
+folder a later call goes on where the last one ended.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructType
 
-from tallyforge.operators.upsert import version_guard
 from tallyforge.runtime import new_path
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Guard(StatefulProcessor):
+    """Marks each row of a key as accepted or not. Of a batch's rows the one of highest version (then last arrival) is held against
+    the version kept so far; a version at least as high is accepted. ``immutable``: the first row of a key stays, all others are rejected."""
+
+    def __init__(self, version: str, arrival: str, schema: StructType, immutable: bool = False):
+        self.version, self.arrival, self.schema, self.immutable = version, arrival, schema, immutable
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", StructType([self.schema[self.version]]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        best = None
+
+        def told(part: pd.DataFrame, accepted: bool) -> pd.DataFrame:
+            out = part[self.schema.names].copy()
+            out["accepted"] = accepted
+            out["kept_version"] = pd.Series([kept] * len(out), index=out.index, dtype=part[self.version].dtype if kept is not None else object)
+            return out
 
-def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None) -> DataFrame:
-    """The latest row of each key after all files of ``source`` that are there now; null keys are left out."""
+        # Groups may come in parts: losers leave at once, so one row is held.
+        for part in rows:
+            part = part if best is None else pd.concat([best, part], ignore_index=True)
+            order = part.sort_values([self.version, self.arrival], ascending=self.immutable, na_position="last" if self.immutable else "first", kind="stable")
+            pick = order.index[0] if self.immutable else (order.index[-1] if order[self.version].isna().all() else order[order[self.version].notna()].index[0])
+            best = part.loc[[pick]]
+            rest = part.drop(index=pick)
+            if len(rest):
+                yield told(rest, False)
+        if best is None:
+            return
+        now = best[self.version].iloc[0]
+        now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
+        fine = kept is None or (not self.immutable and not pd.isna(now) and now >= kept)
+        yield told(best, fine)
+        if fine:
+            self.kept.update((None if pd.isna(now) else now,))
+
+    def close(self) -> None:
+        pass
+
+
+def guarded(rows: DataFrame, key: str, version: str, arrival: str, immutable: bool = False) -> DataFrame:
+    """A stream of ``rows`` with ``accepted`` and ``kept_version`` (the version kept before the batch)."""
+    out = StructType(list(rows.schema.fields)).add("accepted", BooleanType()).add("kept_version", rows.schema[version].dataType)
+    return rows.groupBy(key).transformWithStateInPandas(Guard(version, arrival, rows.schema, immutable), outputStructType=out, outputMode="Append", timeMode="None")
+
+
+def run(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False) -> str:
+    """Judge all files of ``source`` that are there now; null keys are left out. The folder with ``accepted`` and ``rejected``."""
     folder = folder or new_path(spark, "stream")
     rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).where(F.col(key).isNotNull())
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates([event_id])
-        current = spark.read.schema(batch.schema).parquet(f"{folder}/latest/batch={number - 1}") if number else batch.limit(0)
-        merged, rejected = version_guard(current, batch, key, ts, event_id)
-        rejected.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
-        merged.write.mode("overwrite").parquet(f"{folder}/latest/batch={number}")
+        # A row that a batch holds twice counts once.
+        once = W.partitionBy(event_id).orderBy(F.desc("accepted"))
+        rows = batch.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+        rows.write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/judged/batch={number}")
+
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:
+        query = guarded(rows, key, ts, event_id, immutable).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held) if held else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return folder
+
 
-    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = spark.read.parquet(f"{folder}/latest")
-    return found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
+def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False) -> DataFrame:
+    """The latest row of each key after all files of ``source`` that are there now: the last one accepted."""
+    folder = run(spark, source, key, event_id, ts, folder, immutable)
+    found = spark.read.parquet(f"{folder}/judged").where("CAST(accepted AS boolean)")
+    last = W.partitionBy(key).orderBy(F.desc("batch"))
+    return found.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "batch", "accepted", "kept_version")
 
 
 def rejected_of_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The log: rejected rows with the version that was kept then (null if a row of the same batch was newer) and their batch."""
-    return spark.read.parquet(f"{folder}/rejected").withColumnRenamed("_current", "kept_version")
+    """The log: rejected rows with the version that was kept before their batch (null if there was none) and the batch."""
+    return spark.read.parquet(f"{folder}/judged").where("NOT CAST(accepted AS boolean)").drop("accepted")

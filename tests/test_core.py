@@ -118,3 +118,14 @@ def test_written_tables_can_be_dropped(spark):
     assert kept.count() == 3 and runtime.drop_tables(spark) == 1 and runtime.drop_tables(spark) == 0
     many = runtime.bucketed(spark.range(50).withColumnRenamed("id", "d"), "d", "some")
     assert many.count() == 50 and "Exchange" not in many.groupBy("d").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_written_on_the_way_can_be_dropped(spark):
+    from tallyforge import runtime
+
+    held = runtime.table(spark.range(5).repartition(2), "probe")
+    dealt = runtime.bucketed(spark.range(7), "id", "probe")
+    assert held.count() == 5 and dealt.count() == 7
+    names = {t.name for t in spark.catalog.listTables() if t.name.startswith("tf_probe")}
+    assert len(names) == 1 and runtime.drop_tables(spark) >= 2
+    assert not names & {t.name for t in spark.catalog.listTables()} and runtime.drop_tables(spark) == 0
