@@ -14,6 +14,7 @@ words than the window lose nothing. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -87,22 +88,27 @@ def compacted(edges: DataFrame) -> DataFrame:
     """(e1, e2, path, place) of distinct edges (e1, e2, u, v): the nonbranching path of an edge, and its place on it.
 
     A node with one edge in and one out joins them. Every edge then knows the one before it; pointer jumping
-    doubles the distance until the first edge of the path is reached. The edges of a ring have no first one
+    doubles the distance until the first edge of the path is reached, and edges that have reached it leave the rounds. The edges of a ring have no first one
     and stay paths of their own."""
     numbered = table(edges.select(F.monotonically_increasing_id().alias("e"), *EDGE, "u", "v"), "graph-edges")
     into = numbered.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("e").alias("before"))
     out = numbered.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("e").alias("e"))
     joints = into.join(out, "node").where("n_in = 1 AND n_out = 1 AND e <> before")
-    at = table(joints.select("e", F.col("before").alias("up"), F.lit(1).cast("long").alias("hops"), F.lit(True).alias("going")), "graph-joints")
-    reach, count = 1, at.count()
+    going = table(joints.select("e", F.col("before").alias("up"), F.lit(1).cast("long").alias("hops")), "graph-joints")
+    # Settled edges point at the first one of their path.
+    settled: list[DataFrame] = []
+    reach, count = 1, going.count()
     while reach <= 2 * count:
-        far = at.select(F.col("e").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"))
-        at = at.join(far, "up", "left")
-        at = table(at.select("e", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.col("_up").isNotNull().alias("going")), "graph-jumps")
+        held = functools.reduce(DataFrame.unionByName, settled, going.withColumn("_done", F.lit(False)))
+        far = held.select(F.col("e").alias("up"), F.col("up").alias("_up"), F.col("hops").alias("_hops"), "_done")
+        met = going.join(far, "up", "left")
+        step = table(met.select("e", F.coalesce("_up", "up").alias("up"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("_done", F.lit(True)).alias("_done")), "graph-jumps")
+        settled.append(step.where("_done"))
+        going = step.where("NOT _done").drop("_done")
         reach *= 2
-        if at.where("going").isEmpty():
+        if going.isEmpty():
             break
-    done = at.where("NOT going").select("e", "up", "hops")
+    done = functools.reduce(DataFrame.unionByName, settled).select("e", "up", "hops") if settled else going
     return numbered.join(done, "e", "left").select(*EDGE, F.coalesce("up", "e").alias("path"), F.coalesce("hops", F.lit(0)).alias("place"))
 
 
