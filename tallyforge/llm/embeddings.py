@@ -40,8 +40,9 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7)
     """Unit centres by spherical k-means."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    step = max(1, SCORES // len(centres))
     for _ in range(rounds):
-        own = (sample @ centres.T).argmax(1)
+        own = np.concatenate([(sample[i : i + step] @ centres.T).argmax(1) for i in range(0, len(sample), step)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -51,7 +52,13 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = 12, seed: int = 7)
 
 def _unit(lists: pa.Array) -> np.ndarray:
     n = len(lists)
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return unit_rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is scaled by a power of two near its largest number first, which is exact, so that no square over- or underflows."""
+    _, power = np.frexp(np.abs(x).max(1, initial=0, keepdims=True))
+    x = np.ldexp(x, -power)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -138,8 +145,7 @@ def near_dedup(rows: DataFrame, limit: float = LIMIT, key: str = "vec_id", vecto
         some = unique.where(F.size("v") == dim)
         some = some.orderBy(F.xxhash64("u", "label")).limit(cells * PER_CELL) if n > cells * PER_CELL else some
         x = np.stack([np.asarray(a, dtype=float) for a in some.select("v").toPandas()["v"]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        centres[dim] = fit_centres(x, cells)
+        centres[dim] = fit_centres(unit_rows(x), cells)
     visits = unique.mapInArrow(_visits(centres, limit), "u long, label string, dim int, cell int, member boolean, m long, v array<double>")
     at = ["label", "dim", "cell"]
     visits = table(visits, "cells")

@@ -477,3 +477,9 @@ def test_long_lists_are_dealt_out(spark, monkeypatch):
 def test_join_keeps_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y"), (None, "z " * 9, 7, "z"), (None, "y " * 9, 8, "w")], "doc_id long, text string, _keep long, hash string")
     assert sorted(r["_keep"] for r in jaccard.keep_one(df).collect()) == [5, 7, 8]
+
+
+def test_very_small_and_very_large_numbers_keep_their_cosine(spark):
+    rows = [(1, "a", [1e-200, 1e-201]), (2, "a", [0.1, 1.0]), (3, "a", [1e200, 1e199]), (4, "a", [1e200, 1.01e199]), (5, "a", [5e-324, 0.0]), (6, "a", [1e308, 1e300]), (7, "a", [1.7e308, 1.7e308]), (8, "a", [3e-310, 3e-310])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got == {1: (4, 1), 2: (0, 2), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (1, 7), 8: (1, 7)}
