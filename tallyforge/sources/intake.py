@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
+from tallyforge.sources import csvsplit
 
 CSV_COLUMNS = "`Row` long, `ID` string, `Name` string, `Created At` string, `Customer: ID` string, `Line: Type` string, `Line: Product ID` string, `Line: Quantity` string, `Line: Total` string, `Refund: ID` string"
 
@@ -23,7 +24,7 @@ def cents(text: Column) -> Column:
 
 def order_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, junk) of an export with a header; rows with a blank id or the ``######`` trailer are junk."""
-    rows = spark.read.schema(CSV_COLUMNS).option("header", True).option("multiLine", True).option("escape", '"').csv(path)  # a quoted name may hold line breaks
+    rows = csvsplit.rows(spark, path, CSV_COLUMNS)
     junk = F.coalesce(F.trim("ID"), F.lit("")).rlike("^(#+.*)?$")
     return rows.where(~junk), rows.where(junk)
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
+from tallyforge.sources import csvsplit
 from tallyforge.sources.intake import action, gid_tail, leading_integer, total
 
-# The export's column names.
+# The export's column names, and the fields of store and report documents.
 EXPORT = (
     "ID", "Name", "Created At", "Updated At", "Currency", "Price: Total", "Price: Subtotal", "Price: Total Discount", "Price: Total Shipping", "Payment: Status",
     "Shipping: Country Code", "Billing: Country Code", "Customer: ID", "Line: Type", "Line: Product ID", "Line: Quantity", "Line: Total", "Refund: ID",
@@ -21,9 +22,9 @@ REPORT = """ad_id string, adset_id string, campaign_id string, date_start string
 
 
 def export(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of an export; ``Row`` is their order. A quoted value may hold line breaks, so a file is read by one task."""
+    """Rows of an export; ``Row`` is their order. A quoted value may hold line breaks; a file is still read by many tasks."""
     columns = ", ".join(f"`{c}` string" for c in EXPORT)
-    return spark.read.schema(f"`Row` long, {columns}").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return csvsplit.rows(spark, path, f"`Row` long, {columns}")
 
 
 def export_orders(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -162,3 +162,33 @@ def test_windows_at_many_days_equal_sums_day_by_day(spark):
                 own = [r for r in rows if r[:2] == (t, i) and d - timedelta(n) < r[2] <= d]
                 want[t, i, d, n] = (sum(r[3] for r in own), sum(r[4] or 0 for r in own))
     assert {tuple(r)[:4]: tuple(r)[4:] for r in got.collect()} == want
+
+
+def test_one_file_is_read_by_many_tasks_whatever_its_line_breaks(spark):
+    import tempfile
+
+    from tallyforge.sources import csvsplit
+
+    rng = random.Random(3)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    word = lambda: "".join(rng.choice('ab",\n\r é') for _ in range(rng.randrange(30)))
+    want = []
+    for n in range(3):
+        with open(f"{path}/{n}.csv", "w", encoding="utf-8", newline="") as f:
+            f.write('id,"na\nme",end\n' if n == 1 else "id,name,end\r\n")
+            for k in range(400):
+                text, end = word(), "\r\n" if n == 0 else "\n"
+                text = text.replace("\r", "")
+                want.append((n * 1000 + k, text, "z"))
+                f.write(f'{n * 1000 + k},"{text.replace(chr(34), chr(34) * 2)}",z{end}')
+            f.write("\n" if n == 2 else "")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = csvsplit.rows(spark, path, "id long, name string, end string")
+        tasks = spark.read.text(path).rdd.getNumPartitions()
+        got = sorted((r["id"], r["name"] or "", r["end"]) for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 20 and got == sorted(want)
