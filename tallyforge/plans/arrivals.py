@@ -12,6 +12,7 @@ from tallyforge.functions import exprs as E
 from tallyforge.operators import spine
 from tallyforge.plans import entities
 from tallyforge.plans.entities import ADS, DELIVERY, STORE, TOTALS
+from tallyforge.plans.requests import answered
 from tallyforge.plans.sql import DAILY, MINOR, R6
 from tallyforge.runtime import documents as read
 from tallyforge.runtime import new_path
@@ -147,13 +148,14 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def performance(spark: SparkSession, sf: str, entity_type: str, entity_id: int, days: int) -> DataFrame:
-    """The metric set of one entity and window."""
-    return entities.feature_windows(spark, sf).where((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id) & (F.col("days") == days))
+    """Delivery and store numbers of one entity and window: a table of one request."""
+    asked = spark.createDataFrame([(0, entity_type, entity_id, days)], "request_id long, entity_type string, entity_id long, days int")
+    return answered(spark, sf, asked)
 
 
-def delivery_state(spark: SparkSession, sf: str, entity_type: str, entity_id: int) -> DataFrame:
-    """Last day and whether it delivers."""
-    return evidence(spark, sf).where((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)).select("entity_type", "entity_id", "state", "last_day", "active_days")
+def delivery_state(spark: SparkSession, sf: str, entity_type: str, entity_id: int, days: int = 28) -> DataFrame:
+    """Whether one entity delivers in a window."""
+    return performance(spark, sf, entity_type, entity_id, days).select("entity_type", "entity_id", "days", "delivering", "spend", "impressions", "reach", "frequency")
 
 
 def creative_details(spark: SparkSession, sf: str, family_id: int) -> DataFrame:
@@ -170,7 +172,7 @@ def lookup_creative(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TOTALS} SELECT entity_type, entity_id, days::INT AS days, spend, purchases, orders AS store_orders, gross AS store_gross FROM tot WHERE entity_type = 'CAMPAIGN' AND entity_id = 2 AND days = 28")
 def lookup_performance(spark: SparkSession, sf: str) -> DataFrame:
-    return performance(spark, sf, "CAMPAIGN", 2, 28).select("entity_type", "entity_id", "days", "spend", "purchases", "store_orders", "store_gross")
+    return performance(spark, sf, "CAMPAIGN", 2, 28).select("entity_type", "entity_id", "days", "spend", "purchases", F.col("orders").alias("store_orders"), F.col("gross").alias("store_gross"))
 
 
 @query(f"WITH {ADS}, {DELIVERY} SELECT 'ADSET' AS entity_type, adset_id AS entity_id, day, sum(purchases)::BIGINT AS purchases FROM del JOIN ads USING (ad_id) GROUP BY 2, 3 UNION ALL SELECT 'AD', ad_id, day, sum(purchases)::BIGINT FROM del JOIN ads USING (ad_id) GROUP BY 2, 3")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
 from tallyforge.runtime import documents as read
+from tallyforge.runtime import sized
 
 FIRST_DAY = "2023-12-05"
 DAYS = 57
@@ -40,13 +41,15 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ads(spark, sf_dir).select(F.inline(levels())).distinct()
 
 
-def delivery(spark: SparkSession, sf_dir: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
-    """A row an ad and day with all measures; ``since`` and ``until`` reach the scan. Reach is null without views."""
+def delivery(spark: SparkSession, sf_dir: str, since: Column | None = None, until: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """A row an ad and day with all measures; ``since`` and ``until`` reach the scan, ``only`` (ad_id) the rows before they are summed. Reach is null without views."""
     e = read(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
     if since is not None:
         e = e.where(F.col("ts") >= since.cast("timestamp_ntz"))
     if until is not None:
         e = e.where(F.col("ts") < F.date_add(until, 1).cast("timestamp_ntz"))
+    if only is not None:
+        e = e.join(sized(only.select(F.col("ad_id").alias("user_id")).distinct()), "user_id", "left_semi")
     kind, v = F.col("event_type"), F.col("value")
     money = lambda *k: F.coalesce(F.sum(F.when(kind.isin(*k), E.minor(v))), F.lit(0)).cast("long")
     views = F.count_if(kind == "view")
