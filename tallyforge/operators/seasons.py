@@ -83,3 +83,13 @@ def demand_index(occurrences: DataFrame, needed: int = 2) -> DataFrame:
     """(label, usable, demand): the mean ratio of a label with at least ``needed`` usable occurrences."""
     by = occurrences.groupBy("label").agg(F.count("ratio").alias("usable"), F.avg("ratio").alias("_mean"))
     return by.select("label", "usable", F.when(F.col("usable") >= needed, F.col("_mean")).alias("demand"))
+
+
+def demand_of(windows: DataFrame, occurrences: DataFrame, labels: str = "labels", needed: int = 2) -> DataFrame:
+    """``windows`` (start, labels, ...) with demand and usable: the mean ratio of all usable occurrences of the window's labels if there are
+    at least ``needed``, and how many there are. A window without labels has the demand 1 and none."""
+    usable = occurrences.where("ratio IS NOT NULL").groupBy("label").agg(F.count("*").alias("_n"), F.sum("ratio").alias("_sum"))
+    per = windows.select("start", F.explode(labels).alias("label")).join(usable, "label").groupBy("start").agg(F.sum("_n").alias("usable"), F.sum("_sum").alias("_sum"))
+    off, n = F.size(labels) == 0, F.coalesce("usable", F.lit(0))
+    rows = windows.join(per, "start", "left")
+    return rows.withColumn("demand", F.when(off, F.lit(1.0)).when(n >= needed, F.col("_sum") / n)).withColumn("usable", n).drop("_sum")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import bitemporal, changes, cumulative, snapshots
+from tallyforge.operators import bitemporal, changes, cumulative, seasons, snapshots
 from tallyforge.plans.sql import DAILY, MINOR, R6
 from tallyforge.runtime import documents as read
 from tallyforge.runtime import new_path
@@ -160,3 +160,27 @@ def archive_backtest(spark: SparkSession, sf: str) -> DataFrame:
     store = o.select(day.alias("day"), E.minor(F.col("o_totalprice")).alias("net"), F.date_add(day, (F.col("o_custkey") % 4).cast("int")).cast("timestamp").alias("known_from"), D(None).cast("timestamp").alias("known_to"))
     gaps = spark.createDataFrame([(date(2024, 1, 3), date(2024, 1, 5))], "start date, end date")
     return bitemporal.backtest(known, store, gaps, _BACK, primary=14, recent=7, horizon=14, floor=20, canon=_LIMITS)
+
+
+_CAL = [(n, date(y, *a), date(y, *b)) for y in range(1992, 1999) for n, a, b in (("harvest", (11, 1), (11, 7)), ("spring", (3, 10), (3, 12)), ("fair", (11, 5), (11, 9)))] + [("jubilee", date(1995, 6, 1), date(1995, 6, 3))]
+_CALS = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in _CAL)
+_TOUCHED = lambda a, b: f"coalesce((SELECT list_sort(list(DISTINCT label)) FROM c WHERE first <= {b} AND last >= {a}), [])"
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_CALS}) t(label, first, last)), o AS (SELECT o_orderdate::DATE AS day, sum({MINOR('o_totalprice')})::BIGINT AS revenue FROM orders GROUP BY 1), b AS (SELECT min(day) AS a, max(day) AS z FROM o),
+v AS (SELECT day, coalesce(revenue, 0) AS revenue FROM (SELECT (a + i::INT)::DATE AS day FROM b, range(0, 20000) r(i) WHERE a + i::INT <= z) LEFT JOIN o USING (day)),
+x AS (SELECT label, first, count(v.day) AS season_days, avg(revenue) AS sm FROM c LEFT JOIN v ON day BETWEEN first AND last GROUP BY 1, 2),
+k AS (SELECT label, first, revenue, row_number() OVER (PARTITION BY label, first ORDER BY day DESC) AS r FROM c JOIN v ON day BETWEEN first - 90 AND first - 1 WHERE NOT EXISTS (SELECT 1 FROM c q WHERE v.day BETWEEN q.first AND q.last)),
+m AS (SELECT label, first, count(*) AS base_days, avg(revenue) AS bm FROM k WHERE r <= 30 GROUP BY 1, 2), e AS (SELECT label, first, sm / bm AS ratio FROM x JOIN m USING (label, first) WHERE season_days >= 1 AND base_days >= 7 AND bm <> 0),
+w AS (SELECT DISTINCT date_trunc('month', day)::DATE AS start FROM o), l AS (SELECT start, last_day(start) AS fin, {_TOUCHED('start', 'last_day(start)')} AS labels, {_TOUCHED('(start - 28)', '(start - 1)')} AS base FROM w),
+d AS (SELECT start, count(*) AS usable, sum(ratio) AS s FROM (SELECT start, unnest(labels) AS label FROM l) JOIN e USING (label) GROUP BY 1), r AS (SELECT date_trunc('month', day)::DATE AS start, sum(revenue)::BIGINT AS revenue FROM o GROUP BY 1)
+SELECT start, array_to_string(labels, ',') AS labels, array_to_string(base, ',') AS base_labels, labels <> base AS spans_boundary, revenue, coalesce(usable, 0)::BIGINT AS usable, {R6('CASE WHEN len(labels) = 0 THEN 1.0::DOUBLE WHEN usable >= 2 THEN s / usable END')} AS demand FROM l LEFT JOIN d USING (start) JOIN r USING (start)""")
+def order_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Every month that has orders: its labels and those of the four weeks before, whether they are of different regimes, and the demand that its labels brought before."""
+    o = facts.orders(spark, sf).groupBy("day").agg(F.sum("gross").alias("revenue"))
+    days = o.agg(F.explode(F.sequence(F.min("day"), F.max("day"), F.expr("interval 1 day"))).alias("day"))
+    cal = spark.createDataFrame(_CAL, "label string, first date, last date")
+    found = seasons.demand(days.join(o, "day", "left").select("day", F.coalesce("revenue", D(0)).alias("revenue"), D(True).alias("clean")), cal)
+    months = o.groupBy(F.trunc("day", "month").alias("start")).agg(F.sum("revenue").alias("revenue")).select("*", F.last_day("start").alias("end"), F.date_sub("start", 28).alias("base_start"), F.date_sub("start", 1).alias("base_end"))
+    w = seasons.demand_of(seasons.context(months, cal), found)
+    return w.select("start", F.array_join("labels", ",").alias("labels"), F.array_join("base_labels", ",").alias("base_labels"), "spans_boundary", "revenue", "usable", E.rounded(F.col("demand"), 6).alias("demand"))
