@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON, Canon
 from tallyforge.functions import exprs as E
-from tallyforge.sources.dims import levels
+from tallyforge.sources.dims import LEVELS, levels
 
 COUNTS = ("impressions", "clicks", "landings", "carts", "checkouts", "purchases", "spend", "purchase_value")
 STORE = ("orders", "new_orders", "gross", "refunds")
@@ -19,11 +19,11 @@ def windows_of(day: str, canon: Canon = CANON) -> Column:
     return F.filter(F.array(*map(F.lit, canon.windows)), lambda n: (age >= 0) & (age < n))
 
 
-def delivery_totals(daily: DataFrame, ads: DataFrame) -> DataFrame:
+def delivery_totals(daily: DataFrame, ads: DataFrame, canon: Canon = CANON, kinds: tuple[str, ...] = LEVELS) -> DataFrame:
     """(entity_type, entity_id, days, measures, attribution): null reach counts as zero; attribution is null where rows disagree."""
     # Summed by ad and window first: the explosion to levels works on ads, not on days.
-    by_ad = daily.withColumn("days", F.explode(windows_of("day"))).groupBy("ad_id", "days").agg(*[F.sum(c).alias(c) for c in COUNTS], F.coalesce(F.sum("reach"), F.lit(0)).alias("reach"), F.min("attribution").alias("_lo"), F.max("attribution").alias("_hi"))
-    spread = by_ad.join(ads, "ad_id").select("*", F.inline(levels()))
+    by_ad = daily.withColumn("days", F.explode(windows_of("day", canon))).groupBy("ad_id", "days").agg(*[F.sum(c).alias(c) for c in COUNTS], F.coalesce(F.sum("reach"), F.lit(0)).alias("reach"), F.min("attribution").alias("_lo"), F.max("attribution").alias("_hi"))
+    spread = by_ad.join(ads, "ad_id").select("*", F.inline(levels(kinds)))
     same = F.when(F.min("_lo") == F.max("_hi"), F.min("_lo")).alias("attribution")
     return spread.groupBy("entity_type", "entity_id", "days").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "reach")], same)
 
@@ -41,18 +41,18 @@ def resolved(orders: DataFrame, ads: DataFrame, campaigns: DataFrame) -> DataFra
     return by_id.unionByName(by_name)
 
 
-def matches(found: DataFrame, ads: DataFrame) -> DataFrame:
+def matches(found: DataFrame, ads: DataFrame, kinds: tuple[str, ...] = LEVELS) -> DataFrame:
     """(entity_type, entity_id, order_id): an order once at each entity it counts for; one found by name only at its campaign and the account."""
-    by_id = found.where("resolution = 'AD_ID'").select("order_id", "ad_id").join(ads, "ad_id").select("order_id", F.inline(levels()))
-    up = F.array(*[F.struct(F.lit(k).alias("entity_type"), v.cast("long").alias("entity_id")) for k, v in (("CAMPAIGN", F.col("campaign_id")), ("ACCOUNT", F.lit(0)))])
-    return by_id.unionByName(found.where("resolution = 'NAME_MATCH'").select("order_id", F.inline(up)))
+    by_id = found.where("resolution = 'AD_ID'").select("order_id", "ad_id").join(ads, "ad_id").select("order_id", F.inline(levels(kinds)))
+    up = F.array(*[F.struct(F.lit(k).alias("entity_type"), v.cast("long").alias("entity_id")) for k, v in (("CAMPAIGN", F.col("campaign_id")), ("ACCOUNT", F.lit(0))) if k in kinds])
+    return by_id.unionByName(found.where("resolution = 'NAME_MATCH'").select("order_id", F.inline(up))) if {"CAMPAIGN", "ACCOUNT"} & set(kinds) else by_id
 
 
-def store_totals(orders: DataFrame, refunds: DataFrame, matched: DataFrame) -> DataFrame:
+def store_totals(orders: DataFrame, refunds: DataFrame, matched: DataFrame, canon: Canon = CANON) -> DataFrame:
     """(entity_type, entity_id, days, orders, new_orders, gross, refunds): refunds by their own day, at the entities of
     their order, whose day may lie outside the window; refunds of orders that are not there are left out."""
-    sold = orders.select("order_id", "gross", F.coalesce("new_customer", F.lit(False)).alias("new"), F.explode(windows_of("day")).alias("days"))
-    back = refunds.join(orders.select("order_id"), "order_id", "left_semi").select("order_id", "refund", F.explode(windows_of("day")).alias("days"))
+    sold = orders.select("order_id", "gross", F.coalesce("new_customer", F.lit(False)).alias("new"), F.explode(windows_of("day", canon)).alias("days"))
+    back = refunds.join(orders.select("order_id"), "order_id", "left_semi").select("order_id", "refund", F.explode(windows_of("day", canon)).alias("days"))
     key = ["entity_type", "entity_id", "days"]
     a = sold.join(matched, "order_id").groupBy(*key).agg(F.count("*").alias("orders"), F.count_if("new").alias("new_orders"), F.sum("gross").alias("gross"))
     b = back.groupBy("order_id", "days").agg(F.sum("refund").alias("refund")).join(matched, "order_id").groupBy(*key).agg(F.sum("refund").alias("refunds"))

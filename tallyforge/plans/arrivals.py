@@ -134,7 +134,7 @@ SELECT p.entity_type, p.entity_id, CASE WHEN p.spend <= 0 AND p.impressions <= 0
  'spend ' || p.spend || ', purchases ' || p.purchases || CASE WHEN p.purchases < 30 THEN ' (below the floor of 30)' ELSE '' END AS told FROM p JOIN q USING (entity_type, entity_id) LEFT JOIN l USING (entity_type, entity_id)""")
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """What is known of every ad set and campaign before a decision: both windows, funnel, learning, fatigue, last activity and a line of text."""
-    t, key = entities.totals(spark, sf).where("entity_type IN ('ADSET', 'CAMPAIGN')"), ["entity_type", "entity_id"]
+    t, key = entities.totals(spark, sf, ("ADSET", "CAMPAIGN"), (7, 28)), ["entity_type", "entity_id"]
     p, q = t.where("days = 28"), t.where("days = 7").select(*key, F.col("spend").alias("spend_7d"), F.col("purchase_value").alias("_value"))
     act = dims.delivery(spark, sf).select("ad_id", "day").join(dims.ads(spark, sf), "ad_id").select("day", F.inline(dims.levels())).groupBy(*key).agg(F.max("day").alias("last_day"), F.count_distinct("day").alias("active_days"))
     r = lambda a, b: E.rounded(E.ratio(F.col(a), F.col(b)), 6)

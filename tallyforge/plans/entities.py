@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +53,14 @@ _Q = lambda a, b, k="1.0": R6(f"{a} * {k}::DOUBLE / nullif({b}, 0)")  # noqa: E7
 _S = lambda x, name: f"CASE WHEN NOT blind THEN {x} END AS {name}"
 
 
-def totals(spark: SparkSession, sf: str) -> DataFrame:
-    ads, since = dims.ads(spark, sf), F.date_sub(D(CANON.as_of), max(CANON.windows) - 1)
+def totals(spark: SparkSession, sf: str, kinds: tuple[str, ...] = dims.LEVELS, windows: tuple[int, ...] = CANON.windows) -> DataFrame:
+    """Delivery and store totals of the entities of ``kinds`` and of ``windows``; nothing else is read or summed."""
+    canon = replace(CANON, windows=windows)
+    ads, since = dims.ads(spark, sf), F.date_sub(D(CANON.as_of), max(windows) - 1)
     orders = dims.store_orders(spark, sf)
-    matched = spine.matches(spine.resolved(orders, ads, dims.campaigns(spark, sf)), ads)
-    store = spine.store_totals(orders, dims.store_refunds(spark, sf), matched)
-    return spine.totals_on_spine(dims.entities(spark, sf), spine.delivery_totals(dims.delivery(spark, sf, since, D(CANON.as_of)), ads), store)
+    matched = spine.matches(spine.resolved(orders, ads, dims.campaigns(spark, sf)), ads, kinds)
+    store = spine.store_totals(orders, dims.store_refunds(spark, sf), matched, canon)
+    return spine.totals_on_spine(dims.entities(spark, sf, kinds), spine.delivery_totals(dims.delivery(spark, sf, since, D(CANON.as_of)), ads, canon, kinds), store, canon)
 
 
 @query(f"""WITH {TOTALS}, m AS (SELECT tot.*, gross - refunds AS net, entity_type = 'AD' AND (url IS NULL OR trim(url) = '' OR NOT (regexp_matches(url, '[?&]ref=') OR regexp_matches(url, '\\{{\\{{(ad|campaign)\\.(id|name)\\}}\\}}'))) AS blind FROM tot LEFT JOIN pages ON entity_type = 'AD' AND page_id = entity_id)
@@ -114,7 +118,7 @@ def statistics_patch(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of metrics that rise and that fall with the count, sample sizes, and a second pass that needs the account's
     row first and writes only documents of the account's version."""
     version = F.when((F.col("entity_type") != "ACCOUNT") & (F.col("entity_id") % 5 == 4), 1).otherwise(2)
-    docs = totals(spark, sf).where("days = 28").withColumn("version", version)
+    docs = totals(spark, sf, windows=(28,)).withColumn("version", version)
     roas, cpa = E.ratio(F.col("purchase_value"), F.col("spend")), E.ratio(F.col("spend"), F.col("purchases"))
     account = docs.where("entity_type = 'ACCOUNT'").select(roas.alias("mean"), F.col("version").alias("target"))
     rows = docs.join(F.broadcast(account))  # one row

@@ -128,7 +128,7 @@ SELECT entity_type || '_' || entity_id AS packet_key, CASE WHEN idle THEN 'NOT_D
  'Unit ' || entity_type || ' ' || entity_id || chr(10) || chr(10) || CASE WHEN idle THEN 'It delivers nothing.' ELSE 'Spend: ' || spend || chr(10) || 'Purchases: ' || purchases || chr(10) || chr(10) || 'Funnel: ' || landings || ' landings, ' || carts || ' carts' END AS text FROM p""")
 def packet_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence packets: a key, a JSON body and a text whose sections a blank line parts; idle units get a short one."""
-    p = totals(spark, sf).where("days = 28 AND entity_type IN ('ADSET', 'CAMPAIGN')")
+    p = totals(spark, sf, ("ADSET", "CAMPAIGN"), (28,))
     idle = (F.col("spend") <= 0) & (F.col("impressions") <= 0)
     head = F.concat(D("Unit "), "entity_type", D(" "), "entity_id")
     numbers = F.concat(D("Spend: "), "spend", D("\nPurchases: "), "purchases")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import changes, lookups, spine
+from tallyforge.operators import changes, evidence, lookups, seasons, spine
 from tallyforge.plans import timeline
-from tallyforge.plans.entities import ADS, STORE, TOTALS
+from tallyforge.plans.entities import ADS, STORE, TOTALS, totals
 from tallyforge.plans.sql import MINOR, R6
 from tallyforge.runtime import documents as read
 from tallyforge.runtime import table
@@ -102,3 +102,71 @@ def request_product_mix(spark: SparkSession, sf: str) -> DataFrame:
     li = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_partkey", F.col("l_quantity").alias("quantity"), E.minor(F.col("l_extendedprice")).alias("revenue"))
     lines = li.join(read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product_type")), "l_partkey")
     return lookups.product_mix(requests(spark, sf), o, lines)
+
+
+_AS_OF = "DATE '2024-01-30'"
+_BUDGETS = ORACLE_SQL["request_budgets"]
+_OWN = _BUDGETS.removeprefix(f"WITH {timeline._UNITS}, {ADS}, ").replace("SELECT request_id, entity_type, entity_id, CASE w", ", own AS (SELECT request_id, entity_type, entity_id, CASE w", 1) + ")"
+_LABELS = sorted({n for n, a, b, _ in seasons.CALENDAR if a <= "2024-01-30" and b >= "2024-01-03"})
+
+
+def _pick(days: int, sql: str) -> str:
+    return f"max({sql}) FILTER (days = {days})"
+
+
+_WIN_SQL = {
+    "roas": R6("purchase_value::DOUBLE / nullif(spend, 0)"),
+    "low": R6("purchase_value::DOUBLE / nullif(spend, 0) * greatest(pow(greatest(0, sqrt(purchases + 0.375::DOUBLE) - 1.645::DOUBLE / 2), 2), 0.01) / nullif(purchases, 0)"),
+    "high": R6("purchase_value::DOUBLE / nullif(spend, 0) * pow(sqrt(purchases + 0.375::DOUBLE) + 1.645::DOUBLE / 2, 2) / nullif(purchases, 0)"),
+    "cpa": R6("spend::DOUBLE / nullif(purchases, 0)"), "ctr": R6("clicks::DOUBLE / nullif(impressions, 0)"), "cart_rate": R6("carts::DOUBLE / nullif(landings, 0)"), "frequency": R6("impressions::DOUBLE / nullif(reach, 0)"), "store_roas": R6("gross::DOUBLE / nullif(spend, 0)"),
+}
+_SHOWN = (7, 14, 28, 56)
+_FLOOR = "CASE days WHEN 7 THEN 12 WHEN 14 THEN 20 WHEN 28 THEN 30 ELSE 45 END"
+_VERDICT = f"CASE WHEN spend = 0 THEN NULL WHEN purchases < {_FLOOR} OR purchases = 0 THEN 'NOT_DISTINGUISHABLE' WHEN purchase_value::DOUBLE / spend * greatest(pow(greatest(0, sqrt(purchases + 0.375::DOUBLE) - 1.645::DOUBLE / 2), 2), 0.01) / purchases > 0.5 THEN 'ABOVE_TARGET' WHEN purchase_value::DOUBLE / spend * pow(sqrt(purchases + 0.375::DOUBLE) + 1.645::DOUBLE / 2, 2) / purchases < 0.5 THEN 'BELOW_TARGET' ELSE 'NOT_DISTINGUISHABLE' END"
+
+
+def _ago(field: str, days: int) -> str:
+    return f"count(*) FILTER (field = '{field}' AND det > {_AS_OF} - {days})"
+
+
+_DOC = f"""WITH {timeline._DIFF}, {TOTALS}, {_OWN},
+fw AS (SELECT entity_type, entity_id, {', '.join(f"{_pick(n, sql)} AS {name}_{n}" for n in _SHOWN for name, sql in _WIN_SQL.items())}, {', '.join(f"{_pick(n, _VERDICT)} AS verdict_{n}" for n in _SHOWN)}, {_pick(28, 'spend')} AS spend, {_pick(28, 'impressions')} AS impressions, {_pick(28, 'purchases')} AS purchases FROM tot WHERE entity_type IN ('ADSET', 'CAMPAIGN') GROUP BY 1, 2),
+ev AS (SELECT *, ({_AS_OF} - 5 * (1998 - run)::INT)::DATE AS det, field = 'BUDGET' AND coalesce(abs(percent) >= 20, false) AS material FROM q),
+cf AS (SELECT entity_type, entity_id, {_ago('BUDGET', 7)} AS budget_changes_7d, {_ago('TARGETING', 14)} AS targeting_changes_14d, {_ago('CREATIVE_ASSIGNMENT', 7)} AS creative_changes_7d, {', '.join(f"(24 * ({_AS_OF} + 1 - max(det) FILTER (field = '{f}')))::DOUBLE AS hours_since_{f.lower()}" for f in ('BUDGET', 'TARGETING', 'STATUS'))},
+ arg_max({{'p': percent}}, det) FILTER (field = 'BUDGET') AS lb, max(det) FILTER (material) AS reset_day FROM ev WHERE det <= {_AS_OF} GROUP BY 1, 2),
+cm AS (SELECT *, budget_changes_7d > 0 OR creative_changes_7d > 0 OR coalesce(hours_since_targeting < 336, false) OR coalesce(hours_since_status < 72, false) AS major FROM cf),
+lf AS (SELECT adset_id, any_value(reset_day) AS reset_day, coalesce(sum(purchases) FILTER (del.day >= greatest(coalesce(reset_day, {_AS_OF} - 6), {_AS_OF} - 6)), 0)::BIGINT AS n FROM del JOIN ads USING (ad_id) LEFT JOIN cm ON cm.entity_type = 'ADSET' AND cm.entity_id = adset_id WHERE del.day BETWEEN {_AS_OF} - 6 AND {_AS_OF} GROUP BY 1),
+dd AS (SELECT own.request_id, own.entity_type, own.entity_id, unit_type, unit_id, escalated, fw.* EXCLUDE (entity_type, entity_id), cm.* EXCLUDE (entity_type, entity_id, reset_day), lf.n, lf.adset_id IS NOT NULL AND unit_type = 'ADSET' AS taught, coalesce(major, false) AS maj, coalesce(spend > 0 OR impressions > 0, false) AS moving
+ FROM own LEFT JOIN fw ON fw.entity_type = unit_type AND fw.entity_id = unit_id LEFT JOIN cm ON cm.entity_type = unit_type AND cm.entity_id = unit_id LEFT JOIN lf ON unit_type = 'ADSET' AND lf.adset_id = unit_id),
+de AS (SELECT *, CASE WHEN unit_type IS NULL THEN 'NO_DECISION_UNIT' WHEN NOT moving THEN 'NOT_DELIVERING' ELSE 'EVIDENCE' END AS outcome, list_filter([CASE WHEN NOT moving THEN 'NOT_DELIVERING' END, CASE WHEN verdict_28 IS DISTINCT FROM 'ABOVE_TARGET' THEN 'ROAS_NOT_ABOVE_TARGET' END, CASE WHEN taught AND n < 50 THEN 'IN_LEARNING_PHASE' END, CASE WHEN maj THEN 'RECENT_MAJOR_CHANGE' END], lambda z: z IS NOT NULL) AS rs FROM dd),
+df AS (SELECT *, CASE WHEN len(rs) = 0 THEN greatest(0.5::DOUBLE, least(0.9::DOUBLE, 0.5::DOUBLE + 0.4::DOUBLE * least(1.0::DOUBLE, (purchases - 30) / 30.0::DOUBLE))) ELSE 0.0::DOUBLE END AS conf FROM de)
+SELECT request_id, entity_type, entity_id, outcome"""
+_SHOW = lambda sql, name: f"CASE WHEN outcome = 'EVIDENCE' THEN {sql} END AS {name}"
+_COLUMNS = [
+    ("unit_type", "unit_type"), ("unit_id", "unit_id"), ("CASE WHEN escalated THEN entity_type END", "escalated_type"), ("len(rs) = 0", "eligible"), ("array_to_string(rs, ',')", "reasons"), (R6("conf"), "confidence"), ("CASE WHEN len(rs) = 0 THEN floor(5 + conf * 10 + 0.5)::BIGINT END", "percent"),
+    *[(f"{name}_{n}", f"{name}_{n}") for n in _SHOWN for name in (*_WIN_SQL, "verdict")], ("spend", "spend"), ("impressions", "impressions"), *[(c, c) for c in ("budget_changes_7d", "targeting_changes_14d", "creative_changes_7d", "hours_since_budget", "hours_since_targeting", "hours_since_status")],
+    ("lb.p", "last_budget_percent"), ("major", "major"), ("CASE WHEN taught THEN n < 50 END", "in_learning"), ("CASE WHEN taught THEN greatest(0, 50 - n)::BIGINT END", "to_exit"), (f"'{','.join(_LABELS)}'", "season_labels"),
+]
+
+
+@query(f"{_DOC}, {', '.join(_SHOW(a, b) for a, b in _COLUMNS)} FROM df")
+def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence document of every request, unfolded: the unit that owns the budget, four windows, changes, learning, seasons and the decision they allow. Runs stand five days apart, the last on the as-of day."""
+    snaps = table(timeline._snapshots(spark, sf), "snapshots")
+    ads = dims.ads(spark, sf)
+    owners = lookups.budget_owner(requests(spark, sf), snaps.where(F.col("run") == _RUN), ads)
+    events = changes.events(snaps, timeline.run_log(snaps)).withColumn("detected_on", F.date_sub(D(CANON.as_of), (5 * (1998 - F.col("run"))).cast("int")))
+    windows = evidence.window_facts(totals(spark, sf, ("ADSET", "CAMPAIGN")))
+    changed = table(evidence.change_facts(events), "changes")
+    since = F.date_sub(D(CANON.as_of), CANON.learning_days - 1)
+    bought = dims.delivery(spark, sf, since, D(CANON.as_of)).select("ad_id", "day", "purchases").join(ads, "ad_id").select(D("ADSET").alias("entity_type"), F.col("adset_id").alias("entity_id"), "day", "purchases")
+    season = F.struct(F.array(*map(D, _LABELS)).cast("array<string>").alias("labels"))
+    d = evidence.documents(owners, windows, changed, evidence.learning_facts(bought, changed), season)
+    of = lambda path, name: F.col(f"document.{path}").alias(name)
+    w = lambda n, field, name: F.element_at("document.windows", D(n))[field].alias(f"{name}_{n}")
+    fields = {"roas": "roas", "low": "roas_low", "high": "roas_high", "cpa": "cpa", "ctr": "ctr", "cart_rate": "cart_rate", "frequency": "frequency", "store_roas": "store_roas", "verdict": "verdict"}
+    return d.select(
+        "request_id", "entity_type", "entity_id", "outcome", of("unit.type", "unit_type"), of("unit.id", "unit_id"), of("escalated_from.type", "escalated_type"), of("decision.eligible", "eligible"), F.array_join("document.decision.reasons", ",").alias("reasons"), E.rounded(F.col("document.decision.confidence"), 6).alias("confidence"), of("decision.percent", "percent"),
+        *[w(n, f, name) for n in _SHOWN for name, f in fields.items()], of("stability.spend", "spend"), of("stability.impressions", "impressions"), *[of(f"changes.{c}", c) for c in ("budget_changes_7d", "targeting_changes_14d", "creative_changes_7d", "hours_since_budget", "hours_since_targeting", "hours_since_status", "last_budget_percent", "major")],
+        of("learning.active", "in_learning"), of("learning.to_exit", "to_exit"), F.array_join("document.season.labels", ",").alias("season_labels"),
+    )

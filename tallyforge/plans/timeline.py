@@ -91,13 +91,17 @@ q AS (SELECT entity_type, entity_id, run, detected_on, e.f AS field, e.x AS befo
  WHERE e.x IS DISTINCT FROM e.y AND (e.f <> 'BUDGET' OR (a.owner IS DISTINCT FROM 'UNKNOWN' AND b.owner IS DISTINCT FROM 'UNKNOWN')))"""
 
 
+def run_log(snaps: DataFrame) -> DataFrame:
+    log = snaps.select("entity_type", "run", "day").distinct()
+    status = F.when(F.col("run") == 1994, "FAILED").when((F.col("run") == 1996) & (F.col("entity_type") == "AD"), "RUNNING").otherwise("SUCCEEDED")
+    return log.select("entity_type", "run", status.alias("status"), F.when(status != "RUNNING", F.date_add("day", 1).cast("timestamp")).alias("finished_at"))
+
+
 @query(f"WITH {_DIFF} SELECT *, field = 'BUDGET' AND coalesce(abs(percent) >= 20, false) AS material FROM q")
 def run_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Changes of each finished run against the latest one that finished before it, by the log of runs: failed and unfinished runs are passed over."""
     snaps = _snapshots(spark, sf)
-    log = snaps.select("entity_type", "run", "day").distinct()
-    status = F.when(F.col("run") == 1994, "FAILED").when((F.col("run") == 1996) & (F.col("entity_type") == "AD"), "RUNNING").otherwise("SUCCEEDED")
-    return changes.events(snaps, log.select("entity_type", "run", status.alias("status"), F.when(status != "RUNNING", F.date_add("day", 1).cast("timestamp")).alias("finished_at")))
+    return changes.events(snaps, run_log(snaps))
 
 
 _SUMS = ", ".join(f"coalesce(sum({m}) FILTER (day > as_of - days AND day <= as_of), 0)::BIGINT AS {m}" for m in ("impressions", "clicks", "purchases", "spend", "purchase_value"))

@@ -40,7 +40,7 @@ vi AS (SELECT *, CASE WHEN owner = 'UNKNOWN' THEN 'NO_DECISION_UNIT' WHEN spend
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     ads = dims.ads(spark, sf)
-    t = entities.totals(spark, sf).where("entity_type = 'ADSET' AND days = 28").select("entity_id", "spend", "impressions", "purchases")
+    t = entities.totals(spark, sf, ("ADSET",), (28,)).select("entity_id", "spend", "impressions", "purchases")
     composite = ads.groupBy(F.col("adset_id").alias("entity_id")).agg(F.bool_or(F.col("family_id") % 3 == 0).alias("composite"))
     late = read(spark, sf, "events").where("event_type = 'error' AND ts >= TIMESTAMP_NTZ '2024-01-28 00:00:00'").select(F.col("user_id").alias("ad_id"))
     late = late.join(ads, "ad_id").select(F.col("adset_id").alias("entity_id")).distinct().withColumn("recent", D(True))

@@ -30,15 +30,15 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("campaign_id", F.when(F.col("campaign_id") % 7 == 6, "spare").otherwise(F.col("first")).alias("name"))
 
 
-def levels() -> Column:
-    """The entities an ad's row belongs to: array of (entity_type, entity_id)."""
+def levels(kinds: tuple[str, ...] = LEVELS) -> Column:
+    """The entities of ``kinds`` that an ad's row belongs to: array of (entity_type, entity_id)."""
     ids = (F.col("ad_id"), F.col("adset_id"), F.col("campaign_id"), F.col("family_id"), F.lit(0))
-    return F.array(*[F.struct(F.lit(k).alias("entity_type"), v.cast("long").alias("entity_id")) for k, v in zip(LEVELS, ids, strict=True)])
+    return F.array(*[F.struct(F.lit(k).alias("entity_type"), v.cast("long").alias("entity_id")) for k, v in zip(LEVELS, ids, strict=True) if k in kinds])
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entity of every level, with or without delivery."""
-    return ads(spark, sf_dir).select(F.inline(levels())).distinct()
+def entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = LEVELS) -> DataFrame:
+    """Every entity of ``kinds``, with or without delivery."""
+    return ads(spark, sf_dir).select(F.inline(levels(kinds))).distinct()
 
 
 def delivery(spark: SparkSession, sf_dir: str, since: Column | None = None, until: Column | None = None, only: DataFrame | None = None) -> DataFrame:

@@ -67,3 +67,29 @@ def test_recent_changes_of_entities_without_any(spark):
     ev = spark.createDataFrame([("AD", 1, 3, date(2025, 1, 3), "STATUS", None), ("AD", 1, 2, date(2025, 1, 2), "BUDGET", 5.0), ("AD", 1, 4, date(2025, 1, 4), "BUDGET", None)], "entity_type string, entity_id long, run long, detected_on date, field string, percent double")
     got = {r["request_id"]: r for r in lookups.recent_changes(spark.createDataFrame([(1, "AD", 1, 7), (2, "AD", 2, 7)], REQ), ev).collect()}
     assert (got[1]["budget_changes"], got[1]["last_budget"], got[1]["status_changes"], got[2]["budget_changes"], got[2]["last_budget"]) == (2, date(2025, 1, 4), 1, 0, None)
+
+
+def test_evidence_document_of_the_unit_that_owns_the_budget(spark):
+    from tallyforge.operators import evidence
+
+    cols = "entity_type string, entity_id long, days int, impressions long, clicks long, landings long, carts long, checkouts long, purchases long, spend long, purchase_value long, reach long, gross long"
+    good, idle = (100, 10, 5, 4, 3, 90, 1000, 2000, 50, 10), (0, 0, 0, 0, 0, 0, 0, 0, 0, 0)
+    rows = [("ADSET", 10, n, *good) for n in (7, 14, 28, 56)] + [("CAMPAIGN", 101, n, *good) for n in (7, 14, 28, 56)] + [("ADSET", 13, n, *idle) for n in (7, 14, 28, 56)]
+    windows = evidence.window_facts(spark.createDataFrame(rows, cols))
+    ev = [("ADSET", 10, date(2024, 1, 28), "BUDGET", 25.0, True), ("ADSET", 10, date(2024, 2, 3), "STATUS", None, False), ("CAMPAIGN", 101, date(2024, 1, 1), "TARGETING", None, False)]
+    changed = evidence.change_facts(spark.createDataFrame(ev, "entity_type string, entity_id long, detected_on date, field string, percent double, material boolean"))
+    bought = [("ADSET", 10, date(2024, 1, 27), 60), ("ADSET", 10, date(2024, 1, 29), 20)]
+    learning = evidence.learning_facts(spark.createDataFrame(bought, "entity_type string, entity_id long, day date, purchases long"), changed)
+    owners = [(1, "AD", 1, "ADSET", 10, True), (2, "CAMPAIGN", 101, "CAMPAIGN", 101, False), (3, "ADSET", 13, "ADSET", 13, False), (4, "AD", 9, None, None, False), (5, "ADSET", 77, "ADSET", 77, False)]
+    own = spark.createDataFrame(owners, "request_id long, entity_type string, entity_id long, unit_type string, unit_id long, escalated boolean").withColumn("daily", F.lit(5).cast("long")).withColumn("lifetime", F.lit(None).cast("long"))
+    season = F.struct(F.array(F.lit("holi")).alias("labels"))
+    got = {r["request_id"]: r for r in evidence.documents(own, windows, changed, learning, season).collect()}
+    assert [got[i]["outcome"] for i in range(1, 6)] == ["EVIDENCE", "EVIDENCE", "NOT_DELIVERING", "NO_DECISION_UNIT", "NOT_DELIVERING"]
+    assert got[3]["document"] is None and got[4]["document"] is None
+    a, b = got[1]["document"], got[2]["document"]
+    assert a["escalated_from"]["type"] == "AD" and a["unit"]["daily"] == 5 and sorted(a["windows"]) == [7, 14, 28, 56] and a["season"]["labels"] == ["holi"]
+    assert a["decision"]["reasons"] == ["IN_LEARNING_PHASE", "RECENT_MAJOR_CHANGE"] and a["decision"]["percent"] is None
+    # A material budget change starts the count anew: only what came from its day on counts.
+    assert (a["learning"]["active"], a["learning"]["to_exit"], a["changes"]["hours_since_budget"], a["changes"]["last_budget_percent"]) == (True, 30, 72.0, 25.0)
+    assert (b["decision"]["eligible"], b["decision"]["confidence"], b["decision"]["percent"], b["escalated_from"], b["learning"]) == (True, 0.9, 14, None, None)
+    assert a["windows"][28]["verdict"] == "ABOVE_TARGET" and a["windows"][28]["roas"] == 2.0 and a["windows"][28]["store_roas"] == 0.01
