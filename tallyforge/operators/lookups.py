@@ -102,3 +102,17 @@ def product_mix(windows: DataFrame, orders: DataFrame, lines: DataFrame, canon:
     asked = sized(windows.select("days").distinct())
     rows = lines.join(inside, "order_id").join(asked, F.col("_age") < F.col("days"))
     return rows.groupBy("days", "product_type").agg(F.count_distinct("order_id").alias("orders"), F.sum("quantity").cast("long").alias("quantity"), F.sum("revenue").cast("long").alias("revenue"))
+
+
+def by_name(terms: DataFrame, entities: DataFrame) -> DataFrame:
+    """(q, kind, id, name): entities whose name holds a term, letters' case aside. ``terms``: q, term; ``entities``: kind, id, name.
+
+    Names are indexed by their runs of up to three characters: a term is looked up by its first such run, and only those that meet are compared.
+    Empty terms find nothing."""
+    asked = terms.select("q", F.lower("term").alias("_term")).where("_term <> ''").withColumn("_gram", F.substring("_term", 1, 3))
+    sizes = sorted(r[0] for r in asked.select(F.char_length("_gram")).distinct().collect())  # at most 1, 2 and 3
+    low = F.lower("name")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    runs = [grams(n) for n in sizes]
+    index = entities.where("name IS NOT NULL").select("kind", "id", "name", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("_gram"))
+    return index.join(sized(asked), "_gram").where(F.contains(F.lower("name"), F.col("_term"))).select("q", "kind", "id", "name").distinct()

@@ -15,6 +15,7 @@ from tallyforge.plans.sql import DAILY, MINOR, R6
 from tallyforge.runtime import documents as read
 from tallyforge.runtime import new_path
 from tallyforge.sources import archive, facts
+from tallyforge.streaming import latest
 
 D = F.lit
 QUERIES: dict = {}
@@ -188,3 +189,10 @@ def order_seasons(spark: SparkSession, sf: str) -> DataFrame:
     months = o.groupBy(F.trunc("day", "month").alias("start")).agg(F.sum("revenue").alias("revenue")).select("*", F.last_day("start").alias("end"), F.date_sub("start", 28).alias("base_start"), F.date_sub("start", 1).alias("base_end"))
     w = seasons.demand_of(seasons.context(months, cal), found)
     return w.select("start", F.array_join("labels", ",").alias("labels"), F.array_join("base_labels", ",").alias("base_labels"), "spans_boundary", "revenue", "usable", E.rounded(F.col("demand"), 6).alias("demand"))
+
+
+@query("""SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r > 1""")
+def stream_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream rejected, row by row, with the version that was kept when it came."""
+    folder = latest.run(spark, f"{sf}/events.parquet*", "user_id", "event_id", "ts")
+    return latest.rejected_of_stream(spark, folder).select("user_id", "event_id", "ts")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import changes, decide, ledger, seasons
+from tallyforge.operators import changes, decide, ledger, lookups, seasons
 from tallyforge.plans import entities
 from tallyforge.plans.entities import ADS, DELIVERY, TOTALS
 from tallyforge.plans.sql import MINOR, R6
 from tallyforge.runtime import documents as read
-from tallyforge.runtime import new_path
+from tallyforge.runtime import new_path, sized
 from tallyforge.sources import dims, facts
 
 D = F.lit
@@ -223,14 +223,11 @@ def entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
     ask = read(spark, sf, "nation").select(F.col("n_nationkey").alias("q"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).otherwise(F.substring("n_name", 1, 3)).alias("term"))
     part = lambda t, kind, key, name: read(spark, sf, t).select(D(kind).alias("kind"), F.col(key).cast("long").alias("id"), F.col(name).alias("name"))
     every = part("customer", "CUSTOMER", "c_custkey", "c_name").unionByName(part("supplier", "SUPPLIER", "s_suppkey", "s_name")).unionByName(part("part", "PART", "p_partkey", "p_name"))
-    terms = F.broadcast(ask)  # the question's own terms: a nation each
-    exact = every.join(terms, F.col("id").cast("string") == F.col("term"))
+    exact = every.join(sized(ask), F.col("id").cast("string") == F.col("term"))
     rest = ask.join(exact.select("q").distinct(), "q", "left_anti")
-    held = F.broadcast(rest.agg(F.collect_list(F.struct("q", F.lower("term").alias("term"))).alias("_terms")))
-    named = every.join(held).select("kind", "id", "name", F.explode(F.filter("_terms", lambda t: F.contains(F.lower("name"), t["term"]))).alias("t")).select(F.col("t.q").alias("q"), "kind", "id", "name")
-    found = exact.select("q", "kind", "id", "name").unionByName(named)
+    found = exact.select("q", "kind", "id", "name").unionByName(lookups.by_name(rest, every))
     n = found.groupBy("q").agg((F.count("*") > 5).alias("more_than_five"))
-    return found.join(F.broadcast(n), "q")
+    return found.join(sized(n), "q")
 
 
 @query(f"""WITH {ADS}, {DELIVERY}, d AS (SELECT entity_type, entity_id, day, sum(spend) AS spend, sum(purchases) AS p FROM (SELECT 'AD' AS entity_type, ad_id AS entity_id, day, spend, purchases FROM del JOIN ads USING (ad_id) UNION ALL SELECT 'ADSET', adset_id, day, spend, purchases FROM del JOIN ads USING (ad_id)) GROUP BY 1, 2, 3),

@@ -93,3 +93,12 @@ def test_evidence_document_of_the_unit_that_owns_the_budget(spark):
     assert (a["learning"]["active"], a["learning"]["to_exit"], a["changes"]["hours_since_budget"], a["changes"]["last_budget_percent"]) == (True, 30, 72.0, 25.0)
     assert (b["decision"]["eligible"], b["decision"]["confidence"], b["decision"]["percent"], b["escalated_from"], b["learning"]) == (True, 0.9, 14, None, None)
     assert a["windows"][28]["verdict"] == "ABOVE_TARGET" and a["windows"][28]["roas"] == 2.0 and a["windows"][28]["store_roas"] == 0.01
+
+
+def test_names_are_found_by_any_part_of_them(spark):
+    rows = [("P", 1, "Red ABBA car"), ("P", 2, "abbey"), ("Q", 3, "ab"), ("Q", 4, None), ("Q", 5, ""), ("Q", 6, "éÉx")]
+    terms = [(1, "ABB"), (2, "b"), (3, "abbey road"), (4, ""), (5, None), (6, "ba c"), (7, "éx"), (8, "AB")]
+    got = lookups.by_name(spark.createDataFrame(terms, "q long, term string"), spark.createDataFrame(rows, "kind string, id long, name string"))
+    want = {(q, i) for q, t in terms for _, i, n in rows if t and n and t.lower() in n.lower()}
+    assert {(r["q"], r["id"]) for r in got.collect()} == want and got.count() == len(want)
+    assert lookups.by_name(spark.createDataFrame([], "q long, term string"), spark.createDataFrame(rows, "kind string, id long, name string")).count() == 0
