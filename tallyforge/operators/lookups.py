@@ -116,3 +116,24 @@ def by_name(terms: DataFrame, entities: DataFrame) -> DataFrame:
     runs = [grams(n) for n in sizes]
     index = entities.where("name IS NOT NULL").select("kind", "id", "name", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("_gram"))
     return index.join(sized(asked), "_gram").where(F.contains(F.lower("name"), F.col("_term"))).select("q", "kind", "id", "name").distinct()
+
+
+def attribution_health(windows: DataFrame, orders: DataFrame, resolved: DataFrame, canon: Canon = CANON) -> DataFrame:
+    """(days, by_id, by_name, unresolved, coverage): how the orders of each window length in ``windows`` (days) were told apart; the share found by id."""
+    age = F.datediff(F.lit(canon.as_of), F.col("day"))
+    rows = orders.where(age.between(0, max(canon.windows) - 1)).select("order_id", age.alias("_age")).join(resolved.select("order_id", "resolution"), "order_id", "left")
+    per = rows.groupBy("_age").agg(F.count_if(F.col("resolution") == "AD_ID").alias("a"), F.count_if(F.col("resolution") == "NAME_MATCH").alias("b"), F.count_if(F.col("resolution").isNull()).alias("c"))
+    # A row a day is left before windows multiply it.
+    asked = windows.select("days").distinct()
+    total = asked.join(sized(per), F.col("_age") < F.col("days"), "left").groupBy("days").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("a", "by_id"), ("b", "by_name"), ("c", "unresolved"))])
+    return total.select("*", E.rounded(E.ratio(F.col("by_id"), F.col("by_id") + F.col("by_name") + F.col("unresolved")), 6).alias("coverage"))
+
+
+def creative_fatigue(requests: DataFrame, ads: DataFrame, composite: Column) -> DataFrame:
+    """The creative family of each requested ad, how many variations it has, and whether a fatigue score may be given at all: not to composites,
+    whose delivered mix is unknown. An ad that is not there has no family."""
+    asked = requests.where("entity_type = 'AD'").select("request_id", F.col("entity_id").alias("ad_id"))
+    own = asked.join(ads.select("ad_id", "family_id"), "ad_id", "left")
+    n = ads.join(sized(own.select("family_id").distinct()), "family_id", "left_semi").groupBy("family_id").agg(F.count("*").alias("variations"))
+    kind = F.when(F.col("family_id").isNotNull(), F.when(composite, "COMPOSITE").otherwise("STANDARD"))
+    return own.join(sized(n), "family_id", "left").select("request_id", "ad_id", F.col("family_id").isNotNull().alias("applicable"), "family_id", kind.alias("creative_type"), F.coalesce(kind == "STANDARD", F.lit(False)).alias("eligible"), "variations")

@@ -170,3 +170,18 @@ def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
         *[w(n, f, name) for n in _SHOWN for name, f in fields.items()], of("stability.spend", "spend"), of("stability.impressions", "impressions"), *[of(f"changes.{c}", c) for c in ("budget_changes_7d", "targeting_changes_14d", "creative_changes_7d", "hours_since_budget", "hours_since_targeting", "hours_since_status", "last_budget_percent", "major")],
         of("learning.active", "in_learning"), of("learning.to_exit", "to_exit"), F.array_join("document.season.labels", ",").alias("season_labels"),
     )
+
+
+@query(f"""WITH {ADS}, {STORE}, w AS (SELECT * FROM (VALUES (7), (14), (28), (56)) t(days)), j AS (SELECT days, resolution FROM w JOIN so ON date_diff('day', day, DATE '2024-01-30') BETWEEN 0 AND days - 1 LEFT JOIN res USING (order_id)),
+n AS (SELECT days, count(*) FILTER (resolution = 'AD_ID') AS by_id, count(*) FILTER (resolution = 'NAME_MATCH') AS by_name, count(*) FILTER (resolution IS NULL) AS unresolved FROM j GROUP BY 1) SELECT *, {R6('by_id::DOUBLE / (by_id + by_name + unresolved)')} AS coverage FROM n""")
+def request_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """How the store's orders were attributed in each of the windows asked for."""
+    o = dims.store_orders(spark, sf)
+    return lookups.attribution_health(requests(spark, sf), o, spine.resolved(o, dims.ads(spark, sf), dims.campaigns(spark, sf)))
+
+
+@query(f"""WITH {ADS}, {_REQ}, n AS (SELECT family_id, count(*) AS variations FROM ads GROUP BY 1) SELECT request_id, entity_id AS ad_id, family_id IS NOT NULL AS applicable, family_id, CASE WHEN family_id % 3 = 0 THEN 'COMPOSITE' WHEN family_id IS NOT NULL THEN 'STANDARD' END AS creative_type, coalesce(family_id % 3 <> 0, false) AS eligible, variations
+FROM req LEFT JOIN ads ON ad_id = entity_id LEFT JOIN n USING (family_id) WHERE entity_type = 'AD'""")
+def request_fatigue(spark: SparkSession, sf: str) -> DataFrame:
+    """The creative family of every requested ad and whether fatigue may be judged."""
+    return lookups.creative_fatigue(requests(spark, sf), dims.ads(spark, sf), F.col("family_id") % 3 == 0)
