@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import kernels as K
 from tallyforge.llm import repeats as R
 from tallyforge.llm.lyndon import repeated_windows
+from tallyforge.runtime import table
 
 LENGTH = 100
 GRAM = 32
@@ -201,7 +202,9 @@ def _finish(data, off, sym, ends, bounds, gone):
 
 def later_windows(base: DataFrame, unit: R.Unit) -> DataFrame:
     """(d, w, nw): windows w to w + nw - 1 of document d start earlier elsewhere."""
-    runs = R.compared_runs(base, R.recurring_runs(base, unit), unit, keep_first=True)
+    # Each step's result is far smaller than what it shuffles, so it is written and the shuffle files go.
+    starts = table(R.recurring_runs(base, unit), "recurring")
+    runs = table(R.compared_runs(base, starts, unit, keep_first=True), "compared")
     rows = R.expand(base, runs, _stretches(unit), "pk long, d long, w long, nw long, seg binary")
     return rows.repartition("pk").sortWithinPartitions("pk").mapInArrow(_order(unit.length), "d long, w long, nw long")
 
