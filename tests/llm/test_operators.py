@@ -483,3 +483,10 @@ def test_very_small_and_very_large_numbers_keep_their_cosine(spark):
     rows = [(1, "a", [1e-200, 1e-201]), (2, "a", [0.1, 1.0]), (3, "a", [1e200, 1e199]), (4, "a", [1e200, 1.01e199]), (5, "a", [5e-324, 0.0]), (6, "a", [1e308, 1e300]), (7, "a", [1.7e308, 1.7e308]), (8, "a", [3e-310, 3e-310])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
     assert got == {1: (4, 1), 2: (0, 2), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (1, 7), 8: (1, 7)}
+
+
+def test_mix_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", 7 + i, "t") for i in range(4)], "doc_id long, text string, source string, size long, target string")
+    rows = mixing.mix(df, keep=("size", "target", "source")).collect()
+    assert sorted((r["kept_size"], r["kept_target"], r["source"], r["size"]) for r in rows) == [(7 + i, "t", "s", 3) for i in range(4)]
+    assert mixing.take_mix(df).columns == df.columns
