@@ -23,7 +23,7 @@ from tallyforge.llm.text import n_words
 from tallyforge.runtime import sized, table
 
 MAX_COPIES = 3
-OWN = ("size", "source_size", "target", "copies", "taken")
+OWN = ("source", "size", "source_size", "target", "copies", "taken")
 #: Steps of the rank scale on which the boundary of each sample is located before rows are ordered.
 RANK_STEPS = 4096
 
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: str = "mix", weights: tuple[
     of ``keep``; one named like a column of the result comes as ``kept_<name>``."""
     clash = {c: f"kept_{c}" for c in keep if c in OWN}
     if clash:
-        docs, keep = docs.withColumnsRenamed(clash), tuple(clash.get(c, c) for c in keep)
+        docs, keep = docs.withColumns({new: F.col(old) for old, new in clash.items()}), tuple(clash.get(c, c) for c in keep)
     sizes = lambda *more: docs.select(F.col(key).alias("_key"), "source", n_words(F.col("text")).alias("size"), *more)
     base = table(sizes(), "mix-sizes")
     return select_copies(sizes(*keep) if keep else base, base, seed, weights, keep).withColumnRenamed("_key", key)

@@ -488,5 +488,5 @@ def test_very_small_and_very_large_numbers_keep_their_cosine(spark):
 def test_mix_keeps_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(i, "a b c", "s", 7 + i, "t") for i in range(4)], "doc_id long, text string, source string, size long, target string")
     rows = mixing.mix(df, keep=("size", "target", "source")).collect()
-    assert sorted((r["kept_size"], r["kept_target"], r["source"], r["size"]) for r in rows) == [(7 + i, "t", "s", 3) for i in range(4)]
+    assert sorted((r["kept_size"], r["kept_target"], r["kept_source"], r["size"]) for r in rows) == [(7 + i, "t", "s", 3) for i in range(4)]
     assert mixing.take_mix(df).columns == df.columns
