@@ -20,7 +20,7 @@ def folder():
 def test_deep_merge_keeps_siblings_at_every_depth(spark):
     old = spark.createDataFrame([(1, '{"w":{"a":{"x":1,"y":2},"b":5},"m":{"k":{"p":1},"l":{"p":2}},"t":[1,2]}'), (2, None), (3, '{"w":{"a":{"x":1}}}')], "id long, j string")
     new = spark.createDataFrame([(1, '{"w":{"a":{"y":9},"c":7},"m":{"k":{"q":3},"n":{"p":4}},"t":[3]}'), (2, '{"w":{"a":{"y":1}}}'), (3, None)], "id long, j string")
-    a = old.select("id", F.from_json("j", "w struct<a struct<x int, y int>, b int>, m map<string, struct<p int, q int>>, t array<int>".replace("a struct", "a: struct").replace("b int", "b: int").replace("x int", "x: int").replace("y int", "y: int").replace("p int", "p: int").replace("q int", "q: int")).alias("o"))
+    a = old.select("id", F.from_json("j", "w struct<a: struct<x: int, y: int>, b: int>, m map<string, struct<p: int, q: int>>, t array<int>").alias("o"))
     b = new.select(F.col("id").alias("_id"), F.from_json("j", "w struct<a: struct<y: int>, c: int>, m map<string, struct<p: int, q: int>>, t array<int>").alias("n"))
     both = a.join(b, F.col("id") == F.col("_id"))
     got = {r["id"]: r["v"] for r in both.select("id", F.to_json(merge.merged(F.col("o"), F.col("n"), a.schema["o"].dataType, b.schema["n"].dataType)).alias("v")).collect()}
