@@ -10,7 +10,7 @@ the integer scores, so no task orders all rows.
 
 Null texts are empty: no features, weight 0. A null id counts as empty in the noise and goes last among equal
 scores. Rows that repeat id and text get one place each. An empty target leaves the gains to the corpus counts.
-No rows give no rows. Buckets are at most 2^32.
+No rows give no rows. Counts of all buckets are an array in each task and on the driver.
 """
 
 from __future__ import annotations
