@@ -89,3 +89,18 @@ def documents(owners: DataFrame, windows: DataFrame, changes: DataFrame, learnin
         F.col("changes"), taught.alias("learning"), season.alias("season"),
     )
     return rows.select("request_id", "entity_type", "entity_id", outcome.alias("outcome"), F.when(outcome == "EVIDENCE", body).alias("document"))
+
+
+def proposals(owners: DataFrame, windows: DataFrame, changes: DataFrame, learning: DataFrame, primary: int = 28, canon: Canon = CANON) -> DataFrame:
+    """(request_id, entity_type, entity_id, kind, owner, unit_owns, spend, impressions, purchases, percent, confidence, major) for guardrails:
+    what each request proposes (``owners`` with percent) beside what is known of the unit that owns the budget."""
+    of = lambda df: df.withColumnsRenamed({"entity_type": "unit_type", "entity_id": "unit_id"})
+    unit = ["unit_type", "unit_id"]
+    rows = owners.join(of(windows), unit, "left").join(of(changes), unit, "left").join(of(learning), unit, "left")
+    main = F.element_at("windows", F.lit(primary))
+    n = lambda c: F.coalesce(main[c], F.lit(0))
+    major = F.coalesce(F.col("changes.major"), F.lit(False))
+    taught = F.when(F.col("unit_type") == "ADSET", F.col("learning.active"))
+    sure = eligibility(main, taught, major, (n("spend") > 0) | (n("impressions") > 0), dict(zip(canon.windows, canon.floors, strict=True))[primary])["confidence"]
+    own = F.col("unit_type").isNotNull() & ~F.col("escalated")
+    return rows.select("request_id", "entity_type", "entity_id", F.lit("INCREASE_BUDGET").alias("kind"), F.coalesce("unit_type", F.lit("UNKNOWN")).alias("owner"), own.alias("unit_owns"), *[n(c).alias(c) for c in ("spend", "impressions", "purchases")], "percent", sure.alias("confidence"), major.alias("major"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
-from tallyforge.operators import changes, evidence, lookups, seasons, spine
+from tallyforge.operators import changes, decide, evidence, lookups, seasons, spine
 from tallyforge.plans import timeline
 from tallyforge.plans.entities import ADS, STORE, TOTALS, totals
 from tallyforge.plans.sql import MINOR, R6
@@ -149,9 +149,8 @@ _COLUMNS = [
 ]
 
 
-@query(f"{_DOC}, {', '.join(_SHOW(a, b) for a, b in _COLUMNS)} FROM df")
-def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The evidence document of every request, unfolded: the unit that owns the budget, four windows, changes, learning, seasons and the decision they allow. Runs stand five days apart, the last on the as-of day."""
+def known(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(owners of the requests' budgets, windows, changes, learning) of ad sets and campaigns."""
     snaps = table(timeline._snapshots(spark, sf), "snapshots")
     ads = dims.ads(spark, sf)
     owners = lookups.budget_owner(requests(spark, sf), snaps.where(F.col("run") == _RUN), ads)
@@ -160,8 +159,15 @@ def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
     changed = table(evidence.change_facts(events), "changes")
     since = F.date_sub(D(CANON.as_of), CANON.learning_days - 1)
     bought = dims.delivery(spark, sf, since, D(CANON.as_of)).select("ad_id", "day", "purchases").join(ads, "ad_id").select(D("ADSET").alias("entity_type"), F.col("adset_id").alias("entity_id"), "day", "purchases")
+    return owners, windows, changed, evidence.learning_facts(bought, changed)
+
+
+@query(f"{_DOC}, {', '.join(_SHOW(a, b) for a, b in _COLUMNS)} FROM df")
+def evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence document of every request, unfolded: the unit that owns the budget, four windows, changes, learning, seasons and the decision they allow. Runs stand five days apart, the last on the as-of day."""
+    owners, windows, changed, learned = known(spark, sf)
     season = F.struct(F.array(*map(D, _LABELS)).cast("array<string>").alias("labels"))
-    d = evidence.documents(owners, windows, changed, evidence.learning_facts(bought, changed), season)
+    d = evidence.documents(owners, windows, changed, learned, season)
     of = lambda path, name: F.col(f"document.{path}").alias(name)
     w = lambda n, field, name: F.element_at("document.windows", D(n))[field].alias(f"{name}_{n}")
     fields = {"roas": "roas", "low": "roas_low", "high": "roas_high", "cpa": "cpa", "ctr": "ctr", "cart_rate": "cart_rate", "frequency": "frequency", "store_roas": "store_roas", "verdict": "verdict"}
@@ -185,3 +191,19 @@ FROM req LEFT JOIN ads ON ad_id = entity_id LEFT JOIN n USING (family_id) WHERE
 def request_fatigue(spark: SparkSession, sf: str) -> DataFrame:
     """The creative family of every requested ad and whether fatigue may be judged."""
     return lookups.creative_fatigue(requests(spark, sf), dims.ads(spark, sf), F.col("family_id") % 3 == 0)
+
+
+_FINE = "CASE WHEN {0} THEN '{1}' END"
+_CODES = ", ".join(_FINE.format(*x) for x in (("unit_type IS NULL", "NO_DECISION_UNIT"), ("unit_type IS NOT NULL AND escalated", "DECISION_UNIT_NOT_BUDGET_OWNER"), ("unit_type IS NOT NULL AND NOT moving", "NOT_DELIVERING"), ("coalesce(purchases, 0) < 30", "MIN_PURCHASES_NOT_MET"), ("coalesce(spend, 0) < 1000000", "MIN_SPEND_NOT_MET"), ("abs(asked) > 20", "MAX_CHANGE_PERCENT_EXCEEDED")))
+
+
+@query(_DOC.removesuffix("SELECT request_id, entity_type, entity_id, outcome") + f""", dg AS (SELECT df.*, floor(s_acctbal / 400)::DOUBLE AS asked FROM df JOIN supplier ON s_suppkey = request_id), dh AS (SELECT *, list_filter([{_CODES}], lambda z: z IS NOT NULL) AS codes FROM dg)
+SELECT request_id, entity_type, entity_id, outcome AS state, asked AS percent, CASE WHEN len(codes) > 0 THEN array_to_string(codes, ' | ') END AS rejection_reason, CASE WHEN len(codes) > 0 THEN 'INSUFFICIENT_DATA' ELSE 'INCREASE_BUDGET' END AS final_kind, {R6("greatest(0, least(1, conf * CASE WHEN maj THEN 0.6::DOUBLE ELSE 1 END))")} AS adjusted FROM dh""")
+def request_guardrails(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request's proposal to change its entity's budget, checked against who owns the budget, what was delivered and what changed lately."""
+    owners, windows, changed, learned = known(spark, sf)
+    ask = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("request_id"), F.floor(F.col("s_acctbal") / 400).cast("double").alias("percent"))
+    p = evidence.proposals(owners.join(ask, "request_id"), windows, changed, learned)
+    v = decide.judged(p, decide.violations(p, D(CANON.floors[CANON.windows.index(28)]), D(decide.MIN_SPEND[28])))
+    adjusted = decide.adjusted_confidence(F.col("confidence"), F.col("major"), D(False))
+    return v.select("request_id", "entity_type", "entity_id", decide.evidence_state(F.col("owner"), F.col("spend"), F.col("impressions")).alias("state"), "percent", "rejection_reason", "final_kind", E.rounded(adjusted, 6).alias("adjusted"))
