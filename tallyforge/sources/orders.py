@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
+from tallyforge.runtime import bucketed
 from tallyforge.sources import csvsplit
 from tallyforge.sources.intake import action, gid_tail, leading_integer, total
 
@@ -29,10 +30,12 @@ def export(spark: SparkSession, path: str) -> DataFrame:
 
 def export_orders(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(orders, lines, refunds, rejected). Each order column takes its first value that is not blank; an order without a
-    creation time or one of its three prices is rejected with what is missing, and so are its lines and refunds."""
-    key = F.trim("ID").try_cast("long").alias("order_id")
+    creation time or one of its three prices is rejected with what is missing, and so are its lines and refunds.
+
+    Rows are parsed once and kept by order, so that all four are read in place, without another shuffle."""
+    rows = bucketed(rows.withColumn("order_id", F.trim("ID").try_cast("long")).where("order_id IS NOT NULL").drop("ID"), "order_id", "export")
     first = lambda c: F.min_by(F.trim(c), F.when(F.trim(c) != "", F.col("Row")))
-    told = rows.where(F.trim("ID").try_cast("long").isNotNull()).groupBy(key).agg(*[first(c).alias(c) for c in EXPORT[1:13]])
+    told = rows.groupBy("order_id").agg(*[first(c).alias(c) for c in EXPORT[1:13]])
     currency = F.coalesce("Currency", F.lit("INR"))
     money = lambda c: E.parse_money(F.col(c), currency)
     needed = ("Created At", "Price: Total", "Price: Subtotal", "Price: Total Discount")
@@ -43,7 +46,7 @@ def export_orders(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Dat
         money("Price: Total").alias("total"), money("Price: Subtotal").alias("subtotal"), money("Price: Total Discount").alias("discount"), money("Price: Total Shipping").alias("shipping"),
         F.lower("Payment: Status").alias("status"), F.coalesce("Shipping: Country Code", "Billing: Country Code").alias("country"), F.col("Customer: ID").try_cast("long").alias("customer_id"),
     )
-    items = rows.select(key, "Row", "Line: Type", F.col("Line: Product ID").alias("product"), F.col("Line: Quantity").try_cast("long").alias("quantity"), "Line: Total", "Refund: ID").join(orders.select("order_id", "currency"), "order_id")
+    items = rows.select("order_id", "Row", "Line: Type", F.col("Line: Product ID").alias("product"), F.col("Line: Quantity").try_cast("long").alias("quantity"), "Line: Total", "Refund: ID").join(orders.select("order_id", "currency"), "order_id")
     line_total = E.parse_money(F.trim("Line: Total"), F.col("currency"))
     lines = items.where(F.col("Line: Type") == "Line Item").select("order_id", "Row", "product", "quantity", line_total.alias("total"))
     back = items.where((F.col("Line: Type") == "Refund Line") & F.col("Refund: ID").isNotNull())
