@@ -46,12 +46,14 @@ def csv_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").select(D(0).cast("long"), F.col("o_orderkey").cast("string"), F.concat(D("#"), F.col("o_orderkey")), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss +0000"), F.col("o_custkey").cast("string"), none, none, none, none, none)
     li = read(spark, sf, "lineitem")
     keyed = li.join(read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    item = keyed.select((F.col("l_linenumber") + 1).cast("long"), key, none, none, none, D("Line Item"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), money("l_extendedprice"), none)
-    back = keyed.where("l_returnflag = 'R'").select((F.col("l_linenumber") + 1000).cast("long"), key, none, none, none, D("Refund Line"), F.col("l_partkey").cast("string"), none, F.concat(D("-"), money("l_extendedprice")), F.concat_ws("-", D("R"), key, F.col("l_linenumber")))
+    line = lambda *values: F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    item = line((F.col("l_linenumber") + 1).cast("long"), key, none, none, none, D("Line Item"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), money("l_extendedprice"), none)
+    back = line((F.col("l_linenumber") + 1000).cast("long"), key, none, none, none, D("Refund Line"), F.col("l_partkey").cast("string"), none, F.concat(D("-"), money("l_extendedprice")), F.concat_ws("-", D("R"), key, F.col("l_linenumber")))
+    lines = keyed.select(F.inline(F.array_compact(F.array(item, F.when(F.col("l_returnflag") == "R", back)))))
     junk = spark.range(2).select("id", F.when(F.col("id") == 0, "######## end").otherwise("  "), D("junk"), none, none, none, none, none, none, none)
     names = [c.strip().split("`")[1] for c in intake.CSV_COLUMNS.split(",")]
     path = new_path(spark, "orders-csv")
-    o.union(item).union(back).union(junk).toDF(*names).write.option("header", True).csv(path)
+    o.union(lines).union(junk).toDF(*names).write.option("header", True).csv(path)
     rows, _ = intake.order_csv(spark, path)
     return intake.csv_orders(rows)
 

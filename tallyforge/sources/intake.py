@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import exprs as E
+from tallyforge.runtime import bucketed
 from tallyforge.sources import csvsplit
 
 CSV_COLUMNS = "`Row` long, `ID` string, `Name` string, `Created At` string, `Customer: ID` string, `Line: Type` string, `Line: Product ID` string, `Line: Quantity` string, `Line: Total` string, `Refund: ID` string"
@@ -36,7 +37,9 @@ def csv_orders(rows: DataFrame) -> DataFrame:
     """
     told = lambda c: F.min_by(F.trim(c), F.when(F.trim(c) != "", F.col("Row")))
     item, back = F.col("Line: Type") == "Line Item", F.col("Line: Type") == "Refund Line"
-    return rows.groupBy(F.trim("ID").try_cast("long").alias("order_id")).agg(
+    # Kept by order, so that counting distinct refunds needs no further shuffle.
+    kept = bucketed(rows.withColumn("order_id", F.trim("ID").try_cast("long")).drop("ID"), "order_id", "csv")
+    return kept.groupBy("order_id").agg(
         told("Name").alias("name"), told("Created At").alias("created_at"), told("Customer: ID").try_cast("long").alias("customer_id"),
         F.count_if(item).alias("lines"), F.coalesce(F.sum(F.when(item, F.col("Line: Quantity").try_cast("long"))), F.lit(0)).alias("units"),
         F.coalesce(F.sum(F.when(item, cents(F.col("Line: Total")))), F.lit(0)).alias("line_total"),

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
-from tallyforge.sources import csvsplit, orders
+from tallyforge.sources import csvsplit, intake, orders
 
 
 def plan(df: DataFrame) -> str:
@@ -47,3 +47,10 @@ def test_an_export_is_parsed_once(spark):
     path = folder(head + "\n" + ",".join(values.get(c, "") for c in ["Row", *orders.EXPORT]) + "\n")
     for part in orders.export_orders(orders.export(spark, path)):
         assert "FileScan text" not in plan(part) and shuffles(part) == 0
+
+
+def test_orders_of_a_csv_are_grouped_in_place(spark):
+    path = folder('Row,ID,Name,Created At,Customer: ID,Line: Type,Line: Product ID,Line: Quantity,Line: Total,Refund: ID\n0,7,#7,t,3,,,,,\n1,7,,,,Line Item,1,2,5.00,\n2,7,,,,Refund Line,1,,-1.00,R1\n3,7,,,,Refund Line,1,,-1.00,R1\n')
+    got = intake.csv_orders(intake.order_csv(spark, path)[0])
+    assert shuffles(got) == 0 and "FileScan text" not in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(7, "#7", "t", 3, 1, 2, 500, 1, 200)]
