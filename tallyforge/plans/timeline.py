@@ -194,5 +194,5 @@ def order_seasons(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r > 1""")
 def stream_rejected(spark: SparkSession, sf: str) -> DataFrame:
     """What the stream rejected, row by row, with the version that was kept when it came."""
-    folder = latest.run(spark, f"{sf}/events.parquet*", "user_id", "event_id", "ts")
+    folder = latest.run(spark, f"{sf}/events.parquet*", "user_id", "event_id", "ts", columns=("user_id", "event_id", "ts"))
     return latest.rejected_of_stream(spark, folder).select("user_id", "event_id", "ts")

@@ -9,13 +9,13 @@ folder a later call goes on where the last one ended.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructType
+from pyspark.sql.types import BooleanType, StructType, TimestampType
 
 from tallyforge.runtime import new_path
 
@@ -24,41 +24,47 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 class Guard(StatefulProcessor):
     """Marks each row of a key as accepted or not. Of a batch's rows the one of highest version (then last arrival) is held against
-    the version kept so far; a version at least as high is accepted. ``immutable``: the first row of a key stays, all others are rejected."""
+    the version kept so far; a version at least as high is accepted. ``immutable``: the first row of a key stays, all others are rejected.
+
+    Plain rows, since most keys bring few: building pandas frames for a key cost far more than judging it."""
 
     def __init__(self, version: str, arrival: str, schema: StructType, immutable: bool = False):
-        self.version, self.arrival, self.schema, self.immutable = version, arrival, schema, immutable
+        self.version, self.arrival, self.schema, self.immutable = schema.names.index(version), schema.names.index(arrival), schema, immutable
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", StructType([self.schema[self.version]]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = self.kept.get()[0] if self.kept.exists() else None
+        self.told = Row(*self.schema.names, "accepted", "kept_version")
+        self.zoned = isinstance(self.schema[self.version].dataType, TimestampType)
+
+    def beats(self, a: Row, b: Row) -> bool:
+        """Whether ``a``, which came after ``b``, takes its place; rows without a version lose to those with one, and the first of them stays."""
+        (x, i), (y, j) = ((None if r[self.version] != r[self.version] else r[self.version], r[self.arrival]) for r in (a, b))
+        if x is None or y is None:
+            return x is not None or (y is None and i is not None and (j is None or i < j))
+        if self.immutable:
+            return x < y or (x == y and i is not None and (j is None or i < j))
+        return x > y or (x == y and j is not None and (i is None or i > j))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        held = self.kept.get()
+        kept = held[0] if held is not None else None
+        # Rows bring instants with their zone, state gives them back in the local one.
+        kept = kept.astimezone(timezone.utc) if kept is not None and self.zoned else kept
+        # Losers leave at once, so one row is held.
         best = None
-
-        def told(part: pd.DataFrame, accepted: bool) -> pd.DataFrame:
-            out = part[self.schema.names].copy()
-            out["accepted"] = accepted
-            out["kept_version"] = pd.Series([kept] * len(out), index=out.index, dtype=part[self.version].dtype if kept is not None else object)
-            return out
-
-        # Groups may come in parts: losers leave at once, so one row is held.
-        for part in rows:
-            part = part if best is None else pd.concat([best, part], ignore_index=True)
-            order = part.sort_values([self.version, self.arrival], ascending=self.immutable, na_position="last" if self.immutable else "first", kind="stable")
-            pick = order.index[0] if self.immutable else (order.index[-1] if order[self.version].isna().all() else order[order[self.version].notna()].index[0])
-            best = part.loc[[pick]]
-            rest = part.drop(index=pick)
-            if len(rest):
-                yield told(rest, False)
+        for row in rows:
+            if best is None:
+                best = row
+                continue
+            loser, best = (best, row) if self.beats(row, best) else (row, best)
+            yield self.told(*loser, False, kept)
         if best is None:
             return
-        now = best[self.version].iloc[0]
-        now = now.to_pydatetime() if isinstance(now, pd.Timestamp) else now.item() if hasattr(now, "item") else now
-        fine = kept is None or (not self.immutable and not pd.isna(now) and now >= kept)
-        yield told(best, fine)
+        now = None if best[self.version] != best[self.version] else best[self.version]
+        fine = kept is None or (not self.immutable and now is not None and now >= kept)
+        yield self.told(*best, fine, kept)
         if fine:
-            self.kept.update((None if pd.isna(now) else now,))
+            self.kept.update((now,))
 
     def close(self) -> None:
         pass
@@ -67,13 +73,14 @@ class Guard(StatefulProcessor):
 def guarded(rows: DataFrame, key: str, version: str, arrival: str, immutable: bool = False) -> DataFrame:
     """A stream of ``rows`` with ``accepted`` and ``kept_version`` (the version kept before the batch)."""
     out = StructType(list(rows.schema.fields)).add("accepted", BooleanType()).add("kept_version", rows.schema[version].dataType)
-    return rows.groupBy(key).transformWithStateInPandas(Guard(version, arrival, rows.schema, immutable), outputStructType=out, outputMode="Append", timeMode="None")
+    return rows.groupBy(key).transformWithState(Guard(version, arrival, rows.schema, immutable), outputStructType=out, outputMode="Append", timeMode="None")
 
 
-def run(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False) -> str:
-    """Judge all files of ``source`` that are there now; null keys are left out. The folder with ``accepted`` and ``rejected``."""
+def run(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False, columns: tuple[str, ...] | None = None) -> str:
+    """Judge all files of ``source`` that are there now; null keys are left out. The folder with ``accepted`` and ``rejected``, of all
+    ``columns`` (key, event_id and ts among them)."""
     folder = folder or new_path(spark, "stream")
-    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).where(F.col(key).isNotNull())
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).where(F.col(key).isNotNull()).select(*(columns or "*"))
 
     def keep(batch: DataFrame, number: int) -> None:
         # A row that a batch holds twice counts once.
@@ -91,9 +98,9 @@ def run(spark: SparkSession, source: str, key: str, event_id: str, ts: str, fold
     return folder
 
 
-def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False) -> DataFrame:
+def latest_of_stream(spark: SparkSession, source: str, key: str, event_id: str, ts: str, folder: str | None = None, immutable: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
     """The latest row of each key after all files of ``source`` that are there now: the last one accepted."""
-    folder = run(spark, source, key, event_id, ts, folder, immutable)
+    folder = run(spark, source, key, event_id, ts, folder, immutable, columns)
     found = spark.read.parquet(f"{folder}/judged").where("CAST(accepted AS boolean)")
     last = W.partitionBy(key).orderBy(F.desc("batch"))
     return found.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "batch", "accepted", "kept_version")

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 
 from tallyforge.sources import csvsplit, intake, orders
+from tallyforge.streaming import latest
 
 
 def plan(df: DataFrame) -> str:
@@ -54,3 +55,16 @@ def test_orders_of_a_csv_are_grouped_in_place(spark):
     got = intake.csv_orders(intake.order_csv(spark, path)[0])
     assert shuffles(got) == 0 and "FileScan text" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(7, "#7", "t", 3, 1, 2, 500, 1, 200)]
+
+
+def test_stream_rows_are_judged_without_frames_so_large_versions_stay_exact(spark):
+    source, home = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    big = 2**53
+    put = lambda rows: spark.createDataFrame(rows, "k long, event_id long, ts long, more string").coalesce(1).write.mode("append").parquet(source)
+    read = lambda: [tuple(r) for r in latest.latest_of_stream(spark, source, "k", "event_id", "ts", home, columns=("k", "event_id", "ts")).collect()]
+    put([(1, 1, None, "x"), (1, 2, big + 1, "x")])
+    assert read() == [(1, 2, big + 1)]
+    put([(1, 3, big, "x"), (1, 4, None, "x")])
+    assert read() == [(1, 2, big + 1)]
+    log = latest.rejected_of_stream(spark, home)
+    assert log.columns == ["k", "event_id", "ts", "kept_version", "batch"] and sorted((r["event_id"], r["kept_version"]) for r in log.collect()) == [(1, None), (3, big + 1), (4, big + 1)]
