@@ -294,5 +294,5 @@ def orders_without_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = latest_of_stream(spark, f"{sf}/events.parquet*", "user_id", "event_id", "ts")
+    rows = latest_of_stream(spark, f"{sf}/events.parquet*", "user_id", "event_id", "ts", columns=("user_id", "event_id", "ts", "event_type"))
     return rows.select("user_id", "event_id", "event_type")
