@@ -149,17 +149,18 @@ _COLUMNS = [
 ]
 
 
-def known(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(owners of the requests' budgets, windows, changes, learning) of ad sets and campaigns."""
-    snaps = table(timeline._snapshots(spark, sf), "snapshots")
+def known(spark: SparkSession, sf: str, windows: tuple[int, ...] = CANON.windows) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(owners of the requests' budgets, ``windows``, changes, learning) of ad sets and campaigns: budgets are owned by nothing else."""
+    kinds = ("ADSET", "CAMPAIGN")
+    snaps = table(timeline._snapshots(spark, sf, kinds), "snapshots")
     ads = dims.ads(spark, sf)
     owners = lookups.budget_owner(requests(spark, sf), snaps.where(F.col("run") == _RUN), ads)
     events = changes.events(snaps, timeline.run_log(snaps)).withColumn("detected_on", F.date_sub(D(CANON.as_of), (5 * (1998 - F.col("run"))).cast("int")))
-    windows = evidence.window_facts(totals(spark, sf, ("ADSET", "CAMPAIGN")))
+    facts = evidence.window_facts(totals(spark, sf, kinds, windows))
     changed = table(evidence.change_facts(events), "changes")
     since = F.date_sub(D(CANON.as_of), CANON.learning_days - 1)
     bought = dims.delivery(spark, sf, since, D(CANON.as_of)).select("ad_id", "day", "purchases").join(ads, "ad_id").select(D("ADSET").alias("entity_type"), F.col("adset_id").alias("entity_id"), "day", "purchases")
-    return owners, windows, changed, evidence.learning_facts(bought, changed)
+    return owners, facts, changed, evidence.learning_facts(bought, changed)
 
 
 @query(f"{_DOC}, {', '.join(_SHOW(a, b) for a, b in _COLUMNS)} FROM df")
@@ -201,7 +202,7 @@ _CODES = ", ".join(_FINE.format(*x) for x in (("unit_type IS NULL", "NO_DECISION
 SELECT request_id, entity_type, entity_id, outcome AS state, asked AS percent, CASE WHEN len(codes) > 0 THEN array_to_string(codes, ' | ') END AS rejection_reason, CASE WHEN len(codes) > 0 THEN 'INSUFFICIENT_DATA' ELSE 'INCREASE_BUDGET' END AS final_kind, {R6("greatest(0, least(1, conf * CASE WHEN maj THEN 0.6::DOUBLE ELSE 1 END))")} AS adjusted FROM dh""")
 def request_guardrails(spark: SparkSession, sf: str) -> DataFrame:
     """Every request's proposal to change its entity's budget, checked against who owns the budget, what was delivered and what changed lately."""
-    owners, windows, changed, learned = known(spark, sf)
+    owners, windows, changed, learned = known(spark, sf, (28,))
     ask = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("request_id"), F.floor(F.col("s_acctbal") / 400).cast("double").alias("percent"))
     p = evidence.proposals(owners.join(ask, "request_id"), windows, changed, learned)
     v = decide.judged(p, decide.violations(p, D(CANON.floors[CANON.windows.index(28)]), D(decide.MIN_SPEND[28])))

@@ -13,7 +13,7 @@ from tallyforge.functions import exprs as E
 from tallyforge.operators import bitemporal, changes, cumulative, seasons, snapshots
 from tallyforge.plans.sql import DAILY, MINOR, R6
 from tallyforge.runtime import documents as read
-from tallyforge.runtime import new_path
+from tallyforge.runtime import new_path, table
 from tallyforge.sources import archive, facts
 from tallyforge.streaming import latest
 
@@ -52,7 +52,7 @@ def _archive(spark: SparkSession, sf: str) -> str:
     rows = o.select("*", F.year("o_orderdate").cast("long").alias("run"), F.inline(levels))
     last = F.struct("o_orderdate", "o_orderkey")
     g = rows.groupBy("type", "id", "run").agg(
-        F.min(F.floor(F.col("o_custkey") / 25)).alias("campaign"), F.max_by("o_orderstatus", last).alias("status"), F.max_by("o_orderpriority", last).alias("prio"), F.max(E.minor(F.col("o_totalprice"))).alias("money"), (F.count("*") % 3).alias("n"), F.collect_set((F.col("o_orderkey") % 4).cast("string")).alias("creatives")
+        F.min(F.floor(F.col("o_custkey") / 25)).alias("campaign"), F.max_by("o_orderstatus", last).alias("status"), F.max_by("o_orderpriority", last).alias("prio"), F.max(E.minor(F.col("o_totalprice"))).alias("money"), (F.count("*") % 3).alias("n"), F.collect_set(F.when(F.col("type") == "AD", (F.col("o_orderkey") % 4).cast("string"))).alias("creatives")
     )
     cities, country = F.array(F.col("n").cast("int"), D(7)).alias("cities"), F.col("prio").alias("country")
     low, high = D(18).alias("min"), (D(30) + F.col("n")).alias("max")
@@ -73,8 +73,10 @@ def _archive(spark: SparkSession, sf: str) -> str:
     return path
 
 
-def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.built(archive.entities(archive.read(spark, _archive(spark, sf), "units")))
+def _snapshots(spark: SparkSession, sf: str, kinds: tuple[str, ...] = ("AD", "ADSET", "CAMPAIGN")) -> DataFrame:
+    # Parsed once: snapshots are built from several selections of the documents.
+    e = archive.entities(archive.read(spark, _archive(spark, sf), "units")).where(F.col("entity_type").isin(*kinds))
+    return snapshots.built(table(e.select("entity_type", "entity_id", "run", "day", "daily", "lifetime", "status", "targeting", "bid_strategy", "creatives", "parent"), "units"))
 
 
 @query(f"WITH {_UNITS} SELECT * FROM snap")

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+from tallyforge.plans import timeline
 from tallyforge.sources import csvsplit, intake, orders
 from tallyforge.streaming import latest
 
@@ -68,3 +69,9 @@ def test_stream_rows_are_judged_without_frames_so_large_versions_stay_exact(spar
     assert read() == [(1, 2, big + 1)]
     log = latest.rejected_of_stream(spark, home)
     assert log.columns == ["k", "event_id", "ts", "kept_version", "batch"] and sorted((r["event_id"], r["kept_version"]) for r in log.collect()) == [(1, None), (3, big + 1), (4, big + 1)]
+
+
+def test_unit_documents_are_parsed_once_and_only_kinds_asked_for_are_kept(spark):
+    snaps = timeline._snapshots(spark, "/root/testdata/sf0.001", ("ADSET", "CAMPAIGN"))
+    assert "FileScan text" not in plan(snaps)
+    assert {r[0] for r in snaps.select("entity_type").distinct().collect()} == {"ADSET", "CAMPAIGN"}
