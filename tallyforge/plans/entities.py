@@ -11,6 +11,7 @@ from tallyforge.config import CANON
 from tallyforge.functions import exprs as E
 from tallyforge.operators import spine
 from tallyforge.plans.sql import MINOR, R6
+from tallyforge.runtime import table
 from tallyforge.sources import dims
 
 D = F.lit
@@ -57,7 +58,8 @@ def totals(spark: SparkSession, sf: str, kinds: tuple[str, ...] = dims.LEVELS, w
     """Delivery and store totals of the entities of ``kinds`` and of ``windows``; nothing else is read or summed."""
     canon = replace(CANON, windows=windows)
     ads, since = dims.ads(spark, sf), F.date_sub(D(CANON.as_of), max(windows) - 1)
-    orders = dims.store_orders(spark, sf)
+    # Written, since sales, refunds and both ways to match an order read them.
+    orders = table(dims.store_orders(spark, sf), "orders")
     matched = spine.matches(spine.resolved(orders, ads, dims.campaigns(spark, sf)), ads, kinds)
     store = spine.store_totals(orders, dims.store_refunds(spark, sf), matched, canon)
     return spine.totals_on_spine(dims.entities(spark, sf, kinds), spine.delivery_totals(dims.delivery(spark, sf, since, D(CANON.as_of)), ads, canon, kinds), store, canon)

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
-from tallyforge.plans import timeline
+from tallyforge.plans import entities, timeline
 from tallyforge.sources import csvsplit, intake, orders
 from tallyforge.streaming import latest
 
@@ -75,3 +75,7 @@ def test_unit_documents_are_parsed_once_and_only_kinds_asked_for_are_kept(spark)
     snaps = timeline._snapshots(spark, "/root/testdata/sf0.001", ("ADSET", "CAMPAIGN"))
     assert "FileScan text" not in plan(snaps)
     assert {r[0] for r in snaps.select("entity_type").distinct().collect()} == {"ADSET", "CAMPAIGN"}
+
+
+def test_totals_compute_the_stores_orders_once(spark):
+    assert "o_custkey" not in plan(entities.totals(spark, "/root/testdata/sf0.001", ("ADSET", "CAMPAIGN"), (28,)))
